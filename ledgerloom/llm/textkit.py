@@ -60,7 +60,7 @@ class _Powers:
         if len(self.up) < n:
             n = max(n, 2 * SLICE_BYTES)
             inverse = pow(_STEP, -1, 2**64)
-            self.up, self.down = (np.cumprod(np.concatenate(([1], np.full(n - 1, x, np.uint64))), dtype=np.uint64) for x in (_STEP, inverse))
+            self.up, self.down = (np.cumprod(np.array([1] + [x] * (n - 1), np.uint64)) for x in (_STEP, inverse))
         return self.up, self.down
 
 
