@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import licences, line_dedup, mixing, packing, pii, quality, vectors
+from ledgerloom.llm import licences, line_dedup, media, mixing, packing, pii, quality, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,6 +56,16 @@ FROM keyed LEFT JOIN heavy USING (k) GROUP BY doc_id
 """
 
 
+@query
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = media.read_media(media.write_media(table(spark, sf_dir, "documents")))
+    feature = F.format_string("frames=%d;shots=%d;clips=%s", F.expr("aggregate(clips, 0L, (s, c) -> s + c.n_frames)"), F.size("clips"), F.expr("array_join(transform(clips, c -> format_string('%.2f-%.2f', c.start_s, c.end_s)), ',')"))
+    return out.select(
+        "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, -32, 32)")).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"),
+    )
+
+
 @query
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
