@@ -58,31 +58,43 @@ def _frame_head() -> bytes:
     return b"\xff\xd8" + _segment(0xDB, b"\x00" + b"\x01" * 64) + _segment(0xC0, struct.pack(">BHHBBBB", 8, SIDE, SIDE, 1, 1, 0x11, 0)) + _segment(0xC4, tables) + _segment(0xDA, b"\x01\x01\x00\x00\x3f\x00")
 
 
-def _coded(values: np.ndarray, lengths: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Bits (code, then the value's own bits) and their number."""
-    category = np.zeros(values.shape, np.int64)
-    size = np.abs(values)
-    for k in range(9):
-        category += size >= 1 << k
-    codes = canonical(lengths)[2]
-    code, length = (np.array([codes.get(k, (0, 0))[i] for k in range(10)]) for i in (0, 1))
-    return code[category] << category | np.where(values >= 0, values, values + (1 << category) - 1), length[category] + category
+@cache
+def _coded(low: int, high: int, lengths: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """For each value from ``low`` to ``high``: its code and own bits, as the top bits of 16, and their number."""
+    values = np.arange(low, high + 1)
+    category = np.array([int(v).bit_length() for v in np.abs(values)])
+    codes = canonical(dict(lengths))[2]
+    code, length = (np.array([codes.get(int(k), (0, 0))[i] for k in category]) for i in (0, 1))
+    bits, length = code << category | np.where(values >= 0, values, values + (1 << category) - 1), length + category
+    return (bits << (16 - length)).astype(np.uint16), length.astype(np.uint8)
 
 
 def encode_frames(payload: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Entropy-coded data of frames of 576 bytes each, and the offsets of the frames in it. A byte is a quantised coefficient: DC is b - 128; AC skips 0, so that no zero runs occur."""
-    b = payload.reshape(-1, 9, 64).astype(np.int64)
-    dc, ac = b[:, :, 0] - 128, b[:, :, 1:] - 128 + (b[:, :, 1:] >= 128)
-    bits, length = np.empty((len(b), 577), np.int64), np.empty((len(b), 577), np.int64)
+    b = payload.reshape(-1, 9, 64)
+    dc_bits, dc_length = _coded(-255, 255, tuple(DC_LENGTHS.items()))
+    ac_bits, ac_length = (np.delete(t, 128) for t in _coded(-128, 128, tuple(AC_LENGTHS.items())))
+    bits, length = np.empty((len(b), 577), np.uint16), np.empty((len(b), 577), np.uint8)
     inner_b, inner_n = bits[:, :576].reshape(-1, 9, 64), length[:, :576].reshape(-1, 9, 64)
-    inner_b[:, :, 0], inner_n[:, :, 0] = _coded(np.diff(dc, axis=1, prepend=0), DC_LENGTHS)
-    inner_b[:, :, 1:], inner_n[:, :, 1:] = _coded(ac, AC_LENGTHS)
-    length[:, 576] = -length[:, :576].sum(1) % 8  # frames end on whole bytes, filled with ones
-    bits[:, 576] = (1 << length[:, 576]) - 1
-    left = (bits << (16 - length)).astype(">u2")
-    grid = np.unpackbits(left.view(np.uint8).reshape(-1, 2), axis=1).astype(bool)
-    packed = np.packbits(grid[np.arange(16) < length.reshape(-1, 1)])
-    ends = np.cumsum(length.sum(1)) // 8
+    inner_b[:], inner_n[:] = ac_bits[b], ac_length[b]
+    dc = np.diff(b[:, :, 0].astype(np.int64) - 128, axis=1, prepend=0) + 255
+    inner_b[:, :, 0], inner_n[:, :, 0] = dc_bits[dc], dc_length[dc]
+    bits[:, :576], length[:, :576] = inner_b.reshape(-1, 576), inner_n.reshape(-1, 576)
+    size = length[:, :576].sum(1, dtype=np.int64)
+    length[:, 576] = -size % 8  # frames end on whole bytes, filled with ones
+    bits[:, 576] = 0xFF << (16 - length[:, 576].astype(np.int64)) & 0xFFFF
+    # Each code starts in one 32-bit word and may reach into the next; codes don't overlap, so sums put the words together.
+    length = length.ravel().astype(np.int64)
+    end = np.cumsum(length)
+    start = end - length
+    placed = bits.ravel().astype(np.uint64) << (48 - (start & 31)).astype(np.uint64)
+    first = np.flatnonzero(np.diff(start >> 5, prepend=-1))
+    sums = np.add.reduceat(placed, first)
+    words = np.zeros(len(first) + 1, np.uint64)
+    words[:-1] = sums >> np.uint64(32)
+    words[1:] += sums & np.uint64(0xFFFFFFFF)
+    packed = words.astype(">u4").view(np.uint8)[: end[-1] // 8]
+    ends = np.cumsum((size + 7) // 8)
     full = np.flatnonzero(packed == 255)
     ends += np.searchsorted(full, ends, "left")
     return np.insert(packed, full + 1, 0), np.concatenate(([0], ends))
@@ -148,6 +160,14 @@ class Head:
     size: int
 
 
+def _direct(symbol: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """What the next 16 bits say where they hold a code with its value and no zero run: value << 16 | bits used; else 0."""
+    size, top = symbol & 15, np.arange(65536)
+    value = (top >> np.maximum(16 - length - size, 0)) & ((1 << size) - 1)
+    value = np.where(value < (1 << size) >> 1, value - (1 << size) + 1, value)
+    return np.where((size > 0) & (symbol < 16) & (length + size <= 16), value << 16 | length + size, 0).astype(np.int32)
+
+
 def parse_head(frame: bytes) -> Head:
     quant, codes, shape, at = {}, {}, None, 2
     while at + 4 <= len(frame):
@@ -175,7 +195,7 @@ def parse_head(frame: bytes) -> Head:
                         symbol[code << (16 - n) : (code + 1) << (16 - n)], length[code << (16 - n) : (code + 1) << (16 - n)] = body[k], n
                         code, k = code + 1, k + 1
                     code <<= 1
-                codes[body[0]], body = (symbol, length), body[17 + many :]
+                codes[body[0]], body = (symbol, length, _direct(symbol, length)), body[17 + many :]
         elif marker == 0xDA:
             width, height, comps = shape
             order = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(body[0])}
@@ -192,7 +212,8 @@ def decode_scans(scans: list[bytes], head: Head) -> list[np.ndarray]:
     stuffed[1:] = (raw[:-1] == 255) & (raw[1:] == 0)
     starts -= np.concatenate(([0], np.cumsum(stuffed)))[starts]
     raw = raw[~stuffed]
-    raw = np.concatenate((raw, np.zeros(16, np.uint8)))
+    raw = np.concatenate((raw, np.zeros(80, np.uint8)))
+    quarter = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, 4)).view(">u4").ravel().astype(np.uint32)
     word = np.lib.stride_tricks.sliding_window_view(raw, 8)
     word = np.ascontiguousarray(word).view(">u8").ravel().astype(np.uint64)
     lanes, pos, stop = len(scans), starts[:-1] * 8, starts[1:] * 8
@@ -225,7 +246,18 @@ def decode_scans(scans: list[bytes], head: Head) -> list[np.ndarray]:
                 _, value = step(slice(None), dc)
                 level[c] += value
                 out[c][:, block, 0] = level[c]
-                live, k = everyone, np.ones(lanes, np.int64)
+                column, done = np.zeros((64, lanes), np.int16), 1
+                while done < 64:  # all frames at the same coefficient, as long as none has a zero run or ends its block
+                    got = ac[2][(quarter[pos >> 3] << (pos & 7).astype(np.uint32)) >> np.uint32(16)]
+                    if not got.all():
+                        break
+                    column[done] = got >> 16
+                    pos += got & 31
+                    done += 1
+                    if not done & 15:
+                        np.minimum(pos, 8 * len(quarter) - 512, out=pos)
+                out[c][:, block, 1:done] = column[1:done].T
+                live, k = (everyone, np.full(lanes, done)) if done < 64 else (everyone[:0], everyone[:0])
                 while len(live):
                     symbol, value = step(live if len(live) < lanes else slice(None), ac)
                     k = k + (symbol >> 4)
@@ -242,6 +274,8 @@ def decode_scans(scans: list[bytes], head: Head) -> list[np.ndarray]:
                     out[c][live[real], block, k[real]] = value[real]
                     on = (real | (symbol == 0xF0)) & (k + 1 < 64)
                     live, k = live[on], k[on] + 1
+    if (pos > stop).any():
+        raise ValueError("broken scan")
     return out
 
 
@@ -249,8 +283,8 @@ def histograms(luma: np.ndarray, quant: np.ndarray) -> np.ndarray:
     """Share of pixels by brightness of frames given as (frames, blocks, 64) coefficients."""
     frames = len(luma)
     pixels = (luma.reshape(-1, 64) * quant) @ _inverse_dct()
-    which = (np.clip(pixels + 128, 0, 255) * (HISTOGRAM_BINS / 256)).astype(np.int64).reshape(frames, -1)
-    flat = np.bincount((which + HISTOGRAM_BINS * np.arange(frames)[:, None]).ravel(), minlength=frames * HISTOGRAM_BINS)
+    which = (np.clip(pixels + 128, 0, 255) * np.float32(HISTOGRAM_BINS / 256)).astype(np.int32).reshape(frames, -1)
+    flat = np.bincount((which + HISTOGRAM_BINS * np.arange(frames, dtype=np.int32)[:, None]).ravel(), minlength=frames * HISTOGRAM_BINS)
     return flat.reshape(frames, HISTOGRAM_BINS) / max(1, which.shape[1])
 
 
