@@ -1,0 +1,6 @@
+"""Queries by family; importing the families registers them."""
+
+from ledgerloom.plans import catalog
+from ledgerloom.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "catalog"]
