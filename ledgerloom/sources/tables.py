@@ -45,7 +45,7 @@ BINDINGS = {
 }
 
 _SPARK = {"SHA": r"sha2(\1, 256)", "BYTES": r"CAST(octet_length(\1) AS BIGINT)", "MS": r"timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', \1)"}
-_DUCKDB = {"SHA": r"sha256(\1)", "BYTES": r"CAST(strlen(\1) AS BIGINT)", "MS": r"epoch_ms(\1)"}
+_DUCKDB = {"SHA": r"sha256(\1)", "BYTES": r"CAST(strlen(\1) AS BIGINT)", "MS": r"(epoch_us(\1) // 1000)"}
 
 
 def _spelt(text: str, dialect: dict[str, str]) -> str:
