@@ -18,7 +18,7 @@ from ledgerloom.llm.textkit import Words, shingles, slices, text_bytes
 #: Shingle frequencies are counted in so many buckets (of the hash's top bits); this bounds what goes to each task.
 BUCKET_BITS = 18
 #: Cells of the histogram that the suffix filter compares.
-CELLS = 256
+CELLS = 64
 #: Prefix groups of up to so many texts meet all with all at once; larger ones by stars first, then in blocks.
 SMALL_GROUP, BLOCK = 16, 1024
 
