@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,10 +25,12 @@ GRAMS = SPAN - GRAM + 1
 #: Owners with more occurrences meet as distinct segments, joined back to their occurrences.
 HOT = 4096
 CELLS = 1 << 18
+PART = 3
 
 
 def suffix_arrays(symbols: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Suffix arrays of many short texts side by side; row l of ``symbols`` holds ``size[l]`` small non-negative numbers.
+    """Suffix arrays of many short texts side by side; row l of ``symbols`` holds ``size[l]`` small non-negative numbers,
+    the last of which is the text's smallest.
 
     Grouping construction: suffixes are grouped by their Lyndon prefixes, first by one symbol. Groups are taken in descending order; each
     member points to the last suffix before it in a smaller group (its previous smaller one), whose Lyndon prefix the member's extends, so
@@ -124,12 +127,12 @@ def suffix_arrays(symbols: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def owners(data: np.ndarray, offsets: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hash, first window, number of windows) of the grams that own windows of rows [low, high); places count from the row's start."""
+def owners(data: np.ndarray, offsets: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, first window, number of windows, place of the gram in the first window) of the grams that own windows of rows [low, high); places count from the row's start."""
     raw = data[offsets[low] : offsets[high]]
     none = np.empty(0, np.int64)
     if len(raw) < SPAN:
-        return none, none.astype(np.uint64), none, none
+        return none, none.astype(np.uint64), none, none, none
     bounds = offsets[low : high + 1] - offsets[low]
     word = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, 8)).view("<u8").ravel()
     n = len(raw) - GRAM + 1
@@ -149,7 +152,7 @@ def owners(data: np.ndarray, offsets: np.ndarray, low: int, high: int) -> tuple[
     owner, row = owner[at], row[at]
     first = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (row[1:] != row[:-1])))) if len(at) else none
     many = np.diff(np.append(first, len(at)))
-    return row[first] + low, h[owner[first]], at[first] - bounds[row[first]], many
+    return row[first] + low, h[owner[first]], at[first] - bounds[row[first]], many, owner[first] - at[first]
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +160,7 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = text_bytes(batch.column(1))
         ids = batch.column(0)
         for low, high in slices(offsets):
-            row, h, first, _ = owners(data, offsets, low, high)
+            row, h, first, _, _ = owners(data, offsets, low, high)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids.take(pa.array(row)), pa.array(first.astype(np.int32))], ["h", "doc_id", "at"])
 
 
@@ -167,7 +170,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = text_bytes(batch.column(1))
         ids, shared = batch.column(0), batch.column(2)
         for low, high in slices(offsets):
-            row, h, first, many = owners(data, offsets, low, high)
+            row, h, first, many, gram = owners(data, offsets, low, high)
             wanted, hot = {}, {}
             for i in range(low, high):
                 v = shared[i].values
@@ -177,19 +180,55 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a, b = np.searchsorted(row, [i, i + 1])
                 keep[a:b] = np.isin(first[a:b], wanted[i])
                 is_hot[a:b] = np.isin(first[a:b], wanted[i][hot[i]])
-            row, h, first, many, is_hot = row[keep], h[keep], first[keep], many[keep], is_hot[keep]
+            row, h, first, many, gram, is_hot = row[keep], h[keep], first[keep], many[keep], gram[keep], is_hot[keep]
             begin = offsets[row] + first
             raw = data[offsets[low] : offsets[high]].tobytes()
             texts = [raw[a : a + k] for a, k in zip((begin - offsets[low]).tolist(), (many + SPAN - 1).tolist(), strict=True)]
             digest = np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array(digest.view(np.int64)), ids.take(pa.array(row)), pa.array(first.astype(np.int32)), pa.array(texts, pa.binary()), pa.array(is_hot)],
-                ["h", "g", "doc_id", "at", "segment", "hot"],
+                [pa.array(h.view(np.int64)), pa.array(digest.view(np.int64)), ids.take(pa.array(row)), pa.array(first.astype(np.int32)), pa.array(texts, pa.binary()), pa.array(gram.astype(np.int32)), pa.array(is_hot)],
+                ["h", "g", "doc_id", "at", "segment", "gram", "hot"],
             )
 
 
-def earliest(groups: list[tuple[list[bytes], np.ndarray]]) -> list[np.ndarray]:
-    """For each group of distinct segments and the first document of each: a row per segment, with the first document that has the window at each place."""
+def earliest(groups: list[tuple[list[bytes], np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """For each group of distinct segments, with the first document and the gram's place of each: a row per segment, with the first document that has the window at each place.
+
+    A window's place relative to the group's gram is part of its content. So windows are parted by ``PART`` neighbouring places and by the
+    bytes that all windows of these places share; only parts whose bytes differ beyond that need a suffix array.
+    """
+    out, parts, homes = [], [], []
+    for n, (texts, docs, grams) in enumerate(groups):
+        out.append(np.repeat(docs[:, None], max(map(len, texts)) - SPAN + 1, 1))
+        known = docs.tolist()
+        found: dict[tuple[int, bytes], dict[bytes, list[tuple[int, int]]]] = {}
+        for k, (text, gram) in enumerate(zip(texts, grams.tolist(), strict=True)):
+            last = len(text) - SPAN
+            for c in range((gram - last) // PART, gram // PART + 1):
+                high = gram - PART * c
+                low = max(0, high - PART + 1)
+                part = text[low : min(last, high) + SPAN]
+                found.setdefault((c, text[high : high + SPAN - PART + 1]), {}).setdefault(part, []).append((k, low))
+        for members in found.values():
+            ks = [[k for k, _ in m] for m in members.values()]
+            firsts = np.array([min(map(known.__getitem__, k)) for k in ks])
+            if len(members) > 1:
+                parts.append((list(members), firsts))
+                homes.append((n, list(members.items())))
+            elif len(ks[0]) > 1:
+                w = len(next(iter(members))) - SPAN + 1
+                for k, low in next(iter(members.values())):
+                    out[n][k, low : low + w] = firsts[0]
+    for (n, members), got in zip(homes, earliest_windows(parts), strict=True):
+        for row, (part, m) in zip(got, members, strict=True):
+            w = len(part) - SPAN + 1
+            for k, low in m:
+                out[n][k, low : low + w] = row[:w]
+    return out
+
+
+def earliest_windows(groups: list[tuple[list[bytes], np.ndarray]]) -> list[np.ndarray]:
+    """For each group of distinct texts and the first document of each: a row per text, with the first document that has the window at each place. Suffix arrays find the equal windows."""
     out = []
     for texts, docs in groups:
         width = max(map(len, texts)) - SPAN + 1
@@ -246,14 +285,18 @@ def _covered(occurrences: bool):
         new_h = np.concatenate(([True], h[1:] != h[:-1]))
         new = new_h | np.concatenate(([True], g[1:] != g[:-1]))
         distinct = np.flatnonzero(new)
-        texts, docs = t["segment"].take(pa.array(distinct)).to_pylist(), doc[distinct]
-        bounds = np.append(np.flatnonzero(new_h[distinct]), len(distinct)).tolist()
-        first = earliest([(texts[a:b], docs[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
-        width = max(m.shape[1] for m in first)
-        table = np.full((len(distinct), width), np.iinfo(np.int64).max)
-        for a, m in zip(bounds[:-1], first, strict=True):
-            table[a : a + len(m), : m.shape[1]] = m
-        windows = np.array([len(x) for x in texts]) - SPAN + 1
+        size = pa.compute.binary_length(t["segment"].combine_chunks()).to_numpy()[distinct]
+        docs, grams, windows = doc[distinct], t["gram"].to_numpy()[distinct], size - SPAN + 1
+        table = np.repeat(docs[:, None], windows.max(), 1)
+        bounds = np.append(np.flatnonzero(new_h[distinct]), len(distinct))
+        several = np.flatnonzero(np.diff(bounds) > 1)
+        ranges = list(zip(bounds[several].tolist(), bounds[several + 1].tolist(), strict=True))
+        within = np.concatenate([np.arange(a, b) for a, b in ranges]) if ranges else np.empty(0, np.int64)
+        texts = dict(zip(within.tolist(), t["segment"].take(pa.array(distinct[within])).to_pylist(), strict=True))
+        first = earliest([([texts[i] for i in range(a, b)], docs[a:b], grams[a:b]) for a, b in ranges])
+        for (a, b), m in zip(ranges, first, strict=True):
+            table[a:b, : m.shape[1]] = m
+        width = table.shape[1]
         table[np.arange(width) >= windows[:, None]] = np.iinfo(np.int64).max
         if not occurrences:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(distinct) + 1, dtype=np.int32) * width), pa.array(table.ravel()))
@@ -335,12 +378,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     grams = grams.select("doc_id", "at", F.min("doc_id").over(by).alias("least"), F.max("doc_id").over(by).alias("most"), (F.count("*").over(by) > HOT).alias("hot")).where("least < most")
     # A document's grams are bounded by its own text.
     shared = written(grams.groupBy("doc_id").agg(F.collect_set(F.struct("at", "hot")).alias("shared")), "shared-grams")
-    segments = known.join(shared.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "shared").mapInArrow(_segments, "h long, g long, doc_id long, at int, segment binary, hot boolean")
+    segments = known.join(shared.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "shared").mapInArrow(_segments, "h long, g long, doc_id long, at int, segment binary, gram int, hot boolean")
     segments = written(segments, "segments")
-    plain = segments.where("NOT hot").select("h", "g", "doc_id", "at", "segment").repartition("h").sortWithinPartitions("h", "g", "doc_id")
+    plain = segments.where("NOT hot").select("h", "g", "doc_id", "at", "segment", "gram").repartition("h").sortWithinPartitions("h", "g", "doc_id")
     ranges = plain.mapInArrow(_covered(True), "doc_id long, low int, high int")
     hot = segments.where("hot")
-    distinct = hot.groupBy("h", "g").agg(F.min("doc_id").alias("doc_id"), F.first("segment").alias("segment")).repartition("h").sortWithinPartitions("h", "g")
+    distinct = hot.groupBy("h", "g").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("segment", "gram")).alias("s")).select("h", "g", "doc_id", "s.*").repartition("h").sortWithinPartitions("h", "g")
     first = distinct.mapInArrow(_covered(False), "h long, g long, first array<bigint>")
     again = hot.select("h", "g", "doc_id", "at").join(first, ["h", "g"]).select("doc_id", "at", "first").mapInArrow(_hot_ranges, "doc_id long, low int, high int")
     spans = written(ranges.unionByName(again).groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("ranges")), "ranges")
