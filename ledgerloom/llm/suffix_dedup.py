@@ -22,7 +22,7 @@ from ledgerloom.llm.textkit import mixed, slices, text_bytes
 
 SPAN, GRAM = 50, 24
 GRAMS = SPAN - GRAM + 1
-#: Owners with more occurrences meet as distinct segments, joined back to their occurrences.
+#: Owners with more occurrences meet as distinct segments.
 HOT = 4096
 CELLS = 1 << 18
 PART = 3
@@ -139,7 +139,7 @@ def owners(data: np.ndarray, offsets: np.ndarray, low: int, high: int) -> tuple[
     h = mixed(word[:n] + np.uint64(1))
     h = mixed((h ^ word[8 : 8 + n]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(2))
     h = mixed(h ^ word[16 : 16 + n])
-    shift = np.uint64(max(len(raw).bit_length(), 1))
+    shift = np.uint64(32)  # the same for all rows, so that equal windows have equal owners; a slice is shorter than 4 GiB
     key = (h >> shift << shift) | np.arange(n, dtype=np.uint64)  # the leftmost of equal ones
     m, s = key, 1
     while 2 * s <= GRAMS:
@@ -278,7 +278,8 @@ def earliest_windows(groups: list[tuple[list[bytes], np.ndarray]]) -> list[np.nd
 
 
 def _covered(occurrences: bool):
-    """Runs over whole groups of rows sorted by (h, g, doc_id): what the first documents cover, by occurrence or by distinct segment."""
+    """Runs over whole groups of rows sorted by (h, g, doc_id): what the first documents cover, by occurrence; or, of each distinct segment,
+    the windows that its first document keeps as a bit mask. All windows of its other occurrences have an earlier document."""
 
     def found(t: pa.Table) -> pa.RecordBatch:
         h, g, doc = (t[c].to_numpy() for c in ("h", "g", "doc_id"))
@@ -296,11 +297,11 @@ def _covered(occurrences: bool):
         first = earliest([([texts[i] for i in range(a, b)], docs[a:b], grams[a:b]) for a, b in ranges])
         for (a, b), m in zip(ranges, first, strict=True):
             table[a:b, : m.shape[1]] = m
-        width = table.shape[1]
-        table[np.arange(width) >= windows[:, None]] = np.iinfo(np.int64).max
+        table[np.arange(table.shape[1]) >= windows[:, None]] = np.iinfo(np.int64).max
         if not occurrences:
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(distinct) + 1, dtype=np.int32) * width), pa.array(table.ravel()))
-            return pa.RecordBatch.from_arrays([pa.array(h[distinct]), pa.array(g[distinct]), lists], ["h", "g", "first"])
+            bits = ((table == docs[:, None]) << np.arange(table.shape[1])).sum(1)
+            some = np.flatnonzero(bits)
+            return pa.RecordBatch.from_arrays([pa.array(docs[some]), pa.array(h[distinct][some]), pa.array(g[distinct][some]), pa.array(bits[some].astype(np.int32))], ["doc_id", "h", "g", "kept"])
         return _ranges(table[np.cumsum(new) - 1], doc, t["at"].to_numpy())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,23 +332,26 @@ def _ranges(first: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array((at[row] + low).astype(np.int32)), pa.array((at[row] + high + SPAN - 1).astype(np.int32))], ["doc_id", "low", "high"])
 
 
-def _hot_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            lists = batch.column(2).to_pylist()
-            first = np.full((len(lists), max(map(len, lists))), np.iinfo(np.int64).max)
-            for i, x in enumerate(lists):
-                first[i, : len(x)] = x
-            yield _ranges(first, batch.column(0).to_numpy(), batch.column(1).to_numpy())
+def _hot_ranges(hot: list[dict], kept: list[dict]) -> Iterator[tuple[int, int]]:
+    """Byte ranges of one document that its hot segments lose: all, except windows that it is the first document to hold."""
+    masks = {(k["h"], k["g"]): k["kept"] for k in kept}
+    for s in hot:
+        mask, at, n = masks.get((s["h"], s["g"]), 0), s["at"], s["size"] - SPAN + 1
+        if not mask:
+            yield at, at + s["size"]
+            continue
+        for w in range(n):
+            if not mask >> w & 1:
+                yield at + w, at + w + SPAN
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         removed, spans, kept = [], [], []
-        for text, ranges in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+        for text, ranges, hot, kept_windows in zip(batch.column(1), *(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
             raw = text.as_buffer().to_pybytes() if text.is_valid else b""
             runs: list[list[int]] = []
-            for r in sorted((r["low"], r["high"]) for r in ranges or ()):
+            for r in sorted([*((r["low"], r["high"]) for r in ranges or ()), *_hot_ranges(hot or [], kept_windows or [])]):
                 if runs and r[0] <= runs[-1][1]:
                     runs[-1][1] = max(runs[-1][1], r[1])
                 else:
@@ -384,8 +388,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     ranges = plain.mapInArrow(_covered(True), "doc_id long, low int, high int")
     hot = segments.where("hot")
     distinct = hot.groupBy("h", "g").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("segment", "gram")).alias("s")).select("h", "g", "doc_id", "s.*").repartition("h").sortWithinPartitions("h", "g")
-    first = distinct.mapInArrow(_covered(False), "h long, g long, first array<bigint>")
-    again = hot.select("h", "g", "doc_id", "at").join(first, ["h", "g"]).select("doc_id", "at", "first").mapInArrow(_hot_ranges, "doc_id long, low int, high int")
-    spans = written(ranges.unionByName(again).groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("ranges")), "ranges")
-    out = rows.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "ranges")
+    kept = distinct.mapInArrow(_covered(False), "doc_id long, h long, g long, kept int")
+    # Occurrences of hot segments meet what their documents keep by document, so no row is made for an occurrence on the way.
+    what = {"range": F.struct("low", "high"), "hot": F.struct("h", "g", "at", F.length("segment").alias("size")), "kept": F.struct("h", "g", "kept")}
+    parts = [df.select("doc_id", what[k].alias(k)) for k, df in (("range", ranges), ("hot", hot), ("kept", kept))]
+    both = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+    spans = written(both.groupBy("doc_id").agg(*(F.collect_set(k).alias(k) for k in what)), "ranges")
+    out = rows.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", *what)
     return out.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<low:bigint,high:bigint>>, kept binary")

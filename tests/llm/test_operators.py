@@ -124,7 +124,9 @@ def test_components(spark):
     assert got == {i: want[i] for i in {x for a, b in links if a != b for x in (a, b)}}
 
 
-def test_suffix_dedup(docs, corpus):
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 2, 8])
+def test_suffix_dedup(docs, corpus, hot, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     seen: dict[bytes, int] = {}
     raw = {i: (t or "").encode() for i, t in corpus}
     for i in sorted(raw):
