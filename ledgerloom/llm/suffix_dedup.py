@@ -26,6 +26,10 @@ GRAMS = SPAN - GRAM + 1
 HOT = 4096
 CELLS = 1 << 18
 PART = 3
+#: Symbols beyond bytes: the bytes that a part's texts share, and the end of a text, which sorts first.
+SHARED, END = "\u0100", "\uffff"
+#: Grams so frequent in one slice of texts needn't meet row by row.
+OFTEN = 32
 
 
 def suffix_arrays(symbols: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -155,13 +159,38 @@ def owners(data: np.ndarray, offsets: np.ndarray, low: int, high: int) -> tuple[
     return row[first] + low, h[owner[first]], at[first] - bounds[row[first]], many, owner[first] - at[first]
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = text_bytes(batch.column(1))
-        ids = batch.column(0)
-        for low, high in slices(offsets):
-            row, h, first, _, _ = owners(data, offsets, low, high)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids.take(pa.array(row)), pa.array(first.astype(np.int32))], ["h", "doc_id", "at"])
+def _grams(often_from: int):
+    """Rows (key, kind, doc_id, at) of kind 0 for each gram, under its hash. Grams found ``often_from`` times in a slice, in two documents at
+    least, are known to be shared: two rows of kind 1 under their hash tell the least and the largest document, and their occurrences are
+    of kind 2, under keys that spread them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(1))
+            ids = batch.column(0).to_numpy()
+            for low, high in slices(offsets):
+                row, h, first, _, _ = owners(data, offsets, low, high)
+                key, kind, doc = h.view(np.int64), np.zeros(len(h), np.int8), ids[row]
+                order = np.argsort(h)
+                begin = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1]))) if len(h) else np.empty(0, np.int64)
+                many = np.diff(np.append(begin, len(h)))
+                often = np.flatnonzero(many >= often_from)
+                if len(often):
+                    least, most = np.minimum.reduceat(doc[order], begin)[often], np.maximum.reduceat(doc[order], begin)[often]
+                    often, least, most = often[least < most], least[least < most], most[least < most]
+                if len(often):
+                    told = key[order[begin[often]]]
+                    hit = np.zeros(len(begin), bool)
+                    hit[often] = True
+                    where = order[np.repeat(hit, many)]
+                    key = key.copy()
+                    key[where] = mixed(doc[where].astype(np.uint64) * np.uint64(1 << 32) + first[where].astype(np.uint64)).view(np.int64)
+                    kind[where] = 2
+                    key, kind = np.concatenate((key, told, told)), np.concatenate((kind, np.ones(2 * len(often), np.int8)))
+                    doc, first = np.concatenate((doc, least, most)), np.concatenate((first, np.full(2 * len(often), -1)))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(kind), pa.array(doc), pa.array(first.astype(np.int32))], ["h", "kind", "doc_id", "at"])
+
+    return run
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,8 +224,10 @@ def earliest(groups: list[tuple[list[bytes], np.ndarray, np.ndarray]]) -> list[n
     """For each group of distinct segments, with the first document and the gram's place of each: a row per segment, with the first document that has the window at each place.
 
     A window's place relative to the group's gram is part of its content. So windows are parted by ``PART`` neighbouring places and by the
-    bytes that all windows of these places share; only parts whose bytes differ beyond that need a suffix array.
+    bytes that all windows of these places share; only parts whose bytes differ beyond that need a suffix array, in which one symbol stands
+    for the shared bytes.
     """
+    shared = SPAN - PART + 1
     out, parts, homes = [], [], []
     for n, (texts, docs, grams) in enumerate(groups):
         out.append(np.repeat(docs[:, None], max(map(len, texts)) - SPAN + 1, 1))
@@ -208,18 +239,19 @@ def earliest(groups: list[tuple[list[bytes], np.ndarray, np.ndarray]]) -> list[n
                 high = gram - PART * c
                 low = max(0, high - PART + 1)
                 part = text[low : min(last, high) + SPAN]
-                found.setdefault((c, text[high : high + SPAN - PART + 1]), {}).setdefault(part, []).append((k, low))
-        for members in found.values():
+                found.setdefault((c, text[high : high + shared]), {}).setdefault(part, []).append((k, low))
+        for (c, _), members in found.items():
             ks = [[k for k, _ in m] for m in members.values()]
             firsts = np.array([min(map(known.__getitem__, k)) for k in ks])
             if len(members) > 1:
-                parts.append((list(members), firsts))
+                before = [grams[m[0][0]] - PART * c - m[0][1] for m in members.values()]
+                parts.append(([part[:k].decode("latin-1") + SHARED + part[k + shared :].decode("latin-1") for part, k in zip(members, before, strict=True)], firsts))
                 homes.append((n, list(members.items())))
             elif len(ks[0]) > 1:
                 w = len(next(iter(members))) - SPAN + 1
                 for k, low in next(iter(members.values())):
                     out[n][k, low : low + w] = firsts[0]
-    for (n, members), got in zip(homes, earliest_windows(parts), strict=True):
+    for (n, members), got in zip(homes, earliest_windows(parts, PART), strict=True):
         for row, (part, m) in zip(got, members, strict=True):
             w = len(part) - SPAN + 1
             for k, low in m:
@@ -227,12 +259,12 @@ def earliest(groups: list[tuple[list[bytes], np.ndarray, np.ndarray]]) -> list[n
     return out
 
 
-def earliest_windows(groups: list[tuple[list[bytes], np.ndarray]]) -> list[np.ndarray]:
-    """For each group of distinct texts and the first document of each: a row per text, with the first document that has the window at each place. Suffix arrays find the equal windows."""
+def earliest_windows(groups: list[tuple[list[str], np.ndarray]], span: int) -> list[np.ndarray]:
+    """For each group of distinct texts of small symbols and the first document of each: a row per text, with the first document that has
+    the window of ``span`` symbols at each place. Suffix arrays find the equal windows."""
     out = []
     for texts, docs in groups:
-        width = max(map(len, texts)) - SPAN + 1
-        out.append(np.repeat(docs[:, None], width, 1))
+        out.append(np.repeat(docs[:, None], max(map(len, texts)) - span + 1, 1))
     several = [i for i, (texts, _) in enumerate(groups) if len(texts) > 1]
     length = {i: sum(map(len, groups[i][0])) + len(groups[i][0]) for i in several}
     several.sort(key=lambda i: length[i])
@@ -245,24 +277,22 @@ def earliest_windows(groups: list[tuple[list[bytes], np.ndarray]]) -> list[np.nd
         low = high
         size = np.array([length[i] for i in part])
         symbols = np.zeros((len(part), size.max()), np.int16)
+        inside = np.arange(symbols.shape[1]) < size[:, None]
+        symbols[inside] = (np.frombuffer("".join(END.join(groups[i][0]) + END for i in part).encode("utf-16-le"), "<u2") + np.uint16(1)).astype(np.int16)
+        home = [(i, k, len(t) - span + 1) for i in part for k, t in enumerate(groups[i][0])]
+        many = np.array([w for *_, w in home])
+        lane = np.repeat(np.arange(len(part)), [len(groups[i][0]) for i in part])
+        taken = np.cumsum(many + span) - many - span  # symbols of the texts before, with their ends
+        begin = taken - (np.cumsum(size) - size)[lane]
+        n = int(many.sum())
         valid = np.full(symbols.shape, -1, np.int64)  # number of the window that starts here
-        home, n = [], 0
-        for row, i in enumerate(part):
-            at = 0
-            for k, t in enumerate(groups[i][0]):
-                symbols[row, at : at + len(t)] = np.frombuffer(t, np.uint8)
-                symbols[row, at : at + len(t)] += 1
-                w = len(t) - SPAN + 1
-                valid[row, at : at + w] = np.arange(n, n + w)
-                home.append((i, k, w))
-                n += w
-                at += len(t) + 1
+        valid[np.repeat(lane, many), np.repeat(begin - np.cumsum(many) + many, many) + np.arange(n)] = np.arange(n)
         order = suffix_arrays(symbols, size)
         row, rank = np.nonzero(order >= 0)
         place = order[row, rank]
         window = valid[row, place]
         row, place, window = row[window >= 0], place[window >= 0], window[window >= 0]
-        views = np.lib.stride_tricks.sliding_window_view(symbols, SPAN, axis=1)
+        views = np.lib.stride_tricks.sliding_window_view(symbols, span, axis=1)
         same = row[1:] == row[:-1]
         same[same] = (views[row[1:][same], place[1:][same]] == views[row[:-1][same], place[:-1][same]]).all(1)
         begin = np.flatnonzero(np.concatenate(([True], ~same)))
@@ -377,9 +407,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text")
     known = rows.where("doc_id IS NOT NULL")
     # Grams that own windows in two documents at least; a row of three numbers for every dozen bytes is all that is shuffled here.
-    by = Window.partitionBy("h")
-    grams = known.mapInArrow(_grams, "h long, doc_id long, at int").repartition("h")
-    grams = grams.select("doc_id", "at", F.min("doc_id").over(by).alias("least"), F.max("doc_id").over(by).alias("most"), (F.count("*").over(by) > HOT).alias("hot")).where("least < most")
+    spread = (F.col("kind") == 2).alias("spread")
+    by = Window.partitionBy("h", "spread")
+    grams = known.mapInArrow(_grams(OFTEN), "h long, kind byte, doc_id long, at int").repartition("h").withColumn("spread", spread)
+    hot = F.max("kind").over(by) > 0
+    grams = grams.select("kind", "doc_id", "at", F.min("doc_id").over(by).alias("least"), F.max("doc_id").over(by).alias("most"), (hot | (F.count("*").over(by) > HOT)).alias("hot"))
+    grams = grams.where("kind = 2 OR (kind = 0 AND least < most)")
     # A document's grams are bounded by its own text.
     shared = written(grams.groupBy("doc_id").agg(F.collect_set(F.struct("at", "hot")).alias("shared")), "shared-grams")
     segments = known.join(shared.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "shared").mapInArrow(_segments, "h long, g long, doc_id long, at int, segment binary, gram int, hot boolean")

@@ -124,9 +124,10 @@ def test_components(spark):
     assert got == {i: want[i] for i in {x for a, b in links if a != b for x in (a, b)}}
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 2, 8])
-def test_suffix_dedup(docs, corpus, hot, monkeypatch):
+@pytest.mark.parametrize(("hot", "often"), [(suffix_dedup.HOT, suffix_dedup.OFTEN), (2, 32), (8, 4), (4096, 2)])
+def test_suffix_dedup(docs, corpus, hot, often, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "OFTEN", often)
     seen: dict[bytes, int] = {}
     raw = {i: (t or "").encode() for i, t in corpus}
     for i in sorted(raw):
