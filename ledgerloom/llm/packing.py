@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import os
 from collections.abc import Iterator
 
@@ -35,7 +37,7 @@ class Tokenizer:
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.flat, self.used = np.empty(1 << 20, np.uint32), 0
-        self.start, self.size = np.empty(1 << 17, np.int64), np.empty(1 << 17, np.int64)
+        self.start, self.size, self.odd = np.empty(1 << 17, np.int64), np.empty(1 << 17, np.int64), np.empty(1 << 17, bool)
 
     def _learn(self, pieces: list[str]) -> None:
         if len(self.at) + len(pieces) > CACHE_PIECES and self.at:
@@ -45,11 +47,12 @@ class Tokenizer:
         while self.used + total > len(self.flat):
             self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
         while len(self.at) + len(pieces) > len(self.start):
-            self.start, self.size = (np.concatenate((x, np.empty_like(x))) for x in (self.start, self.size))
+            self.start, self.size, self.odd = (np.concatenate((x, np.empty_like(x))) for x in (self.start, self.size, self.odd))
         n = len(self.at)
         self.size[n : n + len(pieces)] = list(map(len, coded))
+        self.odd[n : n + len(pieces)] = [not p or p[0].isspace() for p in pieces]
         self.start[n : n + len(pieces)] = self.used + np.cumsum(self.size[n : n + len(pieces)]) - self.size[n : n + len(pieces)]
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in coded for i in x), np.uint32, total)
+        self.flat[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(coded), np.uint32, total)
         self.used += total
         self.at.update(zip(pieces, range(n, n + len(pieces)), strict=True))
 
@@ -65,10 +68,10 @@ class Tokenizer:
         heads = [x.ids for x in self.library.encode_batch_fast([s[0] for s in split], add_special_tokens=False)]
         out = []
         for text, pieces, head in zip(texts, split, heads, strict=True):
-            if "" in pieces[1:] or any(p[:1].isspace() for p in pieces[1:] if not p[:1].isalnum()):
+            which = np.fromiter(map(self.at.__getitem__, pieces[1:]), np.int64, len(pieces) - 1)
+            if self.odd[which].any():
                 out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32))
                 continue
-            which = np.fromiter(map(self.at.__getitem__, pieces[1:]), np.int64, len(pieces) - 1)
             size = self.size[which]
             ends = np.cumsum(size)
             ids = np.empty(len(head) + (int(ends[-1]) if len(ends) else 0), np.uint32)
@@ -79,6 +82,12 @@ class Tokenizer:
         return out
 
 
+@functools.lru_cache(1)
+def tokenizer(path: str) -> Tokenizer:
+    """One for all tasks of a worker process."""
+    return Tokenizer(path)
+
+
 def pack_window(pieces: list[tuple], capacity: int, linear: float, quadratic: float) -> tuple[list[list[tuple]], list[tuple]]:
     """Pack (row, start, ids) pieces shorter than ``capacity`` into as many full sequences as their tokens fill; return these and what is left.
 
@@ -136,7 +145,7 @@ def tail_sequences(pieces: list[tuple], capacity: int) -> Iterator[list[tuple]]:
 def _packer(path: str, capacity: int, linear: float, quadratic: float, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        tokenizer, number = Tokenizer(path), (task.partitionId() if task else 0) << 36
+        encoder, number = tokenizer(path), (task.partitionId() if task else 0) << 36
 
         def table(sequences: list[list[tuple]]) -> pa.RecordBatch:
             nonlocal number
@@ -158,7 +167,7 @@ def _packer(path: str, capacity: int, linear: float, quadratic: float, schema: p
             docs, texts = batch.column(0).to_pylist(), batch.column(1)
             for low in range(0, len(docs), 256):
                 full = []
-                for doc, ids in zip(docs[low : low + 256], tokenizer.encode([t or "" for t in texts.slice(low, 256).to_pylist()]), strict=True):
+                for doc, ids in zip(docs[low : low + 256], encoder.encode([t or "" for t in texts.slice(low, 256).to_pylist()]), strict=True):
                     ids = np.append(ids, np.uint32(END_ID))
                     whole = len(ids) // capacity * capacity
                     full += [[((doc, len(ids)), at, ids[at : at + capacity])] for at in range(0, whole, capacity)]

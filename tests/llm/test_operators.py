@@ -196,6 +196,19 @@ def test_packing(docs, corpus):
         assert at <= 2048 and at & (at - 1) == 0 or at == 2048
 
 
+def test_tokenizer():
+    """Cached pieces give the library's ids, also where blanks, line ends, added tokens and punctuation meet, and when the cache is emptied."""
+    library = packing.Tokenizer(tokenizer_path())
+    rng = random.Random(8)
+    units = ["word", "don't", "it's.", "é!", "x<|endoftext|>", "<|endoftext|>", "a.\nb,", "\n", "", "3.14", "12)", "»«.", "o'", "日本。.", "ß''s", "'s", "--", "\t", "Ⅷ.", "q_"]
+    texts = [" ".join(rng.choice(units[:20 if i % 2 else 6]) for _ in range(rng.randint(0, 12))) for i in range(1500)]
+    for low in range(0, len(texts), 100):
+        if low == 700:
+            library.clear()
+        for t, ids in zip(texts[low : low + 100], library.encode(texts[low : low + 100]), strict=True):
+            assert ids.tolist() == library.library.encode(t, add_special_tokens=False).ids, t
+
+
 def test_media(docs, corpus):
     files = media.write_media(docs)
     got = {r["doc_id"]: r for r in media.read_media(files).collect()}
