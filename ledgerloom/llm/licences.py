@@ -1,4 +1,4 @@
-"""License scans: which text blocks contain a license template, by an exact set-similarity join."""
+"""License scans: which word windows of a text contain a license template, by an exact set-similarity join."""
 
 from __future__ import annotations
 
@@ -17,17 +17,17 @@ MEMBER = class_table([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)
 THRESHOLD = 0.8
 #: Phrases that name a license where their words stand side by side.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: Sentences by which works declare or quote a license, as sets of words.
+#: Sentences by which works declare or quote a license, as sets of words; and their telling words, without which nothing is found.
 TEMPLATES = (
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-nc", "licensed under a creative commons attribution noncommercial license"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license"),
+    ("mit", "released under the mit license", "mit"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission granted associated"),
+    ("apache-2", "licensed under the apache license version 2 0", "apache 2"),
+    ("cc-by-nc", "licensed under cc by nc 4 0", "cc nc"),
+    ("cc-by-nc", "licensed under a creative commons attribution noncommercial license", "commons noncommercial"),
+    ("gpl-3", "this work is licensed under the gnu general public license version 3", "gnu general 3"),
+    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gnu general"),
+    ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution binary"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license", "mozilla"),
 )
 
 
@@ -55,7 +55,7 @@ class Vocabulary:
 
 
 def _vocabulary() -> Vocabulary:
-    return Vocabulary([t for t, _ in PHRASES] + [t for _, t in TEMPLATES])
+    return Vocabulary([t for t, _ in PHRASES] + [t for _, t, _ in TEMPLATES])
 
 
 def token_counts(docs: DataFrame) -> np.ndarray:
@@ -78,35 +78,54 @@ def token_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
+class _Template:
+    """A template's words as ranks, rarest first; a window is its number of words over the threshold, so others may stand between."""
+
+    def __init__(self, words: list[int], telling: set[int], threshold: float) -> None:
+        self.tokens = sorted(set(words))
+        self.telling = [t in telling for t in self.tokens]
+        self.need = max(1, ceil(threshold * len(self.tokens) - 1e-9))
+        self.window = max(len(words), ceil(len(words) / threshold - 1e-9)) if threshold > 0 else len(words)
+        self.prefix = self.tokens[: len(self.tokens) - self.need + 1]
+
+    def places(self, ranks: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(first word, number of words, containment) of places in the rows' words that don't overlap, from left to right."""
+        rare = np.flatnonzero(np.isin(ranks, self.prefix))
+        if not len(rare):
+            return
+        hits = np.flatnonzero(np.isin(ranks, self.tokens))
+        stop = np.minimum(hits + self.window, first[np.searchsorted(first, hits, "right")])
+        # A window that holds enough starts at a hit and has a word of the prefix and enough hits, equal words counted each.
+        near = np.append(rare, len(ranks))[np.searchsorted(rare, hits)] < stop
+        at = near & (np.searchsorted(hits, stop) - np.arange(len(hits)) >= self.need)
+        start, stop, in_hits = hits[at], stop[at], ranks[hits]
+        overlap, end, telling = np.zeros(len(start), np.int64), start.copy(), np.ones(len(start), bool)
+        for token, tells in zip(self.tokens, self.telling, strict=True):
+            of = hits[in_hits == token]
+            following = np.append(of, len(ranks))[np.searchsorted(of, start)]
+            has = following < stop
+            overlap += has
+            end = np.where(has, np.maximum(end, following), end)
+            if tells:
+                telling &= has
+        good = np.flatnonzero(telling & (overlap >= self.need))
+        start, end, overlap = start[good], end[good] + 1, overlap[good]
+        i = 0
+        while i < len(start):
+            # Of the windows that start within the first one: the fullest, then the first to end, then the shortest.
+            among = range(i, int(np.searchsorted(start, end[i])))
+            best = min(among, key=lambda k: (-overlap[k], end[k], -k))
+            yield int(start[best]), int(end[best] - start[best]), int(overlap[best]) / len(self.tokens)
+            i = int(np.searchsorted(start, end[best]))
+
+
 def _scanner(counts: np.ndarray, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary()
         rank = np.empty(len(vocabulary), np.int64)  # rarest first, ties by word
         rank[sorted(range(len(vocabulary)), key=lambda i: (counts[i], vocabulary.words[i]))] = np.arange(len(vocabulary))
         phrases = [(vocabulary.ids(t), label) for t, label in PHRASES]
-        templates = []
-        for label, t in TEMPLATES:
-            tokens = sorted({int(rank[i]) for i in vocabulary.ids(t)})
-            templates.append((label, tokens, ceil(threshold * len(tokens) - 1e-9)))
-        index: dict[int, list[tuple[int, int]]] = {}
-        for n, (_, tokens, need) in enumerate(templates):
-            for p, token in enumerate(tokens[: len(tokens) - need + 1]):
-                index.setdefault(token, []).append((n, p))
-        in_prefix = np.zeros(len(vocabulary) + 1, bool)
-        in_prefix[list(index)] = True
-
-        def contained(block: list[int]) -> Iterator[tuple[int, int]]:
-            """(template, overlap) of the templates that a block's sorted distinct ranks contain."""
-            seen = set()
-            for p, token in enumerate(block):
-                for n, q in index.get(token, ()):
-                    _, tokens, need = templates[n]
-                    # Length: the block must have enough words; position: enough of both must be left from here on.
-                    if n in seen or len(block) < need or min(len(block) - p, len(tokens) - q) < need:
-                        continue
-                    seen.add(n)
-                    if (overlap := len(set(tokens).intersection(block))) >= need:
-                        yield n, overlap
+        templates = [(label, _Template([int(rank[i]) for i in vocabulary.ids(t)], {int(rank[i]) for i in vocabulary.ids(telling)}, threshold)) for label, t, telling in TEMPLATES]
 
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
@@ -135,18 +154,12 @@ def _scanner(counts: np.ndarray, threshold: float):
                             first[low + r] = at if first[low + r] < 0 else min(first[low + r], at)
                             last[low + r] = max(last[low + r], at)
                 ranks = np.where(ids >= 0, rank[ids], len(vocabulary))
-                breaks = np.union1d(np.flatnonzero(words.data == 10), words.bounds)  # a block is a line of a text
-                for b in np.unique(np.searchsorted(breaks, words.start[in_prefix[ranks]], "right")).tolist():
-                    start = int(np.searchsorted(words.start, breaks[b - 1]))
-                    stop = int(np.searchsorted(words.start, breaks[b])) if b < len(breaks) else len(ids)
-                    block = np.unique(ranks[start:stop])
-                    r = row_of(start)
-                    for n, overlap in contained(block[block < len(vocabulary)].tolist()):
-                        label, tokens, _ = templates[n]
-                        share = overlap / len(tokens)
+                for label, template in templates:
+                    for start, n, share in template.places(ranks, words.first):
+                        r = row_of(start)
                         more[low + r].add(label)
                         score[low + r] = max(score[low + r], share)
-                        found[low + r].append({"label": label, "first_word": start - int(words.first[r]), "n_words": stop - start, "containment": share})
+                        found[low + r].append({"label": label, "first_word": start - int(words.first[r]), "n_words": n, "containment": share})
             score[n_base > 0] = 1.0
             text = lambda sets: pa.array([",".join(sorted(s)) for s in sets], pa.string())
             place = lambda a: pa.array(a, pa.int64(), mask=a < 0)
@@ -162,9 +175,10 @@ def _scanner(counts: np.ndarray, threshold: float):
 def scan_licences(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and the matching blocks of every row.
 
-    Base: places where a phrase's words stand side by side. Method: lines (blocks) whose set of words contains at least ``threshold`` of a
-    template's; template words stand in global frequency order, counted over all texts, and only blocks with a word of a template's
-    prefix are looked at, under length and positional filters. Templates are a short fixed list, so they go to each task. score: 1 where a
+    Base: places where a phrase's words stand side by side. Method: windows (blocks) of a template's length over ``threshold``, anywhere in
+    a text whatever its line ends, whose set of words contains at least ``threshold`` of the template's and all of its telling words;
+    template words stand in global frequency order, counted over all texts, and only windows with a word of a template's prefix and
+    enough template words are looked at. Of overlapping windows of one template the fullest is the block, from its first to its last word. Templates are a short fixed list, so they go to each task. score: 1 where a
     phrase stands, else the largest containment that reaches the threshold, else 0. Null texts count as empty: no words, empty labels, null
     places. Rows are independent, so null or repeated ids are scanned like others; other columns are ignored.
     """

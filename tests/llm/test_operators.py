@@ -238,6 +238,40 @@ def test_licences(spark):
     assert got[6]["labels"] == "mit" and 0.8 <= got[6]["score"] < 1 and got[0]["n_words"] == 10 and got[3]["n_words"] == 0
 
 
+def test_licences_in_windows(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License"
+    mit = "// Permission is hereby granted, free of charge, to any person obtaining a copy\n// of this software and associated documentation files"
+    bsd = "Redistribution and use in source and binary forms, with or without\r\n# modification, are permitted"
+    rest = " filler" * 30
+    scattered = rest.join("redistribution and use in source and binary forms with or without modification are permitted".split())
+    texts = [gpl, mit, bsd, gpl.replace("\n", "\n\n"), f"{rest} {gpl}{rest} {mit} {mit}{rest} {bsd}{rest}".replace("\n", " "), scattered, "Licensed under CC BY 4.0", "Released under the BSD License", "licensed under cc by\nnc", bsd[:40]]
+    texts += ["redistribution and use in source and binary", "forms with or without modification are permitted"]  # not across rows
+    got = {r["doc_id"]: r for r in licences.scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()}
+    assert [got[i]["labels"] for i in range(len(texts))] == ["gpl-3", "mit", "bsd-3", "gpl-3", "bsd-3,gpl-3,mit", "", "", "", "cc-by-nc", "", "", ""]
+    places = {(b["label"], b["first_word"], b["n_words"], b["containment"]) for b in got[4]["blocks"]}
+    assert places == {("gpl-3", 30, 22, 1.0), ("mit", 82, 20, 1.0), ("mit", 102, 20, 1.0), ("bsd-3", 152, 14, 1.0)}
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.8])
+def test_licence_places(threshold):
+    """Places are where brute force over all windows finds one, over rows of few and many words."""
+    rng = random.Random(5)
+    template = licences._Template([3, 0, 4, 1, 4, 2, 5, 6], {1}, threshold)
+    for _ in range(300):
+        rows = [[rng.choice([0, 1, 2, 3, 4, 5, 6, 7, 7]) for _ in range(rng.choice((0, 3, 12, 60)))] for _ in range(4)]
+        first = np.cumsum([0] + [len(r) for r in rows])
+        got = list(template.places(np.array([x for r in rows for x in r], np.int64), first))
+        assert all(a + n <= b for (a, n, _), (b, _, _) in zip(got, got[1:]))
+        for low, row in zip(first, rows):
+            good = [i for i in range(len(row)) if 1 in (w := {*row[i : i + template.window]} - {7}) and len(w) >= template.need]
+            mine = [(a - low, n, c) for a, n, c in got if low <= a < low + len(row)]
+            assert bool(good) == bool(mine)
+            for a, n, c in mine:
+                w = {*row[a : a + n]} - {7}
+                assert n <= template.window and 1 in w and len(w) >= template.need and c == len(w) / 7
+            assert all(any(a < i + template.window and i < a + n for a, n, _ in mine) for i in good)
+
+
 def test_pseudonyms(spark):
     texts = ["mail a.b@example.com or 4111 1111 1111 1111 on 2024-02-29", "again 4111-1111-1111-1111 and 2024-02-29, not 4111111111111112 or 2024-02-30", "ssn 123-45-6789, ip 10.1.2.3, +49 170 1234567", None, ""]
     df = spark.createDataFrame([(i, t, 9) for i, t in enumerate(texts)], "doc_id long, text string, n_pseudonyms int")
