@@ -31,7 +31,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources by target weight; a text taken several times is as many rows."""
+    """Sources by target weight, dealt to shards and shuffled there; a text taken several times is as many rows, one cut by a block's end a row more."""
     return mixing.mixed_texts(docs.select(COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import gcd
+from math import ceil, gcd
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -15,6 +15,8 @@ MAX_REPEATS = 3
 BLOCK_WORDS = 32768
 SHARDS = 16
 ROWS_PER_BUCKET = 4096
+#: A shard of more words is written in several parts.
+PART_WORDS = 1 << 22
 
 
 def source_targets(sizes: list[int], weights: list[float], repeats: int = MAX_REPEATS) -> list[float]:
@@ -53,15 +55,30 @@ def split_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def block_order(blocks: int, source: int, seed: int) -> tuple[int, int]:
+    """Step and shift of a source's keyed permutation b -> (b * step + shift) % blocks; its rows stand in a keyed random order already."""
+    rng, n = np.random.default_rng([seed, source, 1]), max(1, blocks)
+    step = int(rng.integers(1, n + 1))
+    while gcd(step, n) != 1:
+        step = int(rng.integers(1, n + 1))
+    return step, int(rng.integers(n))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: int = 17) -> DataFrame:
     """``docs`` with size, source_size, target, taken and pieces: what the mix takes of each row, and where it goes.
 
     Each source's rows stand in a keyed random order and form a line of words, read up to three times and cut into blocks; the source's
     quota is its target in words. The tree shares the blocks among ``shards``; a keyed permutation of a source's blocks makes the shards'
-    draws disjoint. pieces: array of (shard, block, turn, start_word, n_words), words counted within the row. ``shard_rows`` deals them out.
+    draws disjoint. pieces: array of (shard, block, turn, start_word, n_words, at), words counted within the row, and at within the block.
+    ``shard_rows`` deals them out.
     Null texts have size 0; null sources are a source of their own, last; rows with equal ids and texts are rows like any other.
     Only one row per source reaches the driver. Own columns replace input columns of these names.
     """
+    return _mix(docs, weights, shards, block_words, seed)[0]
+
+
+def _mix(docs: DataFrame, weights: tuple[float, ...], shards: int, block_words: int, seed: int) -> tuple[DataFrame, int]:
+    """``mix`` and the number of words it takes in all."""
     own = ["size", "source_size", "target", "taken", "pieces"]
     docs = docs.drop(*own, "_key")
     spark = docs.sparkSession
@@ -75,11 +92,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), shards: i
     cuts = np.cumsum(split_quotas(blocks, shards, seed), axis=1)
     plan = []
     for i, r in enumerate(per):
-        step = next(a for a in range(max(1, int(blocks[i] * 0.618)), 2 * blocks[i] + 2) if gcd(a, max(1, blocks[i])) == 1)
-        plan.append((i, r["source"], sizes[i], targets[i], quotas[i], blocks[i], step, cuts[i].tolist()))
-    schema = StructType().add("_s", LongType()).add("_source", StringType()).add("source_size", LongType()).add("target", DoubleType()).add("_quota", LongType()).add("_blocks", LongType()).add("_step", LongType()).add("_cuts", ArrayType(LongType()))
+        plan.append((i, r["source"], sizes[i], targets[i], quotas[i], blocks[i], *block_order(blocks[i], i, seed), cuts[i].tolist()))
+    schema = StructType().add("_s", LongType()).add("_source", StringType()).add("source_size", LongType()).add("target", DoubleType()).add("_quota", LongType()).add("_blocks", LongType()).add("_step", LongType()).add("_shift", LongType()).add("_cuts", ArrayType(LongType()))
     bits = max(6, int(np.ceil(np.log2(max(1, sum(r["n"] for r in per)) / ROWS_PER_BUCKET + 1))))
-    placed = rows.join(spark.createDataFrame(plan, schema), F.col("source").eqNullSafe(F.col("_source"))).withColumn("_bucket", F.shiftrightunsigned("_key", 64 - bits))
+    placed = rows.join(F.broadcast(spark.createDataFrame(plan, schema)), F.col("source").eqNullSafe(F.col("_source"))).withColumn("_bucket", F.shiftrightunsigned("_key", 64 - bits))
     # Positions in a source's line: sums of whole buckets first, then a window within a bucket, so that no task sees a whole source.
     heads = placed.groupBy("_s", "_bucket").agg(F.sum("size").alias("_words"))
     before = Window.partitionBy("_s").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -88,24 +104,33 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), shards: i
     placed = placed.withColumn("_at", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(heads, ["_s", "_bucket"]).withColumn("_at", F.col("_at") + F.col("_head"))
     turn = f"greatest(0L, least(size, _quota - t * source_size - _at))"
     low, block = "(t * source_size + _at)", f"{block_words}L"
-    piece = f"""named_struct('shard', cast(size(filter(_cuts, c -> c <= pmod(b * _step, _blocks))) as int), 'block', b, 'turn', cast(t as int),
-        'start_word', greatest(0L, b * {block} - {low}), 'n_words', least((b + 1) * {block}, {low} + {turn}) - greatest(b * {block}, {low}))"""
+    piece = f"""named_struct('shard', cast(size(filter(_cuts, c -> c <= pmod(b * _step + _shift, _blocks))) as int), 'block', b, 'turn', cast(t as int),
+        'start_word', greatest(0L, b * {block} - {low}), 'n_words', least((b + 1) * {block}, {low} + {turn}) - greatest(b * {block}, {low}),
+        'at', greatest(0L, {low} - b * {block}))"""
     pieces = f"""flatten(transform(array(0L, 1L, 2L), t -> if({turn} > 0, transform(sequence({low} div {block}, ({low} + {turn} - 1) div {block}), b -> {piece}),
-        cast(array() as array<struct<shard:int,block:bigint,turn:int,start_word:bigint,n_words:bigint>>))))"""
+        cast(array() as array<struct<shard:int,block:bigint,turn:int,start_word:bigint,n_words:bigint,at:bigint>>))))"""
     placed = placed.withColumn("pieces", F.expr(pieces)).withColumn("taken", F.expr("aggregate(pieces, 0L, (a, p) -> a + p.n_words)"))
-    return placed.select(*docs.columns, *own)
+    return placed.select(*docs.columns, *own), sum(quotas)
 
 
-def shard_rows(mixed: DataFrame, shards: int = SHARDS, seed: int = 17) -> DataFrame:
-    """One row per piece, dealt to its shard and shuffled there."""
+def shard_rows(mixed: DataFrame, shards: int = SHARDS, seed: int = 17, parts: int = 1) -> DataFrame:
+    """One row per piece, dealt to its shard and shuffled there; shard k is partitions k * parts to (k + 1) * parts - 1."""
     out = mixed.select("*", F.explode("pieces").alias("piece")).drop("pieces")
-    return out.repartition(shards, F.col("piece.shard")).sortWithinPartitions(F.col("piece.shard"), F.xxhash64(F.lit(seed), "doc_id", "piece.block", "piece.turn"))
+    # Source, block and place in the block are a piece's own, whatever the ids.
+    out = out.withColumn("_order", F.xxhash64(F.lit(seed), F.col("source").isNull(), "source", "piece.block", "piece.at"))
+    part = F.expr(f"cast(piece.shard * {parts}L + (shiftrightunsigned(_order, 40) * {parts}L) div {1 << 24}L as int)")
+    return out.repartitionById(shards * parts, part).sortWithinPartitions("_order").drop("_order")
+
 
+def mixed_texts(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: int = 17) -> DataFrame:
+    """The columns of ``docs``, a row for each piece of ``mix``, dealt and shuffled by ``shard_rows``.
 
-def mixed_texts(docs: DataFrame, **options) -> DataFrame:
-    """The columns of ``docs``, a row for each turn that a text is taken; the one that a quota cuts short keeps its first words, joined by blanks."""
-    m = mix(docs, **options)
-    turns = F.expr("filter(transform(array(0L, 1L, 2L), t -> aggregate(filter(pieces, p -> p.turn = t), 0L, (a, p) -> a + p.n_words)), n -> n > 0)")
-    out = m.withColumn("_n", F.explode(turns))
-    cut = F.concat_ws(" ", F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("_n").cast("int")))
-    return out.withColumn("text", F.when(F.col("_n") < F.col("size"), cut).otherwise(F.col("text"))).select(*docs.columns)
+    A piece that isn't its whole text holds the text's own bytes from its first word to the next piece's, so the pieces of a turn make up
+    the text; where a source's quota ends within a text, the text's first words stay as they stand.
+    """
+    m, words = _mix(docs, weights, shards, block_words, seed)
+    out = shard_rows(m, shards, seed, max(1, ceil(words / shards / PART_WORDS)))
+    # A word with the blanks after it, the first one also with those before it: nothing of the text is between.
+    words_and_blanks = F.regexp_extract_all("text", F.lit(r"(?:\A[\x20\x09-\x0D]+)?" + WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    cut = F.array_join(F.slice(words_and_blanks, F.col("piece.start_word").cast("int") + 1, F.col("piece.n_words").cast("int")), "")
+    return out.withColumn("text", F.when(F.col("piece.n_words") < F.col("size"), cut).otherwise(F.col("text"))).select(*docs.columns)

@@ -174,6 +174,37 @@ def test_mixing(docs, corpus):
     assert abs(sum(len(_words(r["text"])) for r in texts) - sum(r["taken"] for r in rows)) == 0
 
 
+def test_mixing_deals_to_shards(docs):
+    """Pieces and the stage's own output hold the tree's block quotas exactly, source by source and shard by shard."""
+    options = {"shards": 5, "block_words": 40, "seed": 3}
+    per, blocks, at = defaultdict(int), defaultdict(set), defaultdict(list)
+    taken, rows = Counter(), mixing.mix(docs, **options).collect()
+    for r in rows:
+        taken[r["source"]] += r["taken"]
+        for p in r["pieces"]:
+            blocks[r["source"], p["shard"]].add(p["block"])
+            per[r["source"], p["shard"]] += p["n_words"]
+            at[r["source"], p["block"]].append((p["at"], p["n_words"]))
+    sources = sorted(taken, key=lambda s: (s is None, s))
+    quotas = mixing.split_quotas([-(-taken[s] // 40) for s in sources], 5, 3)
+    assert [[len(blocks[s, k]) for k in range(5)] for s in sources] == quotas.tolist() and quotas.min() > 0
+    assert all(sum(n for _, n in v) <= 40 and [a for a, _ in sorted(v)] == np.cumsum([0] + [n for _, n in sorted(v)])[:-1].tolist() for v in at.values())
+    got, order = defaultdict(int), defaultdict(list)
+    for shard, part in enumerate(mixing.mixed_texts(docs, **options).rdd.glom().collect()):
+        for r in part:
+            got[r["source"], shard] += len(_words(r["text"]))
+            order[shard].append(r["source"])
+    assert got == per
+    assert all(sum(a != b for a, b in zip(v, v[1:])) > 10 for v in order.values())  # shuffled, not grouped by source
+    other = mixing.mix(docs, **options | {"seed": 4}).where("doc_id = 7").collect()[0]["pieces"]
+    assert {mixing.block_order(1000, 0, seed) for seed in range(5)} != {mixing.block_order(1000, 0, 0)} and other != next(r["pieces"] for r in rows if r["doc_id"] == 7)
+    for n in (0, 1, 2, 12, 97):
+        step, shift = mixing.block_order(n, 1, 17)
+        assert sorted((b * step + shift) % max(n, 1) for b in range(n)) == list(range(n))
+    parts = mixing.shard_rows(mixing.mix(docs, **options), 5, 3, parts=3).rdd.glom().collect()
+    assert len(parts) == 15 and all(r["piece"]["shard"] == k // 3 for k, part in enumerate(parts) for r in part)
+
+
 def test_packing(docs, corpus):
     from tokenizers import Tokenizer
 
