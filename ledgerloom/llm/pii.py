@@ -7,17 +7,30 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 
+#: IBAN lengths by country; a match of another country or length is tried as it stands.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "BI FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+_IBAN = "|".join(rf"(?:{c.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, c in IBAN_LENGTHS.items())
+_IBAN = rf"(?<![A-Za-z0-9])(?:{_IBAN}|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9]))"
+_OTHER_NUMBER = r"\d{3}-\d{2}-\d{4}(?![\d-])|\d{4}-\d{2}-\d{2}(?![\d-])|\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
+#: How cards are written, longest first: these are looked for wherever in a run of digit groups they stand; then any 13 to 19 digits.
+CARD_LAYOUTS = (r"\d{4}([ -])\d{4}\2\d{4}\2\d{4}\2\d{3}", r"\d{13,19}()", r"\d{4}([ -])\d{4}\2\d{4}\2\d{4}", r"\d{4}([ -])\d{6}\2\d{5}", r"\d{4}([ -])\d{6}\2\d{4}")
+ANY_CARD = r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])"
+
 #: What may be personal, in order of precedence; each is validated before it is replaced.
 PATTERNS = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+    ("iban", _IBAN),
     ("key", r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"),
     ("hex", r"(?<![A-Za-z0-9])[0-9a-f]{40}(?![A-Za-z0-9])"),
     ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"),
     ("phone", r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("date", r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])"),
-    ("card", r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])"),
+    ("card", rf"(?<![\d.-])\d(?:(?:[ -](?!{_OTHER_NUMBER}))?\d){{12,}}+"),  # a whole run of digit groups; possessive, so of any length
 )
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
 
@@ -66,8 +79,22 @@ def _mod97(s: str) -> str:
     return f"aggregate(split({s}, ''), 0, (r, c) -> if(c rlike '[0-9]', (r * 10 + int(c)) % 97, (r * 100 + ascii(c) - 55) % 97))"
 
 
+def _cards(m: str, card: str) -> str:
+    """SQL for a run of digit groups with its cards replaced by ``card`` of c, and their number."""
+    luhn = f"c -> {_luhn_sum(_digits('c'), 0)} % 10 = 0 and c rlike '[1-9]'"
+    laid_out = ", ".join(f"regexp_extract_all({m}, {_quoted(rf'(?<!\d)(?=({p})(?!\d))\d')}, 1)" for p in CARD_LAYOUTS)
+    # Candidates may overlap, so each is tried by itself; those that pass are then replaced from left to right.
+    valid = f"filter(array_distinct(concat({laid_out})), {luhn})"
+    valid = f"element_at(transform(array({valid}), v -> if(size(v) > 0, v, filter(array_distinct(regexp_extract_all({m}, {_quoted(ANY_CARD)}, 0)), {luhn}))), 1)"
+    pattern = "concat('(?<![0-9])(?:', array_join(v, '|'), ')(?![0-9])')"
+    new = f"transform(regexp_extract_all({m}, p, 0), c -> {card})"
+    joined = f"transform(array({new}), w -> named_struct('s', array_join(transform(split({m}, p, -1), (s, i) -> concat(s, coalesce(get(w, i), ''))), ''), 'n', size(w)))"
+    changed = f"element_at(flatten(transform(array({pattern}), p -> {joined})), 1)"
+    return f"element_at(transform(array({valid}), v -> if(size(v) > 0, {changed}, named_struct('s', {m}, 'n', 0))), 1)"
+
+
 def _replacement(m: str, key: str) -> str:
-    """SQL for a match's pseudonym; a match that fails validation stays."""
+    """SQL for a match's pseudonym and how many values it replaces; a match that fails validation stays."""
     local, host = f"substring_index({m}, '@', 1)", f"substring({m}, instr({m}, '@'), length({m}))"
     octets = f"transform(split({m}, '[.]'), o -> cast(o as bigint))"
     ip = permuted_number(f"aggregate({octets}, 0L, (s, o) -> s * 256 + o)", 65536, 65536, key, "ip")
@@ -80,23 +107,25 @@ def _replacement(m: str, key: str) -> str:
     ssn = f"element_at(transform(array({ssn}), p -> concat(lpad(p div 989901 + if(p div 989901 >= 665, 2, 1), 3, '0'), '-', lpad(p % 989901 div 9999 + 1, 2, '0'), '-', lpad(p % 9999 + 1, 4, '0'))), 1)"
     # The days of 1900-2099 are 17 * 4297.
     day = f"cast(date_format(date_add(date'1900-01-01', cast({permuted_number(f'cast(datediff(try_cast({m} as date), date{chr(39)}1900-01-01{chr(39)}) as bigint)', 17, 4297, key, 'date')} as int)), 'yyyy-MM-dd') as string)"
-    payload = permuted_text(f"substring({_digits(m)}, 1, length({_digits(m)}) - 1)", key, "card")
-    card = _refilled(m, f"element_at(transform(array({payload}), p -> concat(p, (10 - {_luhn_sum('p', 1)} % 10) % 10)), 1)")
+    payload = permuted_text(f"substring({_digits('c')}, 1, length({_digits('c')}) - 1)", key, "card")
+    card = _refilled("c", f"element_at(transform(array({payload}), p -> concat(p, (10 - {_luhn_sum('p', 1)} % 10) % 10)), 1)")
     plain = f"replace({m}, ' ', '')"
     body = permuted_text(f"substring({plain}, 5, length({plain}))", key, "iban")
     iban = f"element_at(transform(array({body}), b -> concat(substring({plain}, 1, 2), lpad(98 - {_mod97(f'concat(b, substring({plain}, 1, 2), {chr(39)}00{chr(39)})')}, 2, '0'), b)), 1)"
     spaced = f"element_at(transform(array({iban}), d -> array_join(transform(split({m}, ''), (c, j) -> if(c = ' ', c, substring(d, length(replace(substring({m}, 1, j + 1), ' ', '')), 1))), '')), 1)"
     is_ = lambda kind: f"{m} rlike {_quoted('^(?:' + dict(PATTERNS)[kind] + ')$')}"
-    return f"""case when {m} like '%@%' then concat({permuted_text(local, key, 'email')}, {host})
+    one = f"""case when {m} like '%@%' then concat({permuted_text(local, key, 'email')}, {host})
         when {is_('key')} then concat('AKIA', {permuted_text(f'substring({m}, 5, 16)', key, 'key')})
         when {is_('hex')} then {permuted_text(m, key, 'hex', 6)}
         when {is_('ip')} then if(forall({octets}, o -> o <= 255), {dotted}, {m})
         when {is_('phone')} then {phone}
         when {is_('ssn')} then if({area} between 1 and 899 and {area} <> 666 and {group} > 0 and {serial} > 0, {ssn}, {m})
         when {is_('date')} then if(try_cast({m} as date) between date'1900-01-01' and date'2099-12-31', {day}, {m})
-        when {is_('card')} then if({_luhn_sum(_digits(m), 0)} % 10 = 0 and {_digits(m)} rlike '[1-9]', {card}, {m})
         when {is_('iban')} then if({_mod97(f'concat(substring({plain}, 5, length({plain})), substring({plain}, 1, 4))')} = 1, {spaced}, {m})
         else {m} end"""
+    one = f"element_at(transform(array({one}), o -> named_struct('s', o, 'n', if(o = {m}, 0, 1))), 1)"
+    others = " or ".join(is_(k) for k in ("ip", "ssn", "date"))
+    return f"if({is_('card')} and not ({others}), {_cards(m, card)}, {one})"
 
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
@@ -112,6 +141,6 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     pattern = _quoted(ANY)
     docs = docs.withColumn("_found", F.expr(f"if(text rlike '[0-9@]', regexp_extract_all(text, {pattern}, 0), array())"))
     docs = docs.withColumn("_new", F.expr(f"transform(_found, m -> {_replacement('m', key)})"))
-    joined = f"if(size(_found) > 0, array_join(transform(split(text, {pattern}, -1), (s, i) -> concat(s, coalesce(get(_new, i), ''))), ''), text)"
-    changed = "coalesce(cast(aggregate(zip_with(_found, _new, (a, b) -> if(a = b, 0L, 1L)), 0L, (s, x) -> s + x) as bigint), 0L)"
+    joined = f"if(size(_found) > 0, array_join(transform(split(text, {pattern}, -1), (s, i) -> concat(s, coalesce(get(_new, i).s, ''))), ''), text)"
+    changed = "coalesce(aggregate(_new, 0L, (s, x) -> s + x.n), 0L)"
     return docs.withColumn("n_pseudonyms", F.expr(changed)).withColumn("text", F.expr(joined)).drop("_found", "_new")

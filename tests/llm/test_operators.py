@@ -316,6 +316,23 @@ def test_pseudonyms(spark):
     assert got[3]["text"] is None and got[3]["n_pseudonyms"] == 0 and got[4]["text"] == ""
 
 
+def test_pseudonyms_beside_numbers(spark):
+    """A card or IBAN is found whatever number or word stands beside it, and nothing beside it changes."""
+    card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    shapes = ["{} 123", "{} 12/27", "order 12 {}", "3 {}", "2024 {} 99 1", "{} 2024-02-30", "{}-", "no {}, 7", "1 2 3 4 5 6 7 8 9 {}"]
+    texts = [t.format(c) for c in (card, card.replace(" ", ""), card.replace(" ", "-"), "3782 822463 10005") for t in shapes]
+    texts += [t.format(iban) for t in ("{} BIC", "{} EUR 12", "{}", "IBAN {} 0011", "{} GEBABEBB")] + [f"{card} {card}", f"{card} 123-45-6789", "1 2 3 4 " * 20000, "4111 1111 1111 1112 123", f"{card} 10.1.2.3"]
+    got = [r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    same = {}
+    for t, r in zip(texts[:41], got, strict=False):
+        value = next(c for c in (card, card.replace(" ", ""), card.replace(" ", "-"), "3782 822463 10005", iban) if c in t)
+        before, after = t.split(value)
+        new = r["text"][len(before) : len(before) + len(value)]
+        assert r["text"] == before + new + after and new != value and r["n_pseudonyms"] == 1, (t, r["text"])
+        assert same.setdefault(re.sub("[ -]", "", value), re.sub("[ -]", "", new)) == re.sub("[ -]", "", new)
+    assert [r["n_pseudonyms"] for r in got[41:]] == [2, 2, 0, 0, 2] and got[41]["text"][:19] == got[41]["text"][20:] and got[43]["text"] == texts[43] and got[44]["text"] == texts[44]
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((700, 32)).astype(np.float32)
