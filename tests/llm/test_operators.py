@@ -205,6 +205,17 @@ def test_mixing_deals_to_shards(docs):
     assert len(parts) == 15 and all(r["piece"]["shard"] == k // 3 for k, part in enumerate(parts) for r in part)
 
 
+def test_mixing_keeps_bytes(spark):
+    """Pieces of a text are its own bytes, line ends and blanks with them: all of them, or up to where the quota ends."""
+    text = " \n" + "".join(f"w{i}é\t \n" if i % 3 else f"w{i} " for i in range(1000))
+    df = spark.createDataFrame([(0, "a", text), (1, "b", text.upper())], "doc_id long, source string, text string")
+    whole = {r["source"]: r["text"] for r in mixing.mixed_texts(df, weights=(1.0, 3.0)).collect() if r["source"] == "a"}
+    assert len(whole["a"].split()) == 500 and text.startswith(whole["a"])
+    for source, of in (("a", text), ("b", text.upper())):
+        pieces = [r["text"] for r in mixing.mixed_texts(df, weights=(1.0, 1.0), shards=3, block_words=70).where(f"source = '{source}'").collect()]
+        assert len(pieces) == 15 and "".join(sorted(pieces, key=of.index)) == of
+
+
 def test_packing(docs, corpus):
     from tokenizers import Tokenizer
 
