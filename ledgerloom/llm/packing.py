@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-import itertools
+import json
 import os
 from collections.abc import Iterator
 
@@ -17,69 +17,57 @@ from pyspark.sql.types import BinaryType, LongType, StructType
 CAPACITY = 2048
 END_ID = 1
 WINDOW_TOKENS = 1 << 19
-CACHE_PIECES = 400_000
+
+
+#: Fixed value: how a byte-level tokenizer file that says use_regex parts text before merging.
+BYTE_LEVEL_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_of() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: printable ones for themselves, the others by 256 and on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+def byte_level_ranks(spec: dict) -> dict[bytes, int] | None:
+    """Token bytes and ids of a plain byte-level BPE file whose ids are the order of its merges; None for any other kind."""
+    model, parts = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or spec.get("normalizer") or parts.get("type") != "ByteLevel" or parts.get("add_prefix_space") or not parts.get("use_regex", True):
+        return None
+    added, byte_of = {t["content"] for t in spec.get("added_tokens") or ()}, _byte_of()
+    words = {t: i for t, i in model["vocab"].items() if t not in added}
+    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    if sorted(words.values()) != list(range(len(words))) or [words.get(m) for m in merged] != list(range(256, len(words))) or not all(c in byte_of for t in words for c in t):
+        return None
+    return {bytes(byte_of[c] for c in t): i for t, i in words.items()}
 
 
 class Tokenizer:
-    """Byte-level BPE ids of texts, with a bounded cache of blank-separated pieces.
+    """Ids of texts as the library gives them for a tokenizer file.
 
-    The vocabulary's pattern always starts a token at a blank that a non-blank follows, so the pieces between such blanks can be
-    encoded on their own. Texts where a blank is followed by white space or the end go through the library whole.
+    A plain byte-level BPE file is merged by rank, whole texts at a time, without the library's offsets; texts that hold an added token's
+    string, and files of any other kind, go through the library itself.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.flat, self.used = np.empty(1 << 20, np.uint32), 0
-        self.start, self.size, self.odd = np.empty(1 << 17, np.int64), np.empty(1 << 17, np.int64), np.empty(1 << 17, bool)
-
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.at) + len(pieces) > CACHE_PIECES and self.at:
-            raise MemoryError
-        coded = [x.ids for x in self.library.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)]
-        total = sum(map(len, coded))
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
-        while len(self.at) + len(pieces) > len(self.start):
-            self.start, self.size, self.odd = (np.concatenate((x, np.empty_like(x))) for x in (self.start, self.size, self.odd))
-        n = len(self.at)
-        self.size[n : n + len(pieces)] = list(map(len, coded))
-        self.odd[n : n + len(pieces)] = [not p or p[0].isspace() for p in pieces]
-        self.start[n : n + len(pieces)] = self.used + np.cumsum(self.size[n : n + len(pieces)]) - self.size[n : n + len(pieces)]
-        self.flat[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(coded), np.uint32, total)
-        self.used += total
-        self.at.update(zip(pieces, range(n, n + len(pieces)), strict=True))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, as the library's encode(text, add_special_tokens=False) gives them."""
-        split = [t.split(" ") for t in texts]
-        fresh = list({p for s in split for p in s[1:]} - self.at.keys())
-        try:
-            self._learn(fresh)
-        except MemoryError:
-            self.clear()
-            self._learn(list({p for s in split for p in s[1:]}))
-        heads = [x.ids for x in self.library.encode_batch_fast([s[0] for s in split], add_special_tokens=False)]
-        out = []
-        for text, pieces, head in zip(texts, split, heads, strict=True):
-            which = np.fromiter(map(self.at.__getitem__, pieces[1:]), np.int64, len(pieces) - 1)
-            if self.odd[which].any():
-                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32))
-                continue
-            size = self.size[which]
-            ends = np.cumsum(size)
-            ids = np.empty(len(head) + (int(ends[-1]) if len(ends) else 0), np.uint32)
-            ids[: len(head)] = head
-            if len(ends):
-                ids[len(head) :] = self.flat[np.repeat(self.start[which] - ends + size, size) + np.arange(ends[-1])]
-            out.append(ids)
-        return out
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.added = [t["content"] for t in spec.get("added_tokens") or ()]
+        ranks = byte_level_ranks(spec)
+        self.ranked = tiktoken.Encoding("ranked", pat_str=BYTE_LEVEL_PARTS, mergeable_ranks=ranks, special_tokens={}) if ranks else None
+
+    def encode(self, text: str) -> np.ndarray:
+        """The library's encode(text, add_special_tokens=False)."""
+        if self.ranked is None or any(t in text for t in self.added):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self.ranked.encode_ordinary(text), np.uint32)
 
 
 @functools.lru_cache(1)
@@ -167,8 +155,8 @@ def _packer(path: str, capacity: int, linear: float, quadratic: float, schema: p
             docs, texts = batch.column(0).to_pylist(), batch.column(1)
             for low in range(0, len(docs), 256):
                 full = []
-                for doc, ids in zip(docs[low : low + 256], encoder.encode([t or "" for t in texts.slice(low, 256).to_pylist()]), strict=True):
-                    ids = np.append(ids, np.uint32(END_ID))
+                for doc, text in zip(docs[low : low + 256], texts.slice(low, 256).to_pylist(), strict=True):
+                    ids = np.append(encoder.encode(text or ""), np.uint32(END_ID))
                     whole = len(ids) // capacity * capacity
                     full += [[((doc, len(ids)), at, ids[at : at + capacity])] for at in range(0, whole, capacity)]
                     if whole < len(ids):

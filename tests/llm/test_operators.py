@@ -1,6 +1,7 @@
 """The ten operators against brute force, on small frames that hold nulls, empty and repeated rows, copies and long texts."""
 
 import hashlib
+import os
 import random
 import re
 import struct
@@ -239,16 +240,18 @@ def test_packing(docs, corpus):
 
 
 def test_tokenizer():
-    """Cached pieces give the library's ids, also where blanks, line ends, added tokens and punctuation meet, and when the cache is emptied."""
+    """Merging by rank gives the library's ids, also where blanks, line ends, added tokens and punctuation meet; other kinds of file go through the library."""
     library = packing.Tokenizer(tokenizer_path())
+    assert library.ranked is not None
     rng = random.Random(8)
     units = ["word", "don't", "it's.", "é!", "x<|endoftext|>", "<|endoftext|>", "a.\nb,", "\n", "", "3.14", "12)", "»«.", "o'", "日本。.", "ß''s", "'s", "--", "\t", "Ⅷ.", "q_"]
     texts = [" ".join(rng.choice(units[:20 if i % 2 else 6]) for _ in range(rng.randint(0, 12))) for i in range(1500)]
-    for low in range(0, len(texts), 100):
-        if low == 700:
-            library.clear()
-        for t, ids in zip(texts[low : low + 100], library.encode(texts[low : low + 100]), strict=True):
-            assert ids.tolist() == library.library.encode(t, add_special_tokens=False).ids, t
+    letters = [chr(c) for c in [*range(0x250), *range(0x300, 0x330), *range(0x600, 0x680), *range(0x2000, 0x2040), *range(0x1F600, 0x1F610), 0x85, 0x3000, 0xFEFF, 0x10FFFF]]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 80))) for _ in range(500)] + ["x" * 30000, " " * 30000, "\n " * 9000]
+    for t in texts:
+        assert library.encode(t).tolist() == library.library.encode(t, add_special_tokens=False).ids, t
+    other = packing.Tokenizer(os.path.join(os.path.dirname(tokenizer_path()), "word_bpe_49k.json"))
+    assert other.ranked is None and other.encode("Some words.").tolist() == other.library.encode("Some words.", add_special_tokens=False).ids
 
 
 def test_media(docs, corpus):
