@@ -364,6 +364,71 @@ def test_nearest(spark):
     assert hits >= 0.9 * 20 * len(got)
 
 
+def _nearest_by_force(rows, k=20):
+    """Exact neighbours of the rows whose id is divisible by 20, ties to the smaller id."""
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
+    out = {}
+    for i, q in zip(ids[ids % 20 == 0], x[ids % 20 == 0]):
+        score = (x * q).sum(1)
+        order = [j for j in np.lexsort((ids, -score)) if ids[j] != i][:k]
+        out[int(i)] = [(int(ids[j]), float(score[j])) for j in order]
+    return out
+
+
+def _found(df):
+    out = defaultdict(list)
+    for r in df.orderBy("query_id", "rank").collect():
+        out[r["query_id"]].append((r["vec_id"], r["score"]))
+    return out
+
+
+def test_nearest_of_copies(spark):
+    """Copies of a vector stand in the index once and come out by id; doubles stay doubles; fewer rows than asked for are all returned."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((240, 16))
+    x[20:130] = x[20]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = _found(vectors.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)))
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in _nearest_by_force(rows).items()}
+    assert all(abs(a[1] - b[1]) < 1e-12 for q, v in _nearest_by_force(rows).items() for a, b in zip(v, got[q], strict=True))
+    few = [(i, [float(i + 1), 1.0]) for i in range(0, 100, 20)] + [(7, [1.0, 2.0, 3.0])]
+    assert _found(vectors.nearest(spark.createDataFrame(few, "vec_id long, embedding array<double>"))) == _nearest_by_force(few[:5])
+
+
+@pytest.mark.parametrize("kind", ["clusters", "lengths"])
+def test_nearest_recall(spark, kind, monkeypatch):
+    """Recall over many lists and blocks, for vectors in clusters and for vectors of very different lengths."""
+    monkeypatch.setattr(vectors, "LIST_ROWS", 100)
+    monkeypatch.setattr(vectors, "ROW_BLOCK", 500)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((4000, 24)).astype(np.float32)
+    x = x * 0.3 + rng.standard_normal((40, 24)).astype(np.float32)[rng.integers(0, 40, 4000)] if kind == "clusters" else x * np.exp(rng.standard_normal((4000, 1)))
+    rows = [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))]
+    want, got = _nearest_by_force(rows), _found(vectors.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")))
+    hits = sum(len({i for i, _ in want[q]} & {i for i, _ in got[q]}) for q in want)
+    assert set(got) == set(want) and hits >= 0.93 * 20 * len(want)
+    assert vectors.fit_lists(x.astype(float), 4000, 20, 1, list_rows=100).probes < (12 if kind == "clusters" else 40)
+
+
+def test_nearest_codes(spark):
+    """On the test table the packed codes alone leave a small share of the rows for exact scoring, and find nine tenths of the neighbours."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("embedding IS NOT NULL").select("vec_id", "embedding").collect()
+    x = np.array([r["embedding"] for r in rows], np.float64)
+    turn = vectors.rotation(x.shape[1], 5)
+    code, length, fit = vectors.encode(x, turn)
+    q = x[::20]
+    estimate = vectors.Planes(q, turn).products(np.arange(len(q)), code) * (length / fit)
+    plain = (q @ turn.T) @ np.where(x @ turn.T > 0, 1, -1).T / np.sqrt(x.shape[1]) * (length / fit)
+    assert np.abs(estimate - plain).max() < 0.1
+    error = vectors.ERROR_SCALE * length * np.sqrt((1 - fit**2) / fit**2 / (x.shape[1] - 1)) * np.linalg.norm(q, axis=1)[:, None]
+    exact = q @ x.T
+    kth = np.sort(exact, axis=1)[:, -21]
+    looked_at = estimate + error >= kth[:, None]
+    assert looked_at.mean() < 0.3 and (looked_at & (exact >= kth[:, None])).sum() >= 0.95 * 21 * len(q)
+    want, got = _nearest_by_force([(r["vec_id"], r["embedding"]) for r in rows]), _found(vectors.nearest(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")))
+    assert sum(len({i for i, _ in want[q]} & {i for i, _ in got[q]}) for q in want) >= 0.95 * sum(map(len, want.values()))
+
+
 def test_quality(spark):
     rng = random.Random(4)
     good = lambda: " ".join(rng.choice(("the", "river", "quiet", "House", "walks", "slowly.")) for _ in range(60))
