@@ -1,8 +1,8 @@
 """Suffix-array dedup: bytes that repeat an earlier document's passage are removed.
 
 Every 50-byte window is owned by one gram inside it (the least hash of its 24-byte grams), so equal windows have equal owners and can meet
-by the owner's hash. What meets there are short segments; a suffix array over each group's distinct segments, built by linear grouping
-construction, finds the equal windows.
+by the owner's hash. The windows that a gram owns side by side are one segment. Suffix arrays over the distinct segments around a gram,
+one after another, are built by linear grouping construction; neighbours in them that agree over 50 bytes are equal windows.
 """
 
 from __future__ import annotations
@@ -17,19 +17,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.llm.storage import written
+from ledgerloom.llm.storage import Scratch
 from ledgerloom.llm.textkit import mixed, slices, text_bytes
 
 SPAN, GRAM = 50, 24
 GRAMS = SPAN - GRAM + 1
-#: Owners with more occurrences meet as distinct segments.
-HOT = 4096
+#: Up to so many distinct segments around a gram make one text for a suffix array; more are parted first.
+SPLIT = 32
+#: Symbols that are worked on side by side.
 CELLS = 1 << 18
+#: Windows to a part of a segment.
 PART = 3
 #: Symbols beyond bytes: the bytes that a part's texts share, and the end of a text, which sorts first.
 SHARED, END = "\u0100", "\uffff"
 #: Grams so frequent in one slice of texts needn't meet row by row.
 OFTEN = 32
+#: What a document knows of a gram: an earlier document has it; none has; it is shared, by which documents is yet to be seen.
+LATER, FIRST, TOLD = 0, 1, 2
 
 
 def suffix_arrays(symbols: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -160,103 +164,94 @@ def owners(data: np.ndarray, offsets: np.ndarray, low: int, high: int) -> tuple[
 
 
 def _grams(often_from: int):
-    """Rows (key, kind, doc_id, at) of kind 0 for each gram, under its hash. Grams found ``often_from`` times in a slice, in two documents at
-    least, are known to be shared: two rows of kind 1 under their hash tell the least and the largest document, and their occurrences are
-    of kind 2, under keys that spread them."""
+    """Rows (key, gram, kind, doc_id) of kind 0 for each gram of a document, under its hash. Grams found ``often_from`` times in a slice, in
+    two documents at least, are known to be shared: two rows of kind 1 under their hash tell the least and the largest document, and their
+    documents' rows are of kind 2, under keys that spread them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             ids = batch.column(0).to_numpy()
             for low, high in slices(offsets):
-                row, h, first, _, _ = owners(data, offsets, low, high)
-                key, kind, doc = h.view(np.int64), np.zeros(len(h), np.int8), ids[row]
-                order = np.argsort(h)
-                begin = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1]))) if len(h) else np.empty(0, np.int64)
+                row, h, *_ = owners(data, offsets, low, high)
+                order = np.lexsort((row, h))
+                row, h = row[order], h[order]
+                new = np.concatenate(([True], (h[1:] != h[:-1]) | (row[1:] != row[:-1]))) if len(h) else np.zeros(0, bool)
+                row, h = row[new], h[new]
+                gram, kind, doc = h.view(np.int64), np.zeros(len(h), np.int8), ids[row]
+                key = gram
+                begin = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
                 many = np.diff(np.append(begin, len(h)))
                 often = np.flatnonzero(many >= often_from)
                 if len(often):
-                    least, most = np.minimum.reduceat(doc[order], begin)[often], np.maximum.reduceat(doc[order], begin)[often]
+                    least, most = np.minimum.reduceat(doc, begin)[often], np.maximum.reduceat(doc, begin)[often]
                     often, least, most = often[least < most], least[least < most], most[least < most]
                 if len(often):
-                    told = key[order[begin[often]]]
+                    told = gram[begin[often]]
                     hit = np.zeros(len(begin), bool)
                     hit[often] = True
-                    where = order[np.repeat(hit, many)]
-                    key = key.copy()
-                    key[where] = mixed(doc[where].astype(np.uint64) * np.uint64(1 << 32) + first[where].astype(np.uint64)).view(np.int64)
+                    where = np.repeat(hit, many)
+                    key = gram.copy()
+                    key[where] = mixed(mixed(doc[where].astype(np.uint64)) ^ h[where]).view(np.int64)
                     kind[where] = 2
-                    key, kind = np.concatenate((key, told, told)), np.concatenate((kind, np.ones(2 * len(often), np.int8)))
-                    doc, first = np.concatenate((doc, least, most)), np.concatenate((first, np.full(2 * len(often), -1)))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(kind), pa.array(doc), pa.array(first.astype(np.int32))], ["h", "kind", "doc_id", "at"])
+                    key, gram, kind = np.concatenate((key, told, told)), np.concatenate((gram, told, told)), np.concatenate((kind, np.ones(2 * len(often), np.int8)))
+                    doc = np.concatenate((doc, least, most))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(gram), pa.array(kind), pa.array(doc)], ["key", "gram", "kind", "doc_id"])
 
     return run
 
 
+def _flat(lists: pa.Array, low: int, high: int, *fields: str) -> tuple[np.ndarray, ...]:
+    """Row number and fields of every entry of the rows [low, high) of a column of lists of structs."""
+    part = lists.slice(low, high - low)
+    many = pa.compute.list_value_length(part).fill_null(0).to_numpy(zero_copy_only=False)
+    values = part.flatten()
+    return np.repeat(np.arange(low, high), many), *(values.field(f).to_numpy(zero_copy_only=False) for f in fields)
+
+
+def _matched(rows: int, row: np.ndarray, value: np.ndarray, known_row: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """For each (row, value) its place among the known pairs, which are distinct; -1 where there is none."""
+    if not len(known) or not len(row):
+        return np.full(len(row), -1, np.int64)
+    distinct, code = np.unique(known, return_inverse=True)
+    order = np.argsort(key := code * rows + known_row)
+    at = np.minimum(np.searchsorted(distinct, value), len(distinct) - 1)
+    want = at * rows + row
+    place = np.minimum(np.searchsorted(key[order], want), len(order) - 1)
+    return np.where((distinct[at] == value) & (key[order][place] == want), order[place], -1)
+
+
+class _Shared:
+    """The segments of rows [low, high) whose grams other documents share, with what is known of them."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, low: int, high: int, shared: pa.Array, wanted: tuple[int, ...]) -> None:
+        row, h, first, many, gram = owners(data, offsets, low, high)
+        h = h.view(np.int64)
+        known_row, known, state = _flat(shared, low, high, "gram", "state")
+        at = _matched(high + 1, row, h, known_row, known)
+        state = state[at] if len(known) else np.zeros(len(at), np.int8)
+        keep = np.flatnonzero((at >= 0) & np.isin(state, wanted))
+        self.row, self.h, self.first, self.many, self.gram, self.state = row[keep], h[keep], first[keep], many[keep], gram[keep], state[keep]
+        self.begin = offsets[self.row] + self.first - offsets[low]
+        raw = data[offsets[low] : offsets[high]].tobytes() if len(keep) else b""
+        self.texts = [raw[a:b] for a, b in zip(self.begin.tolist(), (self.begin + self.many + SPAN - 1).tolist(), strict=True)]
+        self.g = np.fromiter(map(xxhash.xxh3_64_intdigest, self.texts), np.uint64, len(self.texts)).view(np.int64)
+
+
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of each shared gram, as one segment."""
+    """The segments of shared grams, each distinct one of a slice once, with its least document."""
     for batch in batches:
         data, offsets = text_bytes(batch.column(1))
-        ids, shared = batch.column(0), batch.column(2)
-        for low, high in slices(offsets):
-            row, h, first, many, gram = owners(data, offsets, low, high)
-            wanted, hot = {}, {}
-            for i in range(low, high):
-                v = shared[i].values
-                wanted[i], hot[i] = v.field("at").to_numpy(), v.field("hot").to_numpy(zero_copy_only=False)
-            keep, is_hot = np.zeros(len(row), bool), np.zeros(len(row), bool)
-            for i in range(low, high):
-                a, b = np.searchsorted(row, [i, i + 1])
-                keep[a:b] = np.isin(first[a:b], wanted[i])
-                is_hot[a:b] = np.isin(first[a:b], wanted[i][hot[i]])
-            row, h, first, many, gram, is_hot = row[keep], h[keep], first[keep], many[keep], gram[keep], is_hot[keep]
-            begin = offsets[row] + first
-            raw = data[offsets[low] : offsets[high]].tobytes()
-            texts = [raw[a : a + k] for a, k in zip((begin - offsets[low]).tolist(), (many + SPAN - 1).tolist(), strict=True)]
-            digest = np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array(digest.view(np.int64)), ids.take(pa.array(row)), pa.array(first.astype(np.int32)), pa.array(texts, pa.binary()), pa.array(gram.astype(np.int32)), pa.array(is_hot)],
-                ["h", "g", "doc_id", "at", "segment", "gram", "hot"],
-            )
-
-
-def earliest(groups: list[tuple[list[bytes], np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """For each group of distinct segments, with the first document and the gram's place of each: a row per segment, with the first document that has the window at each place.
-
-    A window's place relative to the group's gram is part of its content. So windows are parted by ``PART`` neighbouring places and by the
-    bytes that all windows of these places share; only parts whose bytes differ beyond that need a suffix array, in which one symbol stands
-    for the shared bytes.
-    """
-    shared = SPAN - PART + 1
-    out, parts, homes = [], [], []
-    for n, (texts, docs, grams) in enumerate(groups):
-        out.append(np.repeat(docs[:, None], max(map(len, texts)) - SPAN + 1, 1))
-        known = docs.tolist()
-        found: dict[tuple[int, bytes], dict[bytes, list[tuple[int, int]]]] = {}
-        for k, (text, gram) in enumerate(zip(texts, grams.tolist(), strict=True)):
-            last = len(text) - SPAN
-            for c in range((gram - last) // PART, gram // PART + 1):
-                high = gram - PART * c
-                low = max(0, high - PART + 1)
-                part = text[low : min(last, high) + SPAN]
-                found.setdefault((c, text[high : high + shared]), {}).setdefault(part, []).append((k, low))
-        for (c, _), members in found.items():
-            ks = [[k for k, _ in m] for m in members.values()]
-            firsts = np.array([min(map(known.__getitem__, k)) for k in ks])
-            if len(members) > 1:
-                before = [grams[m[0][0]] - PART * c - m[0][1] for m in members.values()]
-                parts.append(([part[:k].decode("latin-1") + SHARED + part[k + shared :].decode("latin-1") for part, k in zip(members, before, strict=True)], firsts))
-                homes.append((n, list(members.items())))
-            elif len(ks[0]) > 1:
-                w = len(next(iter(members))) - SPAN + 1
-                for k, low in next(iter(members.values())):
-                    out[n][k, low : low + w] = firsts[0]
-    for (n, members), got in zip(homes, earliest_windows(parts, PART), strict=True):
-        for row, (part, m) in zip(got, members, strict=True):
-            w = len(part) - SPAN + 1
-            for k, low in m:
-                out[n][k, low : low + w] = row[:w]
-    return out
+        ids = batch.column(0).to_numpy()
+        for low, high in slices(offsets, 1 << 22):
+            s = _Shared(data, offsets, low, high, batch.column(2), (LATER, FIRST, TOLD))
+            doc = ids[s.row]
+            order = np.lexsort((doc, s.g, s.h))
+            h, g = s.h[order], s.g[order]
+            new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])))) if len(h) else np.empty(0, np.int64)
+            told = np.maximum.reduceat(s.state[order] == TOLD, new) if len(new) else np.empty(0, bool)
+            one = order[new]
+            yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(g[new]), pa.array(doc[one]), pa.array([s.texts[i] for i in one.tolist()], pa.binary()), pa.array(s.gram[one].astype(np.int32)), pa.array(told)], ["h", "g", "doc_id", "segment", "gram", "told"])
 
 
 def earliest_windows(groups: list[tuple[list[str], np.ndarray]], span: int) -> list[np.ndarray]:
@@ -307,32 +302,8 @@ def earliest_windows(groups: list[tuple[list[str], np.ndarray]], span: int) -> l
     return out
 
 
-def _covered(occurrences: bool):
-    """Runs over whole groups of rows sorted by (h, g, doc_id): what the first documents cover, by occurrence; or, of each distinct segment,
-    the windows that its first document keeps as a bit mask. All windows of its other occurrences have an earlier document."""
-
-    def found(t: pa.Table) -> pa.RecordBatch:
-        h, g, doc = (t[c].to_numpy() for c in ("h", "g", "doc_id"))
-        new_h = np.concatenate(([True], h[1:] != h[:-1]))
-        new = new_h | np.concatenate(([True], g[1:] != g[:-1]))
-        distinct = np.flatnonzero(new)
-        size = pa.compute.binary_length(t["segment"].combine_chunks()).to_numpy()[distinct]
-        docs, grams, windows = doc[distinct], t["gram"].to_numpy()[distinct], size - SPAN + 1
-        table = np.repeat(docs[:, None], windows.max(), 1)
-        bounds = np.append(np.flatnonzero(new_h[distinct]), len(distinct))
-        several = np.flatnonzero(np.diff(bounds) > 1)
-        ranges = list(zip(bounds[several].tolist(), bounds[several + 1].tolist(), strict=True))
-        within = np.concatenate([np.arange(a, b) for a, b in ranges]) if ranges else np.empty(0, np.int64)
-        texts = dict(zip(within.tolist(), t["segment"].take(pa.array(distinct[within])).to_pylist(), strict=True))
-        first = earliest([([texts[i] for i in range(a, b)], docs[a:b], grams[a:b]) for a, b in ranges])
-        for (a, b), m in zip(ranges, first, strict=True):
-            table[a:b, : m.shape[1]] = m
-        table[np.arange(table.shape[1]) >= windows[:, None]] = np.iinfo(np.int64).max
-        if not occurrences:
-            bits = ((table == docs[:, None]) << np.arange(table.shape[1])).sum(1)
-            some = np.flatnonzero(bits)
-            return pa.RecordBatch.from_arrays([pa.array(docs[some]), pa.array(h[distinct][some]), pa.array(g[distinct][some]), pa.array(bits[some].astype(np.int32))], ["doc_id", "h", "g", "kept"])
-        return _ranges(table[np.cumsum(new) - 1], doc, t["at"].to_numpy())
+def _whole_groups(keys: list[str], found):
+    """Runs ``found`` over tables of whole groups of rows, which come sorted by ``keys``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -341,91 +312,149 @@ def _covered(occurrences: bool):
                 continue
             t = pa.Table.from_batches([batch])
             t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
-            h = t["h"].to_numpy()
-            last = int(np.searchsorted(h, h[-1]))
+            new = np.flatnonzero(np.any([(k := t[c].to_numpy())[1:] != k[:-1] for c in keys], axis=0)) + 1
+            last = int(new[-1]) if len(new) else 0
             if last:
-                yield found(t.slice(0, last))
+                yield found(t.slice(0, last), np.concatenate(([0], new[:-1])))
             held = t.slice(last)
         if held is not None:
-            yield found(held)
+            yield found(held, np.zeros(1, np.int64))
 
     return run
 
 
-def _ranges(first: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """Byte ranges that windows with an earlier document cover."""
-    hit = np.zeros((len(doc), first.shape[1] + 2), np.int8)
-    hit[:, 1:-1] = first < doc[:, None]
-    edge = np.diff(hit, axis=1)
-    row, low = np.nonzero(edge == 1)
-    _, high = np.nonzero(edge == -1)
-    return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array((at[row] + low).astype(np.int32)), pa.array((at[row] + high + SPAN - 1).astype(np.int32))], ["doc_id", "low", "high"])
+def _bits(first: list[np.ndarray], docs: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """The windows of each text that its own document is the first to have, as a bit mask."""
+    out, at = np.zeros(len(docs), np.int64), 0
+    for m in first:
+        part = slice(at, at + len(m))
+        own = (m == docs[part, None]) & (np.arange(m.shape[1]) < windows[part, None])
+        out[part] = (own.astype(np.int64) << np.arange(m.shape[1])).sum(1)
+        at += len(m)
+    return out
 
 
-def _hot_ranges(hot: list[dict], kept: list[dict]) -> Iterator[tuple[int, int]]:
-    """Byte ranges of one document that its hot segments lose: all, except windows that it is the first document to hold."""
-    masks = {(k["h"], k["g"]): k["kept"] for k in kept}
-    for s in hot:
-        mask, at, n = masks.get((s["h"], s["g"]), 0), s["at"], s["size"] - SPAN + 1
-        if not mask:
-            yield at, at + s["size"]
-            continue
-        for w in range(n):
-            if not mask >> w & 1:
-                yield at + w, at + w + SPAN
+def _kept_of_segments(t: pa.Table, begin: np.ndarray) -> pa.RecordBatch:
+    """Of distinct segments, what their first documents keep. A gram's first document keeps all that it has around it, which it knows by itself unless the gram is a told one."""
+    docs, told = t["doc_id"].to_numpy(), t["told"].to_numpy()
+    texts = [x.decode("latin-1") for x in t["segment"].to_pylist()]
+    stops = [*begin[1:].tolist(), len(texts)]
+    first = earliest_windows([(texts[a:b], docs[a:b]) for a, b in zip(begin.tolist(), stops, strict=True)], SPAN)
+    bits = _bits(first, docs, np.array([len(x) - SPAN + 1 for x in texts]))
+    least = np.repeat(np.minimum.reduceat(docs, begin), np.diff(np.append(begin, len(docs))))
+    some = np.flatnonzero((bits > 0) & ((docs != least) | told))
+    return pa.RecordBatch.from_arrays([pa.array(docs[some]), *(pa.array(t[c].to_numpy()[some]) for c in ("h", "g")), pa.array(bits[some].astype(np.int32))], ["doc_id", "h", "g", "kept"])
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments in parts of ``PART`` neighbouring windows, by their places relative to the gram. Equal windows have equal places and hold the
+    bytes that all windows of these places share, so they meet by the place class c and the hash s of these."""
+    shared = SPAN - PART + 1
+    for batch in batches:
+        out: list[list] = [[] for _ in range(9)]
+        for h, g, doc, text, gram in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            last = len(text) - SPAN
+            for c in range((gram - last) // PART, gram // PART + 1):
+                high = gram - PART * c
+                low = max(0, high - PART + 1)
+                part = text[low : min(last, high) + SPAN]
+                row = (h, c, xxhash.xxh3_64_intdigest(text[high : high + shared]) - (1 << 63), xxhash.xxh3_64_intdigest(part) - (1 << 63), g, doc, low, high - low, part)
+                for o, v in zip(out, row, strict=True):
+                    o.append(v)
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, types, strict=True)], ["h", "c", "s", "p", "g", "doc_id", "low", "before", "part"])
+
+
+def _kept_of_parts(t: pa.Table, begin: np.ndarray) -> pa.RecordBatch:
+    """Of distinct parts, the windows that their first document keeps; in the suffix array one symbol stands for the bytes that all share."""
+    shared, docs = SPAN - PART + 1, t["doc_id"].to_numpy()
+    parts, before = t["part"].to_pylist(), t["before"].to_pylist()
+    texts = [x[:k].decode("latin-1") + SHARED + x[k + shared :].decode("latin-1") for x, k in zip(parts, before, strict=True)]
+    stops = [*begin[1:].tolist(), len(texts)]
+    first = earliest_windows([(texts[a:b], docs[a:b]) for a, b in zip(begin.tolist(), stops, strict=True)], PART)
+    bits = _bits(first, docs, np.array([len(x) - SPAN + 1 for x in parts]))
+    some = np.flatnonzero(bits)
+    return pa.RecordBatch.from_arrays([pa.array(t[c].to_numpy()[some]) for c in ("h", "c", "s", "p", "doc_id")] + [pa.array(bits[some].astype(np.int32))], ["h", "c", "s", "p", "doc_id", "bits"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cuts what the windows cover that an earlier document has: all windows of shared grams, but for those kept."""
+    span = pa.struct([("low", pa.int64()), ("high", pa.int64())])
     for batch in batches:
-        removed, spans, kept = [], [], []
-        for text, ranges, hot, kept_windows in zip(batch.column(1), *(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
-            raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-            runs: list[list[int]] = []
-            for r in sorted([*((r["low"], r["high"]) for r in ranges or ()), *_hot_ranges(hot or [], kept_windows or [])]):
-                if runs and r[0] <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], r[1])
-                else:
-                    runs.append(list(r))
-            parts, at = [], 0
-            for a, b in runs:
-                parts.append(raw[at:a])
-                at = b
-            kept.append(b"".join([*parts, raw[at:]]))
-            removed.append(len(raw) - len(kept[-1]))
-            spans.append([{"low": a, "high": b} for a, b in runs])
-        size = pa.compute.binary_length(batch.column(1).cast(pa.binary())).fill_null(0).cast(pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), size, pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+        data, offsets = text_bytes(batch.column(1))
+        for low, high in slices(offsets):
+            s = _Shared(data, offsets, low, high, batch.column(2), (LATER, TOLD))
+            known_row, known_h, known_g, bits = _flat(batch.column(3), low, high, "h", "g", "kept")
+            h_codes = np.unique(known_h)
+            of = lambda h: np.minimum(np.searchsorted(h_codes, h), len(h_codes) - 1) if len(h_codes) else np.zeros(len(h), np.int64)  # noqa: B023, E731
+            code = of(s.h)
+            there = h_codes[code] == s.h if len(h_codes) else np.zeros(len(s.h), bool)
+            # A pair of row and gram as one number, met by the segment's digest.
+            rows = (high + 1) * max(len(h_codes), 1)
+            at = _matched(rows, code * (high + 1) + s.row, s.g, of(known_h) * (high + 1) + known_row, known_g)
+            kept = np.where(there & (at >= 0), bits[at] if len(bits) else 0, 0).astype(np.int64)
+            size = int(offsets[high] - offsets[low])
+            edge = np.zeros(size + 1, np.int64)
+            whole = kept == 0
+            np.add.at(edge, s.begin[whole], 1)
+            np.add.at(edge, s.begin[whole] + s.many[whole] + SPAN - 1, -1)
+            for w in range(GRAMS):
+                lost = s.begin[~whole & (w < s.many) & (kept >> w & 1 == 0)] + w
+                np.add.at(edge, lost, 1)
+                np.add.at(edge, lost + SPAN, -1)
+            gone = np.cumsum(edge[:-1]) > 0
+            bounds = offsets[low : high + 1] - offsets[low]
+            ends = np.zeros(size + 1, bool)
+            ends[bounds] = True
+            padded = np.concatenate(([False], gone, [False]))
+            begin = np.flatnonzero(padded[1:] & (~padded[:-1] | ends))
+            stop = np.flatnonzero(padded[:-1] & (~padded[1:] | ends))
+            start = np.searchsorted(begin, bounds)
+            home = np.repeat(bounds[:-1], np.diff(start))
+            left = np.concatenate(([0], np.cumsum(~gone)))[bounds]
+            raw = data[offsets[low] : offsets[high]][~gone]
+            texts = pa.Array.from_buffers(pa.large_binary(), high - low, [None, pa.py_buffer(left.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
+            spans = pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.StructArray.from_arrays([pa.array(begin - home), pa.array(stop - home)], fields=list(span)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(np.diff(bounds)), pa.array(np.diff(bounds) - np.diff(left)), spans, texts], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (maximal removed byte runs) and kept (the other bytes) of each row.
 
     A byte goes if a 50-byte string that covers it also starts in a document of smaller doc_id, judged on the input; matches stay within
-    documents. Null text counts as empty. Rows with a null doc_id neither lose nor cost bytes; rows that repeat a doc_id are one document,
-    so their texts don't count against each other. Other columns are ignored.
+    documents. Null text counts as empty. Rows with a null doc_id neither lose nor cost bytes; rows that repeat a doc_id are one document:
+    their texts don't count against each other, and each loses what its own text repeats. Other columns are ignored.
     """
     rows = docs.select("doc_id", "text")
     known = rows.where("doc_id IS NOT NULL")
-    # Grams that own windows in two documents at least; a row of three numbers for every dozen bytes is all that is shuffled here.
+    scratch = Scratch(docs.sparkSession, "suffix-dedup")
+    # Grams that own windows in two documents at least: a row of a few numbers for every dozen bytes is all that is shuffled here.
     spread = (F.col("kind") == 2).alias("spread")
-    by = Window.partitionBy("h", "spread")
-    grams = known.mapInArrow(_grams(OFTEN), "h long, kind byte, doc_id long, at int").repartition("h").withColumn("spread", spread)
-    hot = F.max("kind").over(by) > 0
-    grams = grams.select("kind", "doc_id", "at", F.min("doc_id").over(by).alias("least"), F.max("doc_id").over(by).alias("most"), (hot | (F.count("*").over(by) > HOT)).alias("hot"))
-    grams = grams.where("kind = 2 OR (kind = 0 AND least < most)")
+    by = Window.partitionBy("key", "spread")
+    grams = known.mapInArrow(_grams(OFTEN), "key long, gram long, kind byte, doc_id long").repartition("key").withColumn("spread", spread)
+    grams = grams.select("gram", "kind", "doc_id", F.min("doc_id").over(by).alias("least"), F.max("doc_id").over(by).alias("most")).where("kind = 2 OR (kind = 0 AND least < most)")
+    state = F.when(F.col("kind") == 2, TOLD).when(F.col("doc_id") == F.col("least"), FIRST).otherwise(LATER).cast("byte")
     # A document's grams are bounded by its own text.
-    shared = written(grams.groupBy("doc_id").agg(F.collect_set(F.struct("at", "hot")).alias("shared")), "shared-grams")
-    segments = known.join(shared.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "shared").mapInArrow(_segments, "h long, g long, doc_id long, at int, segment binary, gram int, hot boolean")
-    segments = written(segments, "segments")
-    plain = segments.where("NOT hot").select("h", "g", "doc_id", "at", "segment", "gram").repartition("h").sortWithinPartitions("h", "g", "doc_id")
-    ranges = plain.mapInArrow(_covered(True), "doc_id long, low int, high int")
-    hot = segments.where("hot")
-    distinct = hot.groupBy("h", "g").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("segment", "gram")).alias("s")).select("h", "g", "doc_id", "s.*").repartition("h").sortWithinPartitions("h", "g")
-    kept = distinct.mapInArrow(_covered(False), "doc_id long, h long, g long, kept int")
-    # Occurrences of hot segments meet what their documents keep by document, so no row is made for an occurrence on the way.
-    what = {"range": F.struct("low", "high"), "hot": F.struct("h", "g", "at", F.length("segment").alias("size")), "kept": F.struct("h", "g", "kept")}
-    parts = [df.select("doc_id", what[k].alias(k)) for k, df in (("range", ranges), ("hot", hot), ("kept", kept))]
-    both = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
-    spans = written(both.groupBy("doc_id").agg(*(F.collect_set(k).alias(k) for k in what)), "ranges")
-    out = rows.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", *what)
-    return out.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<low:bigint,high:bigint>>, kept binary")
+    shared = scratch.write(grams.groupBy("doc_id").agg(F.collect_set(F.struct("gram", state.alias("state"))).alias("shared")), "shared-grams")
+
+    segments = known.join(shared.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "shared").mapInArrow(_segments, "h long, g long, doc_id long, segment binary, gram int, told boolean")
+    segments = segments.groupBy("h", "g").agg(F.min("doc_id").alias("doc_id"), F.max("told").alias("told"), F.first(F.struct("segment", "gram")).alias("s")).select("h", "g", "doc_id", "s.*", "told")
+    segments = scratch.write(segments, "segments")
+    counts = scratch.write(segments.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    alone = segments.where("told").join(counts, "h", "left_anti").select("doc_id", "h", "g", F.expr(f"cast(shiftleft(1L, length(segment) - {SPAN - 1}) - 1 as int)").alias("kept"))
+    few = segments.join(counts.where(F.col("n") <= SPLIT), "h").repartition("h").sortWithinPartitions("h", "g").select("h", "g", "doc_id", "segment", "told")
+    kept = few.mapInArrow(_whole_groups(["h"], _kept_of_segments), "doc_id long, h long, g long, kept int")
+    # Around a gram with many distinct segments, parts of these meet by more of their bytes.
+    parts = segments.join(counts.where(F.col("n") > SPLIT), "h").select("h", "g", "doc_id", "segment", "gram")
+    parts = scratch.write(parts.mapInArrow(_parts, "h long, c int, s long, p long, g long, doc_id long, low int, before int, part binary"), "parts")
+    place = ["h", "c", "s"]
+    least = parts.groupBy(*place, "p").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("part", "before")).alias("x")).select(*place, "p", "doc_id", "x.*")
+    least = least.repartition(*place).sortWithinPartitions(*place, "p").mapInArrow(_whole_groups(place, _kept_of_parts), "h long, c int, s long, p long, doc_id long, bits int")
+    of_parts = parts.select(*place, "p", "g", "doc_id", "low").join(least, [*place, "p", "doc_id"]).groupBy("doc_id", "h", "g").agg(F.bit_or(F.expr("shiftleft(bits, low)")).alias("kept"))
+    kept = alone.unionByName(kept).unionByName(of_parts)
+    known_rows = scratch.write(kept.groupBy("doc_id").agg(F.collect_set(F.struct("h", "g", "kept")).alias("kept")), "kept")
+    scratch.drop(segments, counts, parts)
+
+    # Both lists of a document come before its text does, so that texts are shuffled once.
+    both = shared.join(known_rows, "doc_id", "left")
+    return rows.join(both.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "shared", "kept").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<low:bigint,high:bigint>>, kept binary")

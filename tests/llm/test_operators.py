@@ -125,9 +125,9 @@ def test_components(spark):
     assert got == {i: want[i] for i in {x for a, b in links if a != b for x in (a, b)}}
 
 
-@pytest.mark.parametrize(("hot", "often"), [(suffix_dedup.HOT, suffix_dedup.OFTEN), (2, 32), (8, 4), (4096, 2)])
-def test_suffix_dedup(docs, corpus, hot, often, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+@pytest.mark.parametrize(("split", "often"), [(suffix_dedup.SPLIT, suffix_dedup.OFTEN), (2, 32), (3, 2), (1000, 2)])
+def test_suffix_dedup(docs, corpus, split, often, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SPLIT", split)
     monkeypatch.setattr(suffix_dedup, "OFTEN", often)
     seen: dict[bytes, int] = {}
     raw = {i: (t or "").encode() for i, t in corpus}
@@ -144,6 +144,49 @@ def test_suffix_dedup(docs, corpus, hot, often, monkeypatch):
         assert (got[i]["n_bytes"], got[i]["n_removed"], len(got[i]["spans"]), bytes(got[i]["kept"])) == (len(b), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum()), kept)
 
 
+def test_suffix_dedup_of_hot_phrases(spark):
+    """A phrase of 40 bytes in many contexts is parted; rows that repeat an id are cut by what their own texts repeat."""
+    rng = random.Random(9)
+    letters = lambda k: "".join(rng.choice("abcdef") for _ in range(k))
+    phrase, passage = letters(40), letters(120)
+    rows = [(i, letters(12) + phrase + letters(12) + (passage if i % 10 == 9 else "")) for i in range(120)]
+    rows += [(i + 200, rows[i][1][i % 5 :]) for i in range(0, 120, 3)]
+    seen: dict[str, int] = {}
+    for i, t in rows:
+        for k in range(len(t) - 49):
+            seen.setdefault(t[k : k + 50], i)
+    rows += [(400, passage + letters(60)), (400, letters(60) + passage), (400, letters(180))]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    want = []
+    for i, t in rows:
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - 49):
+            if seen.get(t[k : k + 50], i) < i:
+                gone[k : k + 50] = True
+        want.append((i, "".join(c for c, g in zip(t, gone) if not g)))
+    assert sorted((r["doc_id"], bytes(r["kept"]).decode()) for r in got) == sorted(want)
+
+
+def test_suffix_arrays_decide(monkeypatch):
+    """What first documents keep comes from neighbours in the suffix array: in any other order equal windows aren't found."""
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    common = "".join(rng.choice("abcd") for _ in range(60))
+    texts = [("%02d" % i + common + "%02d" % i)[i % 3 :].encode() for i in range(12)]
+    t = pa.table({"h": [1] * 12, "g": list(range(12)), "doc_id": list(range(12)), "segment": pa.array(texts, pa.binary()), "told": [True] * 12})
+    first: dict[bytes, int] = {}
+    for i, x in enumerate(texts):
+        for k in range(len(x) - 49):
+            first.setdefault(x[k : k + 50], i)
+    want = {i: sum(1 << k for k in range(len(x) - 49) if first[x[k : k + 50]] == i) for i, x in enumerate(texts)}
+    kept = lambda: dict(zip(*(suffix_dedup._kept_of_segments(t, np.zeros(1, np.int64)).to_pydict()[c] for c in ("doc_id", "kept"))))
+    assert kept() == {i: b for i, b in want.items() if b}
+    right = suffix_dedup.suffix_arrays
+    monkeypatch.setattr(suffix_dedup, "suffix_arrays", lambda symbols, size: np.sort(right(symbols, size), axis=1))
+    assert kept() != {i: b for i, b in want.items() if b}
+
+
 def test_suffix_arrays():
     """Texts end with their smallest symbol, which may stand elsewhere too, as it does between segments."""
     rng = np.random.default_rng(0)
