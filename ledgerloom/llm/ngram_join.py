@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.llm.components import components
-from ledgerloom.llm.storage import written
+from ledgerloom.llm.storage import Scratch
 from ledgerloom.llm.textkit import Words, shingles, slices, text_bytes
 
 #: Shingle frequencies are counted in so many buckets (of the hash's top bits); this bounds what goes to each task.
@@ -21,6 +21,8 @@ BUCKET_BITS = 18
 CELLS = 64
 #: Prefix groups of up to so many texts meet all with all at once; larger ones by stars first, then in blocks.
 SMALL_GROUP, BLOCK = 16, 1024
+#: Neighbours in a large group are looked for in runs of about so many texts.
+STAR_RUN = 4096
 
 
 def _sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -70,11 +72,10 @@ def _prefixes(n: int, num: int, den: int, rarity: np.ndarray):
                     continue
                 if len(seen) < 200_000:
                     seen.add(digest)
-                length = len(s) - -(-num * len(s) // den) + 1
-                tokens.append(s[np.argsort(rarity[s >> np.uint64(64 - BUCKET_BITS)], kind="stable")[:length]])
+                tokens.append(_rarest(s, num, den, rarity))
                 digests.append(digest)
                 sizes.append(len(s))
-                lengths.append(length)
+                lengths.append(len(tokens[-1]))
             if not tokens:
                 continue
             of = np.repeat(np.arange(len(lengths)), lengths)
@@ -89,17 +90,37 @@ def _prefixes(n: int, num: int, den: int, rarity: np.ndarray):
     return run
 
 
-def _cells(n: int):
-    """Adds each text's histogram of shingles over ``CELLS`` cells."""
+def _rarest(s: np.ndarray, num: int, den: int, rarity: np.ndarray) -> np.ndarray:
+    """The prefix of a set: its rarest shingles, ties by hash, as many as must hold one of any partner's."""
+    return s[np.argsort(rarity[s >> np.uint64(64 - BUCKET_BITS)], kind="stable")[: len(s) - -(-num * len(s) // den) + 1]]
+
+
+def _cells(n: int, num: int, den: int, rarity: np.ndarray):
+    """Adds each text's histogram of shingles over ``CELLS`` cells, and the cells of its prefix in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = [np.minimum(np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes() for s in _sets(batch.column(2), n)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.binary())], ["cls", "class_id", "text", "cells"])
+            cells, prefix = [], []
+            for s in _sets(batch.column(2), n):
+                cells.append(np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype("<u4").tobytes())
+                prefix.append((_rarest(s, num, den, rarity) & np.uint64(CELLS - 1)).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.binary()), pa.array(prefix, pa.binary())], ["cls", "node", "text", "cells", "prefix"])
 
     return run
 
 
+def _suffix_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each prefix entry, the histogram of its text's suffix: the shingles that come after the entry's in the order. Counts stop at 255, which only makes histograms more alike."""
+    for batch in batches:
+        whole = np.frombuffer(b"".join(batch["cells"].to_pylist()), "<u4").reshape(-1, CELLS).astype(np.int64)
+        pos, prefix = batch["pos"].to_numpy(), batch["prefix"].to_pylist()
+        row = np.repeat(np.arange(len(pos)), pos + 1)
+        done = np.frombuffer(b"".join(x[: k + 1] for x, k in zip(prefix, pos.tolist(), strict=True)), np.uint8)
+        left = whole - np.bincount(row * CELLS + done, minlength=whole.size).reshape(whole.shape) if len(pos) else whole
+        cells = np.minimum(left, 255).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("token", "cls", "size", "pos", "members", "node")), pa.array([c.tobytes() for c in cells], pa.binary())], ["token", "cls", "size", "pos", "members", "node", "cells"])
+
+
 def _cell_matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CELLS)
 
@@ -117,14 +138,16 @@ class _Filters:
         # At the first shingle that two texts share, nothing before it is shared.
         return fits & (np.minimum(size_a - pos_a, size_b - pos_b) >= need)
 
-    def alike(self, cells_a: np.ndarray, a: np.ndarray, cells_b: np.ndarray, b: np.ndarray, both: np.ndarray) -> np.ndarray:
-        """Texts whose histograms differ by d differ in at least d shingles."""
+    def alike(self, cells_a: np.ndarray, a: np.ndarray, size_a, pos_a, cells_b: np.ndarray, b: np.ndarray, size_b, pos_b) -> np.ndarray:
+        """Suffixes whose histograms differ by d differ in at least d shingles; what they can share, with the one before them, must be enough."""
         out = np.zeros(len(a), bool)
+        size_a, size_b = size_a.astype(np.int64), size_b.astype(np.int64)
+        need = -(-self.num * (size_a + size_b) // (self.num + self.den))
+        rest = size_a - pos_a - 1 + size_b - pos_b - 1
         for low in range(0, len(a), 16384):
             part = slice(low, low + 16384)
             differ = np.abs(cells_a[a[part]].astype(np.int16) - cells_b[b[part]]).sum(1, dtype=np.int64)
-            need = -(-self.num * both[part].astype(np.int64) // (self.num + self.den))
-            out[part] = both[part] - differ >= 2 * need
+            out[part] = 1 + (rest[part] - differ) // 2 >= need[part]
         return out
 
 
@@ -149,7 +172,7 @@ def _small_groups(filters: _Filters):
             if not len(at):
                 break
             at = at[filters.near(size[at], pos[at], size[at + d], pos[at + d])]
-            at = at[filters.alike(cells, at, cells, at + d, size[at] + size[at + d])]
+            at = at[filters.alike(cells, at, size[at], pos[at], cells, at + d, size[at + d], pos[at + d])]
             left.append(at)
             right.append(at + d)
         cls = t["cls"].combine_chunks()
@@ -184,10 +207,10 @@ def _star_pairs(filters: _Filters):
                 some = np.flatnonzero(s.is_valid().to_numpy(zero_copy_only=False))
                 o = {k: s.take(pa.array(some)).field(k) for k in ("cls", "size", "pos", "cells")}
                 size, pos = batch["size"].to_numpy()[some], batch["pos"].to_numpy()[some]
-                their = o["size"].to_numpy()
-                ok = np.flatnonzero(filters.near(size, pos, their, o["pos"].to_numpy()))
+                their, at = o["size"].to_numpy(), o["pos"].to_numpy()
+                ok = np.flatnonzero(filters.near(size, pos, their, at))
                 if len(ok):
-                    ok = ok[filters.alike(cells, some[ok], _cell_matrix(o["cells"]), ok, size[ok] + their[ok])]
+                    ok = ok[filters.alike(cells, some[ok], size[ok], pos[ok], _cell_matrix(o["cells"]), ok, their[ok], at[ok])]
                 yield _pairs(batch["cls"].take(pa.array(some[ok])), o["cls"].take(pa.array(ok)))
 
     return run
@@ -206,7 +229,7 @@ def _block_pairs(filters: _Filters):
             j = columns[(component[columns] != component[i]) & ((columns > i) if own == other else True)]
             j = j[filters.near(size[i : i + 1], pos[i : i + 1], size[j], pos[j])] if len(j) else j
             if len(j):
-                j = j[filters.alike(cells, np.full(len(j), i), cells, j, size[i] + size[j])]
+                j = j[filters.alike(cells, np.full(len(j), i), np.full(len(j), size[i]), pos[i], cells, j, size[j], pos[j])]
                 left.append(np.full(len(j), i))
                 right.append(j)
         pick = lambda x: cls.take(pa.array(np.concatenate(x) if x else [], pa.int64()))
@@ -251,57 +274,75 @@ def join_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
 
     Equal sets form a class first (class_id: its smallest doc_id), so copies are never paired. Shingles are ordered rarest first by a count
     over all texts in hash buckets, ties by hash; each class sends its prefix. Classes that share a prefix shingle are candidates, under
-    length, positional and histogram (suffix) filters; groups of more than ``SMALL_GROUP`` classes are linked by stars first, and only
-    classes that this leaves in different components meet all with all, in blocks of bounded size, so no link between components is lost.
+    length, positional and suffix filters; groups of more than ``SMALL_GROUP`` classes are linked by stars first, and only classes that this
+    leaves in different components meet all with all, in blocks of bounded size, so no link between components is lost.
     Each candidate pair is verified once, on its texts. component_id is the smallest doc_id reachable by links.
-    Null or wordless text: no shingles, component of its own. Null ids: the row takes part by its text. Repeated rows are equal rows; rows
-    that repeat a doc_id with other text stand for one node. Other columns are ignored.
+    Null or wordless text: no shingles, component of its own. Null ids: the row takes part by its text, and has its component's doc_id if
+    one of these is not null. Repeated rows are equal rows; rows that repeat a doc_id with other text stand for one node. Other columns are
+    ignored.
     """
+    scratch = Scratch(docs.sparkSession, "ngram-join")
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    scanned = written(rows.mapInArrow(_summaries(n), "doc_id long, h long, n_shingles long, cls binary, bucket int, freq long"), "summaries")
+    scanned = scratch.write(rows.mapInArrow(_summaries(n), "doc_id long, h long, n_shingles long, cls binary, bucket int, freq long"), "summaries")
     texts = scanned.where("bucket IS NULL").select("doc_id", "h", "n_shingles", "cls")
     counted = scanned.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("freq").alias("n")).toPandas()
     rarity = np.zeros(1 << BUCKET_BITS, np.uint32)
     rarity[counted["bucket"].to_numpy()] = np.minimum(counted["n"].to_numpy(), 2**32 - 1)
 
-    entries = docs.select("text").mapInArrow(_prefixes(n, num, den, rarity), "token long, cls binary, size int, pos int")
-    entries = entries.repartition("token").dropDuplicates(["token", "cls"]).withColumn("members", F.count("*").over(Window.partitionBy("token"))).where("members > 1")
-    entries = written(entries, "prefixes")
+    # Distinct entries are dealt by token and class, so that a frequent token is no hot task; tokens of one class link nothing.
+    distinct = docs.select("text").mapInArrow(_prefixes(n, num, den, rarity), "token long, cls binary, size int, pos int").dropDuplicates(["token", "cls"])
+    distinct = scratch.write(distinct, "prefixes")
+    members = distinct.groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
+    entries = scratch.write(distinct.join(members, "token"), "shared-prefixes")
+    scratch.drop(distinct)
     classes = texts.where("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("first")).select("cls", F.col("first.doc_id").alias("class_id"), F.col("first.h").alias("h"))
+    # A class is the node of its smallest doc_id; one without any is a node of its own, after all others.
+    nameless = F.col("class_id").isNull()
+    node = F.struct(nameless.alias("nameless"), F.col("class_id").alias("id"), F.when(nameless, F.col("cls")).alias("cls"))
+    node_type = "struct<nameless:boolean,id:bigint,cls:binary>"
+    classes = classes.withColumn("node", node)
     wanted = classes.join(entries.select("cls").distinct(), "cls", "left_semi").hint("shuffle_hash")
     same = rows["doc_id"].eqNullSafe(wanted["class_id"]) & (rows["h"] == wanted["h"])
-    bodies = rows.join(wanted, same).dropDuplicates(["class_id", "h"]).select("cls", "class_id", "text")
-    bodies = written(bodies.mapInArrow(_cells(n), "cls binary, class_id long, text string, cells binary"), "bodies")
-    entries = written(entries.join(bodies.select("cls", "class_id", "cells"), "cls"), "prefix-cells")
+    bodies = rows.join(wanted, same).dropDuplicates(["cls"]).select("cls", "node", "text")
+    bodies = scratch.write(bodies.mapInArrow(_cells(n, num, den, rarity), f"cls binary, node {node_type}, text string, cells binary, prefix binary"), "bodies")
+    with_cells = entries.join(bodies.select("cls", "node", "cells", "prefix"), "cls")
+    with_cells = with_cells.mapInArrow(_suffix_cells, f"token long, cls binary, size int, pos int, members long, node {node_type}, cells binary")
+    filled = scratch.write(with_cells, "suffix-cells")
+    scratch.drop(entries)
 
     filters = _Filters(num, den)
 
     def linked(pairs: DataFrame) -> DataFrame:
-        side = lambda s: bodies.select(F.col("cls").alias(s), F.col("class_id").alias(f"{s}_id"), F.col("text").alias(f"{s}_text"))
-        whole = written(pairs.distinct(), "pairs").join(side("a"), "a").join(side("b"), "b").select("a_id", "b_id", "a_text", "b_text")
-        return written(whole.mapInArrow(_verify(n, num, den), "a long, b long"), "verified")
+        pairs = scratch.write(pairs.distinct(), "pairs")
+        side = lambda s: bodies.select(F.col("cls").alias(s), F.col("node").alias(f"{s}_id"), F.col("text").alias(f"{s}_text"))
+        whole = pairs.join(side("a"), "a").join(side("b"), "b").select("a_id", "b_id", "a_text", "b_text")
+        out = scratch.write(whole.mapInArrow(_verify(n, num, den), f"a {node_type}, b {node_type}"), "verified")
+        scratch.drop(pairs)
+        return out
 
-    small = entries.where(F.col("members") <= SMALL_GROUP).repartition("token").sortWithinPartitions("token").select("token", "cls", "size", "pos", "cells").mapInArrow(_small_groups(filters), _PAIR)
+    small = filled.where(F.col("members") <= SMALL_GROUP).repartition("token").sortWithinPartitions("token").select("token", "cls", "size", "pos", "cells").mapInArrow(_small_groups(filters), _PAIR)
     # The centre of a star is the text that has fewest shingles rarer than this one: near copies add rare ones of their own.
-    order = Window.partitionBy("token").orderBy("pos", "size", "cls")
-    large = entries.where(F.col("members") > SMALL_GROUP)
-    entry = F.struct("cls", "size", "pos", "cells")
-    starred = large.select("token", "cls", "size", "pos", "cells", F.first(entry).over(order).alias("centre"), F.lag(entry).over(order).alias("neighbour"))
+    large = filled.where(F.col("members") > SMALL_GROUP)
+    centres = large.groupBy("token").agg(F.min(F.struct("pos", "size", "cls", "cells")).alias("centre"))
+    run = F.pmod(F.xxhash64("cls"), F.ceil(F.col("members") / STAR_RUN))
+    entry = F.struct("pos", "size", "cls", "cells")
+    starred = large.withColumn("neighbour", F.lag(entry).over(Window.partitionBy("token", run).orderBy("pos", "size", "cls"))).join(centres, "token")
     links = linked(small.unionByName(starred.select("cls", "size", "pos", "cells", "centre", "neighbour").mapInArrow(_star_pairs(filters), _PAIR)))
-    found = written(components(links), "components")
+    found = scratch.write(components(links), "components")
 
-    token = Window.partitionBy("token")
-    placed = large.join(found, large["class_id"] == found["node"], "left").select("token", "cls", "size", "pos", "cells", "members", F.coalesce("component", "class_id").alias("component"))
-    placed = placed.withColumn("low", F.min("component").over(token)).withColumn("high", F.max("component").over(token)).where("low <> high")
+    placed = large.join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("component", F.coalesce("component", "node")).drop("of")
+    placed = scratch.write(placed.select("token", "cls", "size", "pos", "cells", "members", F.xxhash64("component").alias("component")), "placed")
+    open_tokens = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    placed = placed.select("token", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "cls", "size", "pos", "cells", "component")
-    crossed = placed.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(_block_pairs(filters), _PAIR)
-    more = linked(crossed)
+    crossed = placed.join(open_tokens, "token").withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    crossed = crossed.select("token", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "cls", "size", "pos", "cells", "component")
+    more = linked(crossed.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(_block_pairs(filters), _PAIR))
+    scratch.drop(bodies, filled, placed)
     if more.limit(1).count():
-        found = written(components(links.unionByName(more)), "components")
+        found = scratch.write(components(links.unionByName(more)), "components")
+    scratch.drop(links, more)
 
-    labels = classes.join(found, classes["class_id"] == found["node"], "left").select("cls", "class_id", F.coalesce("component", "class_id").alias("component"))
+    labels = classes.join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("cls", "class_id", F.coalesce(F.col("component.id"), "class_id").alias("component"))
     out = texts.join(labels, "cls", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"))
 

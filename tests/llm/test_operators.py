@@ -101,6 +101,37 @@ def test_ngram_join(docs, corpus, n, num):
     assert kept == {i for i in sets if want[i] == i} | {None}
 
 
+def test_ngram_join_through_rows_without_id(spark):
+    """Rows without an id link others by their text; components of such rows alone have no id."""
+    base = [f"w{k}" for k in range(120)]
+    step = lambda *at: " ".join("x" if k in at else w for k, w in enumerate(base))
+    rows = [(5, step(3)), (None, step(3, 60)), (4, step(60)), (None, "some other words here"), (None, "some other words here"), (9, step(3, 30, 60, 90, 110))]
+    texts = [set(zip(t.split(), t.split()[1:], t.split()[2:])) for _, t in rows]
+    alike = lambda a, b: 100 * len(texts[a] & texts[b]) >= 93 * len(texts[a] | texts[b])
+    assert alike(0, 1) and alike(1, 2) and not alike(0, 2)
+    got = ngram_join.join_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 93, 100).collect()
+    assert sorted(map(str, ((r["doc_id"], r["component_id"]) for r in got))) == sorted(map(str, [(5, 4), (None, 4), (4, 4), (None, None), (None, None), (9, 9)]))
+
+
+def test_suffix_filter():
+    """The filter never rejects a pair that links, at the first shingle that both share, and rejects most that don't."""
+    rng = np.random.default_rng(4)
+    filters, rejected, others = ngram_join._Filters(90, 100), 0, 0
+    for _ in range(400):
+        common = rng.choice(1 << 30, rng.integers(20, 90), replace=False)
+        a, b = (np.unique(np.concatenate((common, rng.choice(1 << 30, rng.integers(0, 14))))) for _ in range(2))
+        first = min(set(a.tolist()) & set(b.tolist()))
+        pos = [int(np.searchsorted(x, first)) for x in (a, b)]
+        cells = [np.minimum(np.bincount(x[p + 1 :] % ngram_join.CELLS, minlength=ngram_join.CELLS), 255).astype(np.uint8)[None] for x, p in zip((a, b), pos)]
+        both, zero = len(np.intersect1d(a, b)), np.zeros(1, np.int64)
+        links = 100 * both >= 90 * (len(a) + len(b) - both)
+        passes = filters.alike(cells[0], zero, np.array([len(a)]), np.array([pos[0]]), cells[1], zero, np.array([len(b)]), np.array([pos[1]]))[0]
+        assert passes or not links
+        others += not links
+        rejected += not passes
+    assert rejected > 0.5 * others > 20
+
+
 def test_large_prefix_groups(spark):
     """More texts than a small group share a shingle: stars and blocks lose no link."""
     rng = random.Random(5)
