@@ -135,38 +135,66 @@ def suffix_arrays(symbols: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def owners(data: np.ndarray, offsets: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hash, first window, number of windows, place of the gram in the first window) of the grams that own windows of rows [low, high); places count from the row's start."""
-    raw = data[offsets[low] : offsets[high]]
-    none = np.empty(0, np.int64)
-    if len(raw) < SPAN:
-        return none, none.astype(np.uint64), none, none, none
-    bounds = offsets[low : high + 1] - offsets[low]
+#: Texts are hashed in so many bytes at a time, so that arrays stay in a core's own cache.
+OWNER_BYTES = 1 << 15
+_LIKE = np.random.default_rng(50).integers(1 << 62, 1 << 63, 3, dtype=np.uint64) | np.uint64(1)
+
+
+def _gram_hashes(raw: np.ndarray) -> np.ndarray:
+    """Even 64-bit hashes of all 24-byte grams."""
     word = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, 8)).view("<u8").ravel()
     n = len(raw) - GRAM + 1
-    h = mixed(word[:n] + np.uint64(1))
-    h = mixed((h ^ word[8 : 8 + n]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(2))
-    h = mixed(h ^ word[16 : 16 + n])
-    shift = np.uint64(32)  # the same for all rows, so that equal windows have equal owners; a slice is shorter than 4 GiB
-    key = (h >> shift << shift) | np.arange(n, dtype=np.uint64)  # the leftmost of equal ones
-    m, s = key, 1
-    while 2 * s <= GRAMS:
-        m, s = np.minimum(m[:-s], m[s:]), 2 * s
-    if GRAMS > s:
+    h = word[:n] * _LIKE[0]
+    h += word[8 : 8 + n] * _LIKE[1]
+    h += word[16 : 16 + n] * _LIKE[2]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    return h & ~np.uint64(1)
+
+
+def owners(data: np.ndarray, offsets: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, first window, number of windows, place of the gram in the first window) of the grams that own windows of rows [low, high); places count from the row's start.
+
+    A window's owner is its gram of least hash, by the upper half, the leftmost of equal ones: the same wherever the window stands.
+    """
+    base, total = int(offsets[low]), int(offsets[high] - offsets[low])
+    bounds = offsets[low : high + 1] - base
+    none = np.empty(0, np.int64)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    # Windows that start in the last 49 bytes of a row don't lie within it.
+    past = (bounds[1:, None] - np.arange(1, SPAN)).ravel()
+    past = np.sort(past[past >= 0])
+    for begin in range(0, total - SPAN + 1, OWNER_BYTES):
+        windows = min(OWNER_BYTES, total - SPAN + 1 - begin)
+        h = _gram_hashes(data[base + begin : base + begin + windows + SPAN - 1])
+        m, s = (h & ~np.uint64(0xFFFFFFFF)) | np.arange(len(h), dtype=np.uint64), 1
+        while 2 * s <= GRAMS:
+            m, s = np.minimum(m[:-s], m[s:]), 2 * s
         m = np.minimum(m[: -(GRAMS - s)], m[GRAMS - s :])
-    owner = (m & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.int64)
-    row = np.repeat(np.arange(high - low), np.diff(bounds))[: len(owner)]
-    at = np.flatnonzero(np.arange(len(owner)) + SPAN <= bounds[row + 1])  # windows within one text
-    owner, row = owner[at], row[at]
-    first = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (row[1:] != row[:-1])))) if len(at) else none
-    many = np.diff(np.append(first, len(at)))
-    return row[first] + low, h[owner[first]], at[first] - bounds[row[first]], many, owner[first] - at[first]
+        owner = (m & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        owner[past[np.searchsorted(past, begin) : np.searchsorted(past, begin + windows)] - begin] = -1
+        first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+        many = np.diff(np.append(first, windows))
+        own = owner[first]
+        real = own >= 0
+        first, many, own = first[real], many[real], own[real]
+        found.append((h[own], first + begin, many, own + begin))
+    if not found:
+        return none, none.astype(np.uint64), none, none, none
+    h, first, many, own = (np.concatenate(x) for x in zip(*found, strict=True))
+    # A run of windows that goes on over the edge of two stretches is one.
+    if len(own):
+        new = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (first[1:] != first[:-1] + many[:-1]))))
+        h, first, many, own = h[new], first[new], np.add.reduceat(many, new), own[new]
+    row = np.searchsorted(bounds, first, "right") - 1
+    return row + low, h, first - bounds[row], many, own - first
 
 
 def _grams(often_from: int):
     """Rows (key, gram, kind, doc_id) of kind 0 for each gram of a document, under its hash. Grams found ``often_from`` times in a slice, in
     two documents at least, are known to be shared: two rows of kind 1 under their hash tell the least and the largest document, and their
-    documents' rows are of kind 2, under keys that spread them."""
+    documents' rows are of kind 2, under odd keys that spread them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,7 +202,7 @@ def _grams(often_from: int):
             ids = batch.column(0).to_numpy()
             for low, high in slices(offsets):
                 row, h, *_ = owners(data, offsets, low, high)
-                order = np.lexsort((row, h))
+                order = np.argsort(h, kind="stable")
                 row, h = row[order], h[order]
                 new = np.concatenate(([True], (h[1:] != h[:-1]) | (row[1:] != row[:-1]))) if len(h) else np.zeros(0, bool)
                 row, h = row[new], h[new]
@@ -192,7 +220,7 @@ def _grams(often_from: int):
                     hit[often] = True
                     where = np.repeat(hit, many)
                     key = gram.copy()
-                    key[where] = mixed(mixed(doc[where].astype(np.uint64)) ^ h[where]).view(np.int64)
+                    key[where] = (mixed(mixed(doc[where].astype(np.uint64)) ^ h[where]) | np.uint64(1)).view(np.int64)
                     kind[where] = 2
                     key, gram, kind = np.concatenate((key, told, told)), np.concatenate((gram, told, told)), np.concatenate((kind, np.ones(2 * len(often), np.int8)))
                     doc = np.concatenate((doc, least, most))
@@ -225,33 +253,57 @@ class _Shared:
     """The segments of rows [low, high) whose grams other documents share, with what is known of them."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, low: int, high: int, shared: pa.Array, wanted: tuple[int, ...]) -> None:
-        row, h, first, many, gram = owners(data, offsets, low, high)
+        row, h, first, many, _ = owners(data, offsets, low, high)
         h = h.view(np.int64)
         known_row, known, state = _flat(shared, low, high, "gram", "state")
         at = _matched(high + 1, row, h, known_row, known)
         state = state[at] if len(known) else np.zeros(len(at), np.int8)
         keep = np.flatnonzero((at >= 0) & np.isin(state, wanted))
-        self.row, self.h, self.first, self.many, self.gram, self.state = row[keep], h[keep], first[keep], many[keep], gram[keep], state[keep]
+        self.row, self.h, self.first, self.many, self.state = row[keep], h[keep], first[keep], many[keep], state[keep]
         self.begin = offsets[self.row] + self.first - offsets[low]
         raw = data[offsets[low] : offsets[high]].tobytes() if len(keep) else b""
-        self.texts = [raw[a:b] for a, b in zip(self.begin.tolist(), (self.begin + self.many + SPAN - 1).tolist(), strict=True)]
-        self.g = np.fromiter(map(xxhash.xxh3_64_intdigest, self.texts), np.uint64, len(self.texts)).view(np.int64)
+        texts = (raw[a:b] for a, b in zip(self.begin.tolist(), (self.begin + self.many + SPAN - 1).tolist(), strict=True))
+        self.g = np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64, len(keep)).view(np.int64)
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The segments of shared grams, each distinct one of a slice once, with its least document."""
+    """The segments of shared grams, each distinct one of a batch once: their least document, and where they stand in it."""
     for batch in batches:
         data, offsets = text_bytes(batch.column(1))
         ids = batch.column(0).to_numpy()
-        for low, high in slices(offsets, 1 << 22):
+        parts = []
+        for low, high in slices(offsets):
             s = _Shared(data, offsets, low, high, batch.column(2), (LATER, FIRST, TOLD))
-            doc = ids[s.row]
-            order = np.lexsort((doc, s.g, s.h))
-            h, g = s.h[order], s.g[order]
-            new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])))) if len(h) else np.empty(0, np.int64)
-            told = np.maximum.reduceat(s.state[order] == TOLD, new) if len(new) else np.empty(0, bool)
-            one = order[new]
-            yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(g[new]), pa.array(doc[one]), pa.array([s.texts[i] for i in one.tolist()], pa.binary()), pa.array(s.gram[one].astype(np.int32)), pa.array(told)], ["h", "g", "doc_id", "segment", "gram", "told"])
+            parts.append((s.h, s.g, ids[s.row], s.first * (GRAMS + 1) + s.many, s.state == TOLD))
+        if not parts:
+            continue
+        h, g, doc, place, told = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((doc, g, h))
+        h, g = h[order], g[order]
+        new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])))) if len(h) else np.empty(0, np.int64)
+        told = np.maximum.reduceat(told[order], new) if len(new) else np.empty(0, bool)
+        one = order[new]
+        yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(g[new]), pa.array(doc[one]), pa.array(place[one]), pa.array(told)], ["h", "g", "doc_id", "place", "told"])
+
+
+def _texts_of_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of a document's wanted segments, from where they stand; of rows that repeat an id, from the one that has them there."""
+    for batch in batches:
+        data, offsets = text_bytes(batch.column(1))
+        for low, high in slices(offsets):
+            row, h, g, place, told, n = _flat(batch.column(2), low, high, "h", "g", "place", "told", "n")
+            begin = offsets[row] + place // (GRAMS + 1)
+            stop = begin + place % (GRAMS + 1) + SPAN - 1
+            inside = np.flatnonzero(stop <= offsets[row + 1])
+            base = offsets[low]
+            raw = data[base : offsets[high]].tobytes()
+            texts = [raw[a:b] for a, b in zip((begin[inside] - base).tolist(), (stop[inside] - base).tolist(), strict=True)]
+            found = np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64, len(texts)).view(np.int64) == g[inside]
+            at = inside[found]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h[at]), pa.array(g[at]), batch.column(0).take(pa.array(row[at])), pa.array([x for x, f in zip(texts, found.tolist(), strict=True) if f], pa.binary()), pa.array(told[at].astype(bool)), pa.array(n[at])],
+                ["h", "g", "doc_id", "segment", "told", "n"],
+            )
 
 
 def earliest_windows(groups: list[tuple[list[str], np.ndarray]], span: int) -> list[np.ndarray]:
@@ -352,7 +404,10 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shared = SPAN - PART + 1
     for batch in batches:
         out: list[list] = [[] for _ in range(9)]
-        for h, g, doc, text, gram in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+        data, offsets = text_bytes(batch.column(3))
+        first_rows, *_, grams = owners(data, offsets, 0, batch.num_rows)
+        gram_of = grams[np.searchsorted(first_rows, np.arange(batch.num_rows))].tolist()
+        for h, g, doc, text, gram in zip(*(batch.column(k).to_pylist() for k in range(4)), gram_of, strict=True):
             last = len(text) - SPAN
             for c in range((gram - last) // PART, gram // PART + 1):
                 high = gram - PART * c
@@ -429,31 +484,36 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     known = rows.where("doc_id IS NOT NULL")
     scratch = Scratch(docs.sparkSession, "suffix-dedup")
     # Grams that own windows in two documents at least: a row of a few numbers for every dozen bytes is all that is shuffled here.
-    spread = (F.col("kind") == 2).alias("spread")
-    by = Window.partitionBy("key", "spread")
-    grams = known.mapInArrow(_grams(OFTEN), "key long, gram long, kind byte, doc_id long").repartition("key").withColumn("spread", spread)
+    by = Window.partitionBy("key")
+    grams = known.mapInArrow(_grams(OFTEN), "key long, gram long, kind byte, doc_id long").repartition("key")
     grams = grams.select("gram", "kind", "doc_id", F.min("doc_id").over(by).alias("least"), F.max("doc_id").over(by).alias("most")).where("kind = 2 OR (kind = 0 AND least < most)")
     state = F.when(F.col("kind") == 2, TOLD).when(F.col("doc_id") == F.col("least"), FIRST).otherwise(LATER).cast("byte")
     # A document's grams are bounded by its own text.
     shared = scratch.write(grams.groupBy("doc_id").agg(F.collect_set(F.struct("gram", state.alias("state"))).alias("shared")), "shared-grams")
 
-    segments = known.join(shared.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "shared").mapInArrow(_segments, "h long, g long, doc_id long, segment binary, gram int, told boolean")
-    segments = segments.groupBy("h", "g").agg(F.min("doc_id").alias("doc_id"), F.max("told").alias("told"), F.first(F.struct("segment", "gram")).alias("s")).select("h", "g", "doc_id", "s.*", "told")
-    segments = scratch.write(segments, "segments")
+    def with_text(lists: DataFrame) -> DataFrame:
+        return known.join(lists.hint("shuffle_hash"), "doc_id").select("doc_id", "text", lists.columns[1])
+
+    segments = with_text(shared).mapInArrow(_segments, "h long, g long, doc_id long, place long, told boolean")
+    segments = scratch.write(segments.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.min_by("place", "doc_id").alias("place"), F.max("told").alias("told")), "segments")
     counts = scratch.write(segments.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "counts")
-    alone = segments.where("told").join(counts, "h", "left_anti").select("doc_id", "h", "g", F.expr(f"cast(shiftleft(1L, length(segment) - {SPAN - 1}) - 1 as int)").alias("kept"))
-    few = segments.join(counts.where(F.col("n") <= SPLIT), "h").repartition("h").sortWithinPartitions("h", "g").select("h", "g", "doc_id", "segment", "told")
+    # A segment that is the only one around its gram needs no bytes: its first document keeps it, and all others lose it.
+    alone = segments.where("told").join(counts, "h", "left_anti").select(F.col("first").alias("doc_id"), "h", "g", F.expr(f"cast(shiftleft(1L, cast(place % {GRAMS + 1} as int)) - 1 as int)").alias("kept"))
+    wanted = segments.join(counts, "h").groupBy(F.col("first").alias("doc_id")).agg(F.collect_list(F.struct("h", "g", "place", "told", "n")).alias("wanted"))
+    several = with_text(wanted).mapInArrow(_texts_of_segments, "h long, g long, doc_id long, segment binary, told boolean, n long")
+    several = scratch.write(several, "segment-texts")
+    few = several.where(F.col("n") <= SPLIT).repartition("h").sortWithinPartitions("h").select("h", "g", "doc_id", "segment", "told")
     kept = few.mapInArrow(_whole_groups(["h"], _kept_of_segments), "doc_id long, h long, g long, kept int")
     # Around a gram with many distinct segments, parts of these meet by more of their bytes.
-    parts = segments.join(counts.where(F.col("n") > SPLIT), "h").select("h", "g", "doc_id", "segment", "gram")
-    parts = scratch.write(parts.mapInArrow(_parts, "h long, c int, s long, p long, g long, doc_id long, low int, before int, part binary"), "parts")
+    parts = several.where(F.col("n") > SPLIT).select("h", "g", "doc_id", "segment").mapInArrow(_parts, "h long, c int, s long, p long, g long, doc_id long, low int, before int, part binary")
+    parts = scratch.write(parts, "parts")
     place = ["h", "c", "s"]
     least = parts.groupBy(*place, "p").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("part", "before")).alias("x")).select(*place, "p", "doc_id", "x.*")
-    least = least.repartition(*place).sortWithinPartitions(*place, "p").mapInArrow(_whole_groups(place, _kept_of_parts), "h long, c int, s long, p long, doc_id long, bits int")
+    least = least.repartition(*place).sortWithinPartitions(*place).mapInArrow(_whole_groups(place, _kept_of_parts), "h long, c int, s long, p long, doc_id long, bits int")
     of_parts = parts.select(*place, "p", "g", "doc_id", "low").join(least, [*place, "p", "doc_id"]).groupBy("doc_id", "h", "g").agg(F.bit_or(F.expr("shiftleft(bits, low)")).alias("kept"))
     kept = alone.unionByName(kept).unionByName(of_parts)
     known_rows = scratch.write(kept.groupBy("doc_id").agg(F.collect_set(F.struct("h", "g", "kept")).alias("kept")), "kept")
-    scratch.drop(segments, counts, parts)
+    scratch.drop(segments, counts, several, parts)
 
     # Both lists of a document come before its text does, so that texts are shuffled once.
     both = shared.join(known_rows, "doc_id", "left")
