@@ -5,8 +5,13 @@ Winners are taken with ``max``/``min`` over structs, so rows of one key are comb
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 LIVE, DELETED = 1, 3
@@ -24,14 +29,15 @@ def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("w")).select(*keys, "w.*")
 
 
-def upsert(table: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    """``table`` with the rows of ``batch`` put in: a key that both have takes the batch's row."""
-    return table.join(batch.select(*keys).distinct(), keys, "left_anti").unionByName(batch)
+def upsert(table: DataFrame, batch: DataFrame, keys: list[str], arrival: str) -> DataFrame:
+    """``table`` with the rows of ``batch`` put in: a key that both have takes the batch's row, its last by ``arrival`` (a column of the batch alone) if it has several."""
+    last = last_wins(batch, keys, [arrival]).select(*table.columns)
+    return table.join(last.select(*keys), keys, "left_anti").select(*table.columns).unionByName(last)
 
 
-def insert_or_ignore(table: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    """``table`` with those rows of ``batch`` whose key it doesn't have."""
-    return table.unionByName(batch.join(table.select(*keys).distinct(), keys, "left_anti"))
+def insert_or_ignore(table: DataFrame, batch: DataFrame, keys: list[str], arrival: str) -> DataFrame:
+    """``table`` with those rows of ``batch`` whose key it doesn't have; of several with one key the first by ``arrival``, a column of the batch alone."""
+    return table.unionByName(first_wins(batch, keys, [arrival]).join(table.select(*keys).distinct(), keys, "left_anti").select(*table.columns))
 
 
 def apply_log(deltas: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -50,7 +56,9 @@ def index_winners(locations: DataFrame, blobs: DataFrame) -> DataFrame:
     A blob without a state is live.
     """
     rank = F.struct("generation", "writer_id", "sequence", "arrival", "blob_id", "physical_offset", "stored_length")
-    rows = locations.join(blobs.select("blob_id", "state"), "blob_id", "left").withColumn("live", _is_live())
+    # Only deleted blobs matter, so these alone are joined; the winners are then one shuffle of partial maxima.
+    deleted = blobs.where(F.col("state") == DELETED).select("blob_id", F.lit(False).alias("alive"))
+    rows = locations.join(deleted, "blob_id", "left").withColumn("live", F.col("alive").isNull())
     best = rows.groupBy("object_id").agg(F.max(F.when(F.col("live"), rank)).alias("w"), F.max_by("live", rank).alias("ok"))
     return best.select("object_id", "w.blob_id", "w.generation", "w.writer_id", "w.sequence", "w.physical_offset", "w.stored_length", (~F.col("ok")).alias("superseded"))
 
@@ -72,14 +80,26 @@ def merged_checkpoints(checkpoints: DataFrame, deltas: DataFrame) -> DataFrame:
     return checkpoints.unionByName(late)
 
 
-def sequence_gaps(seen: DataFrame, watermarks: DataFrame) -> DataFrame:
-    """Runs of sequence numbers above a writer's watermark that nobody has seen: writer_id, low, high.
+def sequence_gaps(seen: DataFrame, watermarks: DataFrame, accounted: DataFrame | None = None, ages: DataFrame | None = None, patience: int = 3, run: int = 1 << 16) -> DataFrame:
+    """Runs of sequence numbers between a writer's watermark and its highest delta that nothing accounts for: writer_id, low, high, verdict.
 
-    Runs come from neighbours in order, so a wide gap costs one row.
+    seen: the deltas; accounted: other numbers that are explained (checkpoint counters, voids), which fill gaps but don't raise the highest.
+    ages: writer_id and age in generations since the writer was last heard; a gap is ``damage`` from ``patience`` on, else ``unresolved``
+    (age 0 where unknown). Numbers are put in order within runs of ``run`` of them, and runs by what they begin and end with, so one
+    writer's numbers are many tasks, and a wide gap costs one row.
     """
-    above = seen.select("writer_id", "sequence").distinct().join(watermarks, "writer_id", "left").where("watermark IS NULL OR sequence > watermark")
-    before = F.lag("sequence").over(Window.partitionBy("writer_id").orderBy("sequence"))
-    return above.withColumn("before", F.coalesce(before, "watermark", F.lit(0))).where("sequence > before + 1").select("writer_id", (F.col("before") + 1).alias("low"), (F.col("sequence") - 1).alias("high"))
+    numbers = seen.select("writer_id", "sequence")
+    known = numbers if accounted is None else numbers.unionByName(accounted.select("writer_id", "sequence"))
+    above = known.distinct().join(watermarks, "writer_id", "left").where("watermark IS NULL OR sequence > watermark").withColumn("run", F.floor(F.col("sequence") / run))
+    ends = above.groupBy("writer_id", "run").agg(F.max("sequence").alias("last"))
+    ends = ends.withColumn("carry", F.lag("last").over(Window.partitionBy("writer_id").orderBy("run"))).drop("last")
+    before = F.lag("sequence").over(Window.partitionBy("writer_id", "run").orderBy("sequence"))
+    gaps = above.withColumn("near", before).join(ends, ["writer_id", "run"]).withColumn("before", F.coalesce("near", "carry", "watermark", F.lit(0))).where("sequence > before + 1")
+    highest = numbers.groupBy("writer_id").agg(F.max("sequence").alias("highest"))
+    gaps = gaps.join(highest, "writer_id").where("before < highest").select("writer_id", (F.col("before") + 1).alias("low"), (F.col("sequence") - 1).alias("high"))
+    gaps = gaps if ages is None else gaps.join(ages.select("writer_id", "age"), "writer_id", "left")
+    age = F.lit(0) if ages is None else F.coalesce("age", F.lit(0))
+    return gaps.select("writer_id", "low", "high", F.when(age >= patience, "damage").otherwise("unresolved").alias("verdict"))
 
 
 def blob_states(known: DataFrame, inventory: DataFrame, complete: bool) -> DataFrame:
@@ -98,6 +118,11 @@ def packed_profile(compression: Column, encryption: Column) -> Column:
     return F.shiftleft(compression.cast("long"), 16).bitwiseOR(encryption.cast("long"))
 
 
+def unpacked_profile(packed: Column) -> tuple[Column, Column]:
+    """(compression, encryption) of a packed profile."""
+    return F.shiftrightunsigned(packed, 16), packed.bitwiseAND(F.lit(0xFFFF))
+
+
 def shard_digests(files: DataFrame, n_hex: int = 2) -> DataFrame:
     """shard, n_entries and digest: SHA-256 over the ids of a shard in byte order, one a line.
 
@@ -111,8 +136,17 @@ def shard_digests(files: DataFrame, n_hex: int = 2) -> DataFrame:
 # Lookups
 
 
+@F.arrow_udf(StringType())
+def _composed(text: pa.Array) -> pa.Array:
+    """Texts in normal form C. Most are plain ASCII, which a batch tells at once."""
+    if pa.compute.all(pa.compute.string_is_ascii(text)).as_py() is not False:
+        return text
+    return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFC", t) for t in text.to_pylist()], pa.string())
+
+
 def casefold(path: Column) -> Column:
-    return F.lower(path)
+    """Composed (NFC), then in small letters."""
+    return F.lower(_composed(path))
 
 
 def lookup_paths(tree: DataFrame, asked: DataFrame, ignore_case: bool = False) -> DataFrame:
@@ -134,6 +168,11 @@ def list_directory(tree: DataFrame, versions: DataFrame, parent: str) -> DataFra
     return tree.where(F.col("parent") == parent).join(versions, "file_id", "left").orderBy("path")
 
 
+def lookup_content(objects: DataFrame, asked: DataFrame) -> DataFrame:
+    """Each asked content_id with the first object (by id) that holds it; null if none does."""
+    return asked.select("content_id").distinct().join(first_wins(objects.where("content_id IS NOT NULL"), ["content_id"], ["object_id"]), "content_id", "left")
+
+
 def parent_path(path: Column) -> Column:
     return F.regexp_replace(path, r"/?[^/]*\z", "")
 

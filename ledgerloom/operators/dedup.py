@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 KIB = 1024
@@ -18,23 +20,34 @@ DEFAULT_THRESHOLD = 50
 def changes(current: DataFrame, prior: DataFrame) -> DataFrame:
     """path, prior_path, matched_by, content, metadata of each scanned file against the prior snapshot.
 
-    A file's prior version is the one of its path, else that of its identity (device, inode). Content counts as unchanged if time, length
-    and identity are equal and none is null; metadata only if the prior's digest is known and equal (access times aren't part of it).
+    A file's prior version is the one of its path, else that of its identity (device, inode; the first path), else the one at the path that
+    current's column ``hint`` names, if there is such a column. Content counts as unchanged if time, length and identity are equal and none
+    is null; metadata only if there is a prior version of equal digest (access times aren't part of it; nulls are values of their own).
     """
+    hinted = "hint" in current.columns
+    current = current if hinted else current.withColumn("hint", F.lit(None).cast("string"))
     p = prior.select(*[F.col(c).alias(f"p_{c}") for c in ("path", "device", "inode", "length", "modified", "mode", "content_id")])
     by_path = current.join(p, current["path"] == p["p_path"], "left")
     found, missing = by_path.where("p_path IS NOT NULL"), by_path.where("p_path IS NULL").select(*current.columns)
     best = p.where("p_device IS NOT NULL AND p_inode IS NOT NULL").groupBy("p_device", "p_inode").agg(F.min(F.struct("p_path", "p_length", "p_modified", "p_mode", "p_content_id")).alias("w"))
     best = best.select("p_device", "p_inode", "w.*")
     moved = missing.join(best, (F.col("device") == F.col("p_device")) & (F.col("inode") == F.col("p_inode")), "left")
-    rows = found.withColumn("matched_by", F.lit("path")).unionByName(moved.withColumn("matched_by", F.when(F.col("p_path").isNotNull(), "identity").otherwise("none")))
+    rows = found.withColumn("matched_by", F.lit("path")).unionByName(moved.where("p_path IS NOT NULL").withColumn("matched_by", F.lit("identity")))
+    lost = moved.where("p_path IS NULL").select(*current.columns)
+    if hinted:
+        lost = lost.join(p, F.col("hint") == F.col("p_path"), "left").withColumn("matched_by", F.when(F.col("p_path").isNotNull(), "hint").otherwise("none"))
+    else:
+        lost = lost.select("*", *[F.lit(None).cast(p.schema[c].dataType).alias(c) for c in p.columns], F.lit("none").alias("matched_by"))
+    rows = rows.unionByName(lost)
     same = (F.col("modified") == F.col("p_modified")) & (F.col("length") == F.col("p_length")) & (F.col("device") == F.col("p_device")) & (F.col("inode") == F.col("p_inode"))
-    return rows.select("path", F.col("p_path").alias("prior_path"), "matched_by", F.coalesce(same, F.lit(False)).alias("content_unchanged"), F.coalesce(metadata_digest("mode", "modified") == metadata_digest("p_mode", "p_modified"), F.lit(False)).alias("metadata_unchanged"))
+    unchanged = F.col("p_path").isNotNull() & (metadata_digest("mode", "modified") == metadata_digest("p_mode", "p_modified"))
+    return rows.select("path", F.col("p_path").alias("prior_path"), "matched_by", F.coalesce(same, F.lit(False)).alias("content_unchanged"), unchanged.alias("metadata_unchanged"))
 
 
 def metadata_digest(*columns: str) -> Column:
-    """First 16 bytes, in hex, of SHA-256 over the named values, a line each."""
-    return F.substring(F.sha2(F.concat_ws("\n", *[F.col(c).cast("string") for c in columns]), 256), 1, 32)
+    """First 16 bytes, in hex, of SHA-256 over the named values, a line each: ``-`` for null, else ``=`` and the value."""
+    values = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns]
+    return F.substring(F.sha2(F.concat_ws("\n", *values), 256), 1, 32)
 
 
 def stores_compressed(compressed: Column, logical: Column, threshold: int = DEFAULT_THRESHOLD) -> Column:
@@ -47,9 +60,10 @@ def fixed_segments(files: DataFrame, segment_size: int, strict: bool = True) ->
     if strict and (segment_size & (segment_size - 1) or not 64 * KIB <= segment_size <= 64 * KIB * KIB):
         raise ValueError(f"illegal segment size {segment_size}")
     at = F.when(F.octet_length("data") > 0, F.sequence(F.lit(0), F.floor((F.octet_length("data") - 1) / segment_size).cast("int")))
-    rows = files.select("file_id", "data", F.explode(at).alias("index"))
-    piece = F.substring(F.col("data"), F.col("index") * segment_size + 1, F.lit(segment_size))
-    return rows.select("file_id", "index", (F.col("index").cast("long") * segment_size).alias("offset"), F.octet_length(piece).cast("long").alias("length"), F.sha2(piece, 256).alias("content_id"))
+    # Digests are made before rows are, so that no segment's row carries its whole file.
+    piece = lambda i: F.substring(F.col("data"), i * segment_size + 1, F.lit(segment_size))
+    parts = F.transform(at, lambda i: F.struct(i.alias("index"), (i.cast("long") * segment_size).alias("offset"), F.octet_length(piece(i)).cast("long").alias("length"), F.sha2(piece(i), 256).alias("content_id")))
+    return files.select("file_id", parts.alias("parts")).select("file_id", F.explode("parts").alias("p")).select("file_id", "p.*")
 
 
 def reused_by_position(current: DataFrame, prior: DataFrame) -> DataFrame:
@@ -71,10 +85,51 @@ def first_occurrences(segments: DataFrame, order: list[str]) -> DataFrame:
     return segments.join(first, "content_id").withColumn("stored", F.struct(*order) == F.col("first")).drop("first")
 
 
-def dedup_ratio(segments: DataFrame, by: str, order: list[str]) -> DataFrame:
-    """Bytes seen and stored per ``by``: a content is stored where it first occurs over all."""
+def dedup_ratio(segments: DataFrame, by: str, order: list[str], version: str | None = None) -> DataFrame:
+    """Bytes seen and stored per ``by``: a content is stored where it first occurs over all, in ``order``.
+
+    With a ``version`` column, which must lead the order, later_logical and later_kept leave out each ``by``'s first version.
+    """
     rows = first_occurrences(segments, order)
-    return rows.groupBy(by).agg(F.sum("length").alias("logical"), F.sum(F.when(F.col("stored"), F.col("length")).otherwise(0)).alias("kept"))
+    stored = F.when(F.col("stored"), F.col("length")).otherwise(0)
+    sums = [F.sum("length").alias("logical"), F.sum(stored).alias("kept")]
+    if version is not None:
+        rows = rows.join(segments.groupBy(by).agg(F.min(version).alias("_first")), by)
+        later = F.col(version) > F.col("_first")
+        sums += [F.coalesce(F.sum(F.when(later, F.col("length"))), F.lit(0)).alias("later_logical"), F.coalesce(F.sum(F.when(later, stored)), F.lit(0)).alias("later_kept")]
+    return rows.groupBy(by).agg(*sums)
+
+
+def file_digests(parts: DataFrame) -> DataFrame:
+    """file_id, length, content_id of files given as segments (offset, length, data) and holes (data null, read as zeros), in any order.
+
+    Rows of a file are put in order and stream through the digest, so a file of any size takes no more room than one segment; the digest
+    itself is sequential. Parts must tile the file (see ``tiling_defects``).
+    """
+    kind = parts.schema["file_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, digest, size, first = None, hashlib.sha256(), 0, True
+        done: list[tuple] = []
+        for batch in batches:
+            for file, length, data in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                if first or file != at:
+                    if not first:
+                        done.append((at, size, digest.hexdigest()))
+                    at, digest, size, first = file, hashlib.sha256(), 0, False
+                if data is not None:
+                    digest.update(data)
+                else:
+                    for low in range(0, length, 1 << 20):
+                        digest.update(bytes(min(1 << 20, length - low)))
+                size += length
+        if not first:
+            done.append((at, size, digest.hexdigest()))
+        yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((id_type, pa.int64(), pa.string()))], ["file_id", "length", "content_id"])
+
+    id_type = to_arrow_type(parts.schema["file_id"].dataType)
+    rows = parts.select("file_id", F.col("offset").cast("long"), F.col("length").cast("long"), F.col("data").cast("binary")).where("length > 0")
+    return rows.repartition("file_id").sortWithinPartitions("file_id", "offset").mapInArrow(run, f"file_id {kind}, length long, content_id string")
 
 
 def tiling_defects(parts: DataFrame) -> DataFrame:

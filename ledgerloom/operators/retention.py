@@ -73,7 +73,7 @@ def replication_gate(expired: DataFrame, destinations: DataFrame, now_ms: int, b
     bound. A set's destinations are a configured list, so the join adds a few rows per snapshot. A set without destinations holds nothing.
     """
     seen = destinations.groupBy("set_id").agg(F.collect_list(F.struct("destination", "synced_sequence", "last_success_ms")).alias("all"))
-    rows = expired.join(F.broadcast(seen), "set_id", "left")
+    rows = expired.join(seen, "set_id", "left")
     lag = F.filter(F.coalesce("all", F.array()), lambda d: ~F.coalesce(d["synced_sequence"] >= F.col("publication_sequence"), F.lit(False)))
     rows = rows.withColumn("lag", lag)
     silent = F.exists("lag", lambda d: F.lit(now_ms) - F.greatest(d["last_success_ms"], F.col("captured_ms")) > bound_ms)
@@ -96,6 +96,18 @@ def live_intents(journal: DataFrame, now_ms: int, generation_passed: bool = True
     return intents(journal).join(gone, ["writer_id", "ref"], "left_anti").where(~expired).select("writer_id", "ref", ends.alias("expires_ms"))
 
 
+def intent_survey(journal: DataFrame, blobs: DataFrame, now_ms: int, generation_passed: bool = True, skew_ms: int = CLOCK_SKEW_MS) -> DataFrame:
+    """blob_id of every blob that a live intent covers: what it and its extensions name; every one of ``blobs`` if any record can't be parsed.
+
+    journal: as for ``live_intents``, with blob_id (what an intent or extension names, null for none) and kind ``unparseable`` for records
+    that can't be read. Failing to collect wastes space; collecting wrongly loses data.
+    """
+    live = live_intents(journal, now_ms, generation_passed, skew_ms).select("writer_id", "ref")
+    named = journal.where("kind IN ('intent', 'extension') AND blob_id IS NOT NULL").join(live, ["writer_id", "ref"], "left_semi").select("blob_id")
+    unread = journal.where("kind = 'unparseable'").select(F.lit(1).alias("unread")).limit(1)
+    return named.unionByName(blobs.select("blob_id").join(unread, F.lit(True), "left_semi")).distinct()
+
+
 def collection_plan(records: DataFrame, reachable: DataFrame, covered: DataFrame, vetoed: bool = False) -> DataFrame:
     """blob_id, n_records, n_reachable, verdict of each blob: deletable only without a reachable record and an intent; a veto stops all."""
     marks = reachable.select("object_id").distinct().withColumn("mark", F.lit(1))

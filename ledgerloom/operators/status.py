@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 DAY_MS = 86_400_000
 #: How bad a state is; unknown ones count as 50.
-SEVERITY = {"verified": 0, "protected": 10, "captured": 20, "replicating": 30, "pending": 40, "degraded": 70, "unrecoverable": 90, "never": 100}
+SEVERITY = {"unrecoverable": 100, "never-backed-up": 90, "degraded": 80, "captured": 40, "protected": 30, "replicated": 20, "verified": 10, "policy-compliant": 0}
+#: Domains whose copies outlive the source's machine.
+OFF_MACHINE = ("same-site", "independent")
 
 
 def severity(state: Column) -> Column:
@@ -35,14 +38,102 @@ def failure_domain(declared: Column, kind: Column, same_device: Column) -> Colum
     return F.coalesce(declared, F.when(kind == "path", F.when(~same_device, "same-machine").otherwise("same-volume")).when(kind == "peer", "same-site").otherwise("independent"))
 
 
-def protection_state(facts: DataFrame) -> DataFrame:
-    """set_id, state, warnings from a set's snapshots and destinations (n_snapshots, recoverable, damage, n_current, n_verified, n_independent, n_lagging)."""
-    state = (
-        F.when(F.coalesce("n_snapshots", F.lit(0)) == 0, "never").when(~F.coalesce("recoverable", F.lit(False)), "unrecoverable").when(F.coalesce("damage", F.lit(0)) > 0, "degraded")
-        .when((F.col("n_verified") > 0) & (F.col("n_independent") > 0), "verified").when(F.col("n_current") > 0, "protected").when(F.col("n_lagging") > 0, "degraded").otherwise("captured")
+def protection_state(sets: DataFrame, destinations: DataFrame) -> DataFrame:
+    """set_id, state, claim, warnings: a set's protection from its own facts and those of each of its destinations.
+
+    sets: set_id, latest_ms (null: nothing ever committed), missing (required objects gone), capture_status (2: partial), damage (findings).
+    destinations: set_id, destination, sync (in-sync, unsupported or any other), domain, proven (the proof covers what was sent),
+    provable (proofs are asked for), overdue, verified_ms, verified_objects.
+
+    Nothing committed, then data gone, then damage come first. A copy in sync off the machine protects; the newest one proven verifies. Any
+    supported destination that isn't in sync degrades a set that nothing protects; else it is only captured. claim: the time of the proof
+    that verifies, else of the latest proof at any destination, none for a protected set. warnings: codes with the destination, in order.
+    Null facts of a destination count as not in sync, not proven and without objects.
+    """
+    d = destinations
+    ok, off = F.coalesce(d["sync"] == "in-sync", F.lit(False)), F.coalesce(d["domain"].isin(*OFF_MACHINE), F.lit(False))
+    unsupported = F.coalesce(d["sync"] == "unsupported", F.lit(False))
+    proven, provable = F.coalesce(d["proven"], F.lit(False)), F.coalesce(d["provable"], F.lit(True))
+    own = (
+        F.when(ok & off & ~proven & ~provable, "unprovable").when(ok & off & ~proven, "unproven").when(ok & off, None).when(ok, "same-domain").when(unsupported, "unsupported").otherwise("not-in-sync")
+    )
+    named = lambda code: F.concat(code, F.lit(":"), d["destination"].cast("string"))
+    codes = F.array_compact(F.array(F.when(F.coalesce(d["overdue"], F.lit(False)), named(F.lit("overdue"))), named(own)))
+    claim = F.when(F.coalesce(d["verified_objects"] > 0, F.lit(False)), d["verified_ms"])
+    per = d.groupBy("set_id").agg(
+        F.bool_or(ok & off).alias("protects"), F.bool_or(ok & off & (d["domain"] == "independent")).alias("independent"), F.bool_or(ok & ~off).alias("captures"), F.bool_or(~ok & ~unsupported).alias("lags"),
+        F.max(F.when(ok & off & proven, F.coalesce(d["verified_ms"], F.lit(0)))).alias("verified"), F.max(claim).alias("claim"), F.array_sort(F.flatten(F.collect_list(codes))).alias("codes"),
     )
-    warnings = F.array_compact(F.array(F.when(F.coalesce("n_independent", F.lit(0)) == 0, F.lit("no independent copy")), F.when(F.col("n_lagging") > 0, F.lit("destinations lag")), F.when(F.coalesce("n_verified", F.lit(0)) == 0, F.lit("never verified"))))
-    return facts.select("set_id", state.alias("state"), F.array_join(warnings, ",").alias("warnings"))
+    rows = sets.join(per, "set_id", "left")
+    no = lambda c: F.coalesce(F.col(c), F.lit(False))
+    early = F.when(F.col("latest_ms").isNull(), "never-backed-up").when(no("missing"), "unrecoverable").when(F.coalesce(F.col("damage") > 0, F.lit(False)), "degraded")
+    late = F.when(no("protects"), F.when(F.col("verified").isNotNull(), "verified").otherwise("protected")).when(no("lags"), "degraded").otherwise("captured")
+    state = F.coalesce(early, late)
+    partial = F.when(F.coalesce(F.col("capture_status") == 2, F.lit(False)), F.lit("partial-capture"))
+    rest = F.when(no("protects"), F.when(~no("independent"), F.lit("same-site-only"))).when(~no("lags") & ~no("captures"), F.lit("no-copy"))
+    warnings = (
+        F.when(F.col("latest_ms").isNull(), F.array(F.lit("no-snapshot"))).when(no("missing"), F.array(F.lit("objects-missing")))
+        .when(F.coalesce(F.col("damage") > 0, F.lit(False)), F.array_compact(F.array(partial, F.lit("damage"))))
+        .otherwise(F.concat(F.array_compact(F.array(partial)), F.coalesce("codes", F.array().cast("array<string>")), F.array_compact(F.array(rest))))
+    )
+    claim = F.when(F.col("latest_ms").isNull(), None).when(early.isNull() & no("protects"), F.col("verified")).otherwise(F.col("claim"))
+    return rows.select("set_id", state.alias("state"), claim.alias("claim_ms"), F.array_join(warnings, ",").alias("warnings"))
+
+
+def latest_claims(destinations: DataFrame) -> DataFrame:
+    """set_id, destination, verified_ms of the newest proof of any bytes, whatever state its destination is in now; ties to the smaller destination."""
+    proofs = destinations.where("verified_ms IS NOT NULL AND verified_objects > 0")
+    return proofs.groupBy("set_id").agg(F.min(F.struct((-F.col("verified_ms")).alias("m"), "destination")).alias("w")).select("set_id", "w.destination", (-F.col("w.m")).alias("verified_ms"))
+
+
+def should_sweep(local: Column, last_success_ms: Column, swept_ms: Column, now_ms: int, interval_days: Column | None = None) -> Column:
+    """Whether a local replica is due to be read again as a whole: something was copied there, and it was never swept or not for the interval (7 days)."""
+    days = F.coalesce(interval_days, F.lit(7)) if interval_days is not None else F.lit(7)
+    again = swept_ms.isNull() | (F.lit(now_ms) >= swept_ms + days * DAY_MS)
+    return F.coalesce(local, F.lit(False)) & last_success_ms.isNotNull() & again
+
+
+def shortfalls(passes: DataFrame) -> DataFrame:
+    """set_id, destination, cause, copied of passes that had to copy back what an earlier success had delivered: the root was missing, or nothing was held."""
+    gone, none = F.coalesce("root_missing", F.lit(False)), F.coalesce("held_at_start", F.lit(0)) <= 0
+    lost = F.coalesce("prior_success", F.lit(False)) & (none | gone) & F.coalesce(F.col("copied") > 0, F.lit(False))
+    return passes.where(lost).select("set_id", "destination", F.when(gone, "root-missing").otherwise("held-nothing").alias("cause"), "copied")
+
+
+def report_lines(plan: DataFrame, kept: DataFrame, held: DataFrame, vetoes: DataFrame) -> DataFrame:
+    """section, line: a collection plan as text, to be put out in order of both. plan: verdict; kept: snapshot_id, reasons; held: snapshot_id, laggards, exceeded; vetoes: reason."""
+    n = lambda df: df.agg(F.count("*").alias("n"))
+    late = F.when(F.coalesce("exceeded", F.lit(False)), " (deferral bound exceeded)").otherwise("")
+    totals = plan.agg(F.count_if(F.col("verdict") == "deletable").alias("gone"), F.count_if(F.col("verdict") == "partly live").alias("partial"))
+    parts = [
+        n(kept).select(F.lit(0).alias("section"), F.format_string("protected: %d snapshots", "n").alias("line")),
+        kept.select(F.lit(1), F.concat(F.lit("  keep "), F.col("snapshot_id").cast("string"), F.lit(": "), "reasons")),
+        held.select(F.lit(2), F.concat(F.lit("  held "), F.col("snapshot_id").cast("string"), F.lit(": awaiting "), "laggards", late)),
+        totals.select(F.lit(3), F.format_string("would delete: %d blobs", "gone")),
+        totals.select(F.lit(4), F.format_string("kept whole for a live part: %d blobs", "partial")),
+        vetoes.select(F.lit(5), F.concat(F.lit("NO DELETION: "), "reason")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def receipts(rows: DataFrame, key: str) -> DataFrame:
+    """``key`` and receipt: the other columns as JSON, in their order; null fields are left out."""
+    return rows.select(key, F.to_json(F.struct(*[c for c in rows.columns if c != key])).alias("receipt"))
+
+
+def progress_buffer(events: DataFrame, most: int = 256) -> DataFrame:
+    """Per job the last ``most`` events by sequence, each with gap: its predecessor was dropped or never seen."""
+    by = Window.partitionBy("job_id")
+    kept = events.withColumn("r", F.row_number().over(by.orderBy(F.desc("sequence")))).where(F.col("r") <= most).drop("r")
+    return kept.withColumn("gap", F.coalesce(F.col("sequence") != F.lag("sequence").over(by.orderBy("sequence")) + 1, F.col("sequence") > 1))
+
+
+def too_large(size: Column, segment_size: int) -> Column:
+    """Whether a named stream of a file is a failure, as it is larger than one segment: it is never cut short."""
+    return F.coalesce(size > segment_size, F.lit(False))
 
 
 def stale_for(reachable: Column, now_ms: int, last_contact_ms: Column) -> Column:
@@ -141,6 +232,19 @@ def forensic_index(footers: DataFrame, wanted: DataFrame) -> tuple[DataFrame, Da
     return index.drop("rank"), wanted.select("object_id").distinct().join(index, "object_id", "left_anti")
 
 
+def forensic_reads(footers: DataFrame, wanted: DataFrame) -> DataFrame:
+    """blob_id, is_metadata of the blobs that a rebuild reads: all sound metadata blobs, and sound data blobs in order up to the last that the wanted objects need.
+
+    The last one needed is where the first places of wanted objects end, so no scan goes blob by blob.
+    """
+    index, _ = forensic_index(footers, wanted)
+    data = footers.where("sound AND NOT is_metadata").select("blob_id").distinct()
+    metadata = footers.where("sound AND is_metadata").select("blob_id").distinct()
+    needed = index.join(wanted.select("object_id").distinct(), "object_id", "left_semi").join(data, "blob_id", "left_semi").agg(F.max("blob_id").alias("last"))
+    read = data.join(needed, F.col("blob_id") <= F.col("last")).select("blob_id", F.lit(False).alias("is_metadata"))
+    return metadata.select("blob_id", F.lit(True).alias("is_metadata")).unionByName(read)
+
+
 def job_states(events: DataFrame) -> DataFrame:
     """Each job's latest state and when it was reached."""
     return events.groupBy("job_id").agg(F.max(F.struct("at_ms", "job_event", "state")).alias("w")).select("job_id", "w.state", "w.at_ms")

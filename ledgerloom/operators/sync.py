@@ -9,8 +9,10 @@ from pyspark.sql.window import Window
 from ledgerloom.sources.shared import written
 
 #: Key classes in the order in which a copy depends on them; the empty one takes whatever no other claims, snapshots come last.
-PHASES = ("config/", "keys/", "blobs/", "", "index/", "journal/", "trees/", "snapshots/")
+PHASES = ("repository-format", "keys/", "blobs/", "journal/", "index/delta/", "index/checkpoint/", "", "snapshots/")
+#: Keys that never leave the staging store; keys that no convergence drops.
 EXCLUDED = ("tombstones/", "leases/")
+IDENTITY_KEY, IDENTITY_PREFIX = "repository-format", "keys/"
 
 
 def replicable(key: Column) -> Column:
@@ -34,10 +36,12 @@ def missing_keys(source: DataFrame, held: DataFrame) -> DataFrame:
     return source.where(replicable(F.col("key"))).join(held.select("key").distinct(), "key", "left_anti").withColumn("phase", phase(F.col("key")))
 
 
-def droppable_keys(source: DataFrame, held: DataFrame, keep: DataFrame, identity: list[str]) -> DataFrame:
-    """Keys that both have, that nobody keeps, and that aren't identity keys; drop them by falling phase."""
-    both = held.select("key").distinct().join(source.select("key").distinct(), "key", "left_semi").join(keep.select("key").distinct(), "key", "left_anti")
-    return both.where(~F.col("key").isin(identity) if identity else F.lit(True)).withColumn("phase", phase(F.col("key")))
+def droppable_keys(source: DataFrame, held: DataFrame, keep: DataFrame) -> DataFrame:
+    """Keys that both have, that nobody keeps, and that aren't the repository's identity; drop them by falling phase, so snapshots go first."""
+    own = F.col("key") == IDENTITY_KEY
+    both = held.select("key").distinct().where(~own & ~F.col("key").startswith(IDENTITY_PREFIX))
+    both = both.join(source.select("key").distinct(), "key", "left_semi").join(keep.select("key").distinct(), "key", "left_anti")
+    return both.withColumn("phase", phase(F.col("key")))
 
 
 def kept_keys(keys: DataFrame, reachable_blobs: DataFrame, skipped_blobs: DataFrame, kept_snapshots: DataFrame) -> DataFrame:
@@ -49,22 +53,36 @@ def kept_keys(keys: DataFrame, reachable_blobs: DataFrame, skipped_blobs: DataFr
 
 
 def rotation(keys: DataFrame, cursor: str | None, k: int) -> DataFrame:
-    """The k smallest keys after the cursor, from the start again when there are none: key and wrapped. Top-k on either side, never a full sort."""
+    """The k smallest keys after the cursor, from the start again when there are none: key, wrapped and next_cursor.
+
+    next_cursor is the last key taken, null where the circuit closes: no key is left after it. k + 1 keys on either side tell that, so
+    there is never a full sort.
+    """
     after = keys.select("key").where(F.col("key") > cursor) if cursor is not None else keys.select("key")
-    first = after.orderBy("key").limit(k).withColumn("wrapped", F.lit(False))
-    again = keys.select("key").orderBy("key").limit(k).withColumn("wrapped", F.lit(True))
-    both = first.unionByName(again)
-    return both.withColumn("any", F.max(~F.col("wrapped")).over(Window.partitionBy(F.lit(1)))).where(F.col("wrapped") != F.col("any")).drop("any")
+    first = after.orderBy("key").limit(k + 1).withColumn("wrapped", F.lit(False))
+    again = keys.select("key").orderBy("key").limit(k + 1).withColumn("wrapped", F.lit(True))
+    both, all_ = first.unionByName(again), Window.partitionBy(F.lit(1))
+    chosen = both.withColumn("any", F.max(~F.col("wrapped")).over(all_)).where(F.col("wrapped") != F.col("any")).drop("any")
+    chosen = chosen.withColumn("n", F.count("*").over(all_)).withColumn("r", F.row_number().over(all_.orderBy("key"))).where(F.col("r") <= k)
+    return chosen.withColumn("next_cursor", F.when(F.col("n") > k, F.max("key").over(all_))).select("key", "wrapped", "next_cursor")
+
+
+def sample_slots(budget: int, peer: bool, forced: bool, peer_share: int = 4) -> tuple[int, int]:
+    """(rotation, reservoir) slots of a verification: a peer's budget lends up to ``peer_share`` to the reservoir; the forced key takes one."""
+    left = max(0, budget - forced)
+    reservoir = min(peer_share if peer else 0, left)
+    return left - reservoir, reservoir
 
 
 def reservoir(keys: DataFrame, k: int, seed: int, forced: DataFrame | None = None, drop: DataFrame | None = None) -> DataFrame:
-    """A uniform sample of k keys by a keyed hash, without the rotation's; forced keys come on top and don't count."""
+    """A uniform sample of k keys by a keyed hash over all that aren't forced, less those that the rotation took; forced keys come on top and don't count."""
     eligible = keys.select("key").distinct()
-    if drop is not None:
-        eligible = eligible.join(drop.select("key").distinct(), "key", "left_anti")
     if forced is not None:
         eligible = eligible.join(forced.select("key").distinct(), "key", "left_anti")
-    out = eligible.orderBy(F.xxhash64(F.lit(seed), "key"), "key").limit(k).withColumn("forced", F.lit(False))
+    out = eligible.orderBy(F.xxhash64(F.lit(seed), "key"), "key").limit(k)
+    if drop is not None:
+        out = out.join(drop.select("key").distinct(), "key", "left_anti")
+    out = out.withColumn("forced", F.lit(False))
     return out if forced is None else out.unionByName(forced.select("key").distinct().withColumn("forced", F.lit(True)))
 
 
@@ -131,19 +149,41 @@ def within_quota(objects: DataFrame, quota: int) -> DataFrame:
     return rows.join(heads, ["owner", "run"]).withColumn("used", used).select("owner", "seq", "size", "used", (F.col("used") <= quota).alias("accepted"))
 
 
+#: Share of a quota under which a warning is due, in percent; bytes that a copy leaves free on a volume.
+HEADROOM_PERCENT, FREE_SPACE_FLOOR = 10, 64 * 1024 * 1024
+
+
+def headroom(destinations: DataFrame) -> DataFrame:
+    """``destinations`` (quota, free_bytes, volume_free) with headroom_warning, from a tenth of the quota downwards, and below_floor, where no copy may start. No quota, or nothing known: neither."""
+    low = F.col("free_bytes") <= F.floor(F.col("quota") * HEADROOM_PERCENT / 100)
+    floor = F.coalesce(F.col("volume_free") < FREE_SPACE_FLOOR, F.lit(False))
+    return destinations.withColumn("headroom_warning", F.coalesce((F.col("quota") > 0) & low, F.lit(False))).withColumn("below_floor", floor)
+
+
 def sync_states(events: DataFrame) -> DataFrame:
-    """Ledger per destination after its events (success, failure, verification) in order.
+    """Ledger per destination after its events (kind: success, failure, verification, sweep) in order of seq.
 
-    Sequences only grow; failures count since the last success. The fold is sums and maxima around the last success, so it combines
-    before the shuffle and takes events in any order.
+    Columns of events: destination, seq, at_ms, kind, sequence, objects, circuit (a sweep that closes it). Sequences only grow; failures
+    count since the last success; the latest verification gives verified_ms and verified_objects; swept counts what sweeps read since the
+    last closed circuit. Verifications and sweeps leave state and attempt alone. The fold is sums and maxima around a few last events, so it
+    combines before the shuffle and takes events in any order.
     """
-    ok = F.when(F.col("kind") == "success", F.col("seq"))
+    of = lambda kind, c: F.when(F.col("kind") == kind, F.col(c))
+    tries = F.col("kind").isin("success", "failure")
+    latest = lambda c, when: F.max_by(F.when(when, F.col(c)), F.when(when, F.col("seq")))
+    closes = (F.col("kind") == "sweep") & F.coalesce("circuit", F.lit(False))
     last = events.groupBy("destination").agg(
-        F.max(ok).alias("last_ok"), F.max(F.when(F.col("kind") == "success", F.col("sequence"))).alias("synced_sequence"), F.max(F.when(F.col("kind") == "verification", F.col("sequence"))).alias("verified_sequence"),
-        F.max_by("at_ms", "seq").alias("last_attempt_ms"), F.max(F.when(F.col("kind") == "success", F.col("at_ms"))).alias("last_success_ms"), F.max_by("kind", "seq").alias("last_kind"),
+        F.max(of("success", "seq")).alias("last_ok"), F.max(F.when(closes, F.col("seq"))).alias("last_circuit"), F.max(of("success", "sequence")).alias("synced_sequence"), F.max(of("verification", "sequence")).alias("verified_sequence"),
+        latest("at_ms", F.col("kind") == "verification").alias("verified_ms"), latest("objects", F.col("kind") == "verification").alias("verified_objects"),
+        latest("at_ms", tries).alias("last_attempt_ms"), latest("at_ms", F.col("kind") == "success").alias("last_success_ms"), latest("kind", tries).alias("last_kind"),
+        latest("at_ms", F.col("kind") == "sweep").alias("swept_ms"), latest("at_ms", closes).alias("sweep_completed_ms"),
     )
-    failed = events.where("kind = 'failure'").join(F.broadcast(last.select("destination", "last_ok")), "destination").where("last_ok IS NULL OR seq > last_ok").groupBy("destination").agg(F.count("*").alias("failures"))
-    return last.join(failed, "destination", "left").select("destination", "synced_sequence", "verified_sequence", "last_attempt_ms", "last_success_ms", "last_kind", F.coalesce("failures", F.lit(0)).alias("failures"))
+    since = events.where("kind IN ('failure', 'sweep')").join(last.select("destination", "last_ok", "last_circuit"), "destination")
+    failed = (F.col("kind") == "failure") & F.coalesce(F.col("seq") > F.col("last_ok"), F.lit(True))
+    read = (F.col("kind") == "sweep") & F.coalesce(F.col("seq") > F.col("last_circuit"), F.lit(True))
+    since = since.groupBy("destination").agg(F.count_if(failed).alias("failures"), F.sum(F.when(read, F.col("objects"))).alias("swept"))
+    out = last.join(since, "destination", "left").drop("last_ok", "last_circuit")
+    return out.withColumn("failures", F.coalesce("failures", F.lit(0))).withColumn("swept", F.coalesce("swept", F.lit(0)))
 
 
 def should_sync(rows: DataFrame, now_ms: int, poll_s: int = 60) -> DataFrame:

@@ -43,13 +43,17 @@ def writer_watermarks(t: Tables) -> DataFrame:
     return t.locations.groupBy("writer_id").agg(F.max("sequence").alias("watermark"), F.max("generation").alias("newest_generation"))
 
 
-@query("""seen AS (SELECT DISTINCT l_suppkey AS writer_id, l_orderkey AS sequence FROM lineitem),
+@query("""seen AS (SELECT DISTINCT l_suppkey AS writer_id, l_orderkey AS sequence FROM lineitem WHERE l_linenumber > 1),
   marks AS (SELECT writer_id, min(sequence) + 100 AS watermark FROM seen GROUP BY writer_id),
-  spans AS (SELECT s.writer_id, sequence, coalesce(lag(sequence) OVER (PARTITION BY s.writer_id ORDER BY sequence), watermark) AS before FROM seen s JOIN marks m USING (writer_id) WHERE sequence > watermark)
-  SELECT writer_id, before + 1 AS low, sequence - 1 AS high FROM spans WHERE sequence > before + 1""")
+  known AS (SELECT * FROM seen UNION SELECT l_suppkey, l_orderkey FROM lineitem WHERE l_linenumber = 1),
+  spans AS (SELECT s.writer_id, sequence, coalesce(lag(sequence) OVER (PARTITION BY s.writer_id ORDER BY sequence), watermark) AS before FROM known s JOIN marks m USING (writer_id) WHERE sequence > watermark)
+  SELECT writer_id, before + 1 AS low, sequence - 1 AS high, CASE WHEN writer_id % 5 >= 3 THEN 'damage' ELSE 'unresolved' END AS verdict FROM spans
+  WHERE sequence > before + 1 AND before < (SELECT max(sequence) FROM seen x WHERE x.writer_id = spans.writer_id)""")
 def sequence_gaps(t: Tables) -> DataFrame:
-    seen = t.lineitem.select(F.col("l_suppkey").alias("writer_id"), F.col("l_orderkey").alias("sequence"))
-    return C.sequence_gaps(seen, seen.groupBy("writer_id").agg((F.min("sequence") + 100).alias("watermark")))
+    lines = t.lineitem.select(F.col("l_suppkey").alias("writer_id"), F.col("l_orderkey").alias("sequence"), "l_linenumber")
+    seen = lines.where("l_linenumber > 1").drop("l_linenumber")
+    ages = seen.select("writer_id").distinct().withColumn("age", F.col("writer_id") % 5)
+    return C.sequence_gaps(seen, seen.groupBy("writer_id").agg((F.min("sequence") + 100).alias("watermark")), lines.where("l_linenumber = 1"), ages)
 
 
 @query("""SELECT blob_id, state FROM (SELECT DISTINCT l_orderkey AS blob_id, 3 AS state FROM lineitem) WHERE blob_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')""")
@@ -57,18 +61,27 @@ def blob_lifecycle(t: Tables) -> DataFrame:
     return C.blob_states(t.lineitem.select(F.col("l_orderkey").alias("blob_id")), t.blobs.where("state = 1"), complete=True)
 
 
-@query("""SELECT k AS blob_id, arg_max(s, a) AS state FROM (SELECT o_orderkey AS k, 1 AS s, 0 AS a FROM orders WHERE o_orderkey % 2 = 0
-  UNION ALL SELECT o_orderkey, 3, 1 FROM orders WHERE o_orderkey % 3 = 0) GROUP BY k""")
+def _table_and_batch(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """A table of one row per blob, and a batch that has most keys several times."""
+    table = t.orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("blob_id"), F.lit(-1).cast("long").alias("state"))
+    return table, t.lineitem.where("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("blob_id"), F.col("l_partkey").alias("state"), F.struct("l_linenumber", "l_shipdate", "l_suppkey").alias("arrival"))
+
+
+BATCH = """k AS (SELECT o_orderkey AS blob_id, -1 AS state FROM orders WHERE o_orderkey % 2 = 0),
+  b AS (SELECT l_orderkey AS blob_id, l_partkey AS state, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_shipdate, l_suppkey, l_partkey) AS r,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_shipdate DESC, l_suppkey DESC, l_partkey DESC) AS d FROM lineitem WHERE l_orderkey % 3 = 0)"""
+
+
+@query(BATCH + " SELECT blob_id, state FROM b WHERE d = 1 UNION ALL SELECT * FROM k WHERE blob_id NOT IN (SELECT blob_id FROM b)")
 def catalogue_upsert(t: Tables) -> DataFrame:
-    rows = lambda step, state: t.orders.where(F.col("o_orderkey") % step == 0).select(F.col("o_orderkey").alias("blob_id"), F.lit(state).alias("state"))
-    return C.upsert(rows(2, 1), rows(3, 3), ["blob_id"])
+    table, batch = _table_and_batch(t)
+    return C.upsert(table, batch, ["blob_id"], "arrival")
 
 
-@query("""SELECT k AS blob_id, arg_min(s, a) AS state FROM (SELECT o_orderkey AS k, 1 AS s, 0 AS a FROM orders WHERE o_orderkey % 2 = 0
-  UNION ALL SELECT o_orderkey, 3, 1 FROM orders WHERE o_orderkey % 3 = 0) GROUP BY k""")
+@query(BATCH + " SELECT * FROM k UNION ALL SELECT blob_id, state FROM b WHERE r = 1 AND blob_id NOT IN (SELECT blob_id FROM k)")
 def catalogue_insert_or_ignore(t: Tables) -> DataFrame:
-    rows = lambda step, state: t.orders.where(F.col("o_orderkey") % step == 0).select(F.col("o_orderkey").alias("blob_id"), F.lit(state).alias("state"))
-    return C.insert_or_ignore(rows(2, 1), rows(3, 3), ["blob_id"])
+    table, batch = _table_and_batch(t)
+    return C.insert_or_ignore(table, batch, ["blob_id"], "arrival")
 
 
 @query("""SELECT blob_id, object_id, sequence FROM (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY sequence DESC, object_id DESC) AS r FROM locations) WHERE r = 1""")
@@ -94,19 +107,31 @@ def path_lookup(t: Tables) -> DataFrame:
     return C.lookup_paths(t.files.select("path", "file_id", "length"), asked)
 
 
-@query("""tree AS (SELECT CASE WHEN file_id % 3 = 0 THEN upper(path) ELSE path END AS path, file_id FROM files UNION ALL SELECT upper(path), file_id + 1000000 FROM files WHERE file_id % 2 = 0),
-  q AS (SELECT DISTINCT path AS asked FROM files WHERE file_id % 5 = 0)
-  SELECT asked, path, file_id FROM (SELECT asked, path, file_id, row_number() OVER (PARTITION BY asked ORDER BY path <> asked, path, file_id) AS r FROM q JOIN tree ON lower(path) = lower(asked)) WHERE r = 1""")
-def path_lookup_ignoring_case(t: Tables) -> DataFrame:
+TREE = """tree AS (SELECT CASE WHEN file_id % 3 = 0 THEN upper(path) ELSE path END AS path, file_id FROM files UNION ALL SELECT upper(path), file_id + 1000000 FROM files WHERE file_id % 2 = 0
+    UNION ALL SELECT path || '/cafe' || chr(769), file_id + 2000000 FROM files WHERE file_id % 10 = 0)"""
+
+
+def _tree(t: Tables) -> DataFrame:
+    """Paths in small and capital letters, and names written with a combining accent."""
     files = t.files.select("path", "file_id")
     tree = files.select(F.when(F.col("file_id") % 3 == 0, F.upper("path")).otherwise(F.col("path")).alias("path"), "file_id")
     tree = tree.unionByName(files.where("file_id % 2 = 0").select(F.upper("path").alias("path"), (F.col("file_id") + 1000000).alias("file_id")))
-    return C.lookup_paths(tree, files.where("file_id % 5 = 0").select(F.col("path").alias("asked")).distinct(), ignore_case=True)
+    return tree.unionByName(files.where("file_id % 10 = 0").select(F.concat("path", F.lit("/cafe\u0301")).alias("path"), (F.col("file_id") + 2000000).alias("file_id")))
+
+
+@query(TREE + """, q AS (SELECT DISTINCT path AS asked FROM files WHERE file_id % 5 = 0 UNION SELECT path || '/CAF' || chr(201) FROM files WHERE file_id % 20 = 0)
+  SELECT asked, path, file_id FROM (SELECT asked, path, file_id, row_number() OVER (PARTITION BY asked ORDER BY path <> asked, path, file_id) AS r FROM q LEFT JOIN tree ON lower(nfc_normalize(path)) = lower(nfc_normalize(asked))) WHERE r = 1""")
+def path_lookup_ignoring_case(t: Tables) -> DataFrame:
+    asked = t.files.where("file_id % 5 = 0").select(F.col("path").alias("asked")).union(t.files.where("file_id % 20 = 0").select(F.concat("path", F.lit("/CAF\u00c9"))))
+    return C.lookup_paths(_tree(t), asked.distinct(), ignore_case=True)
 
 
-@query("SELECT content_id, min(file_id) AS file_id, count(*) AS copies FROM files GROUP BY content_id")
+@query("""asked AS (SELECT content_id FROM files WHERE file_id % 3 = 0 UNION SELECT content_id || 'x' FROM files WHERE file_id % 9 = 1)
+  SELECT a.content_id, o.object_id FROM asked a LEFT JOIN (SELECT content_id, min(file_id) AS object_id FROM files GROUP BY content_id) o USING (content_id)""")
 def content_lookup(t: Tables) -> DataFrame:
-    return t.files.groupBy("content_id").agg(F.min("file_id").alias("file_id"), F.count("*").alias("copies"))
+    objects = t.files.select("content_id", F.col("file_id").alias("object_id"))
+    asked = objects.where("object_id % 3 = 0").select("content_id").union(objects.where("object_id % 9 = 1").select(F.concat("content_id", F.lit("x"))))
+    return C.lookup_content(objects, asked)
 
 
 @query("""SELECT q.device, q.inode, q.asked_by, f.path FROM (SELECT device, inode, file_id AS asked_by FROM files WHERE file_id % 4 = 1) q
@@ -125,7 +150,7 @@ def has_identity(t: Tables) -> DataFrame:
   WHERE f.parent = (SELECT min(parent) FROM files)""")
 def directory_listing(t: Tables) -> DataFrame:
     first = t.files.agg(F.min("parent").alias("parent"))
-    tree = t.files.select("file_id", "parent", "path").join(F.broadcast(first), "parent", "left_semi")
+    tree = t.files.select("file_id", "parent", "path").join(first, "parent", "left_semi")
     return tree.join(t.prior_files.select("file_id", "version_id", F.col("length").alias("version_length")), "file_id", "left").orderBy("path")
 
 
@@ -134,10 +159,11 @@ def dedup_candidates(t: Tables) -> DataFrame:
     return C.candidates_with_proof(t.locations.select("object_id").distinct(), t.locations.where("stored_length > 45"))
 
 
-@query("""tree AS (SELECT path FROM files UNION ALL SELECT upper(path) FROM files WHERE file_id % 9 = 0),
-  n AS (SELECT path, lower(path) AS fold, count(*) OVER (PARTITION BY lower(path)) AS n FROM tree) SELECT path, fold, n - 1 AS peers FROM n WHERE n > 1""")
+@query(TREE + """, all_paths AS (SELECT path FROM tree UNION ALL SELECT path || '/caf' || chr(233) FROM files WHERE file_id % 30 = 0),
+  n AS (SELECT path, lower(nfc_normalize(path)) AS fold, count(*) OVER (PARTITION BY lower(nfc_normalize(path))) AS n FROM all_paths) SELECT path, fold, n - 1 AS peers FROM n WHERE n > 1""")
 def case_collisions(t: Tables) -> DataFrame:
-    return C.case_collisions(t.files.select("path").unionByName(t.files.where("file_id % 9 = 0").select(F.upper("path").alias("path"))))
+    composed = t.files.where("file_id % 30 = 0").select(F.concat("path", F.lit("/caf\u00e9")).alias("path"))
+    return C.case_collisions(_tree(t).select("path").unionByName(composed))
 
 
 @query("""sub AS (SELECT substr(content_id, 1, 3) AS sub, count(*) AS n, sha256(string_agg(content_id, chr(10) ORDER BY content_id)) AS d FROM (SELECT DISTINCT content_id FROM files) GROUP BY 1)
@@ -147,11 +173,13 @@ def shard_digests(t: Tables) -> DataFrame:
 
 
 @query("""SELECT content_id, CAST('0x' || substr(content_id, 1, 4) AS BIGINT) AS shard, (device << 16) | (inode % 65536) AS profiles, regexp_replace(path, '/?[^/]*$', '') AS parent,
-  regexp_extract(path, '[^/]*$') AS name, lpad(CAST(file_id AS VARCHAR), 16, '0') AS fixed_key, length <= 1000 AS within_limit FROM files""")
+  regexp_extract(path, '[^/]*$') AS name, lpad(CAST(file_id AS VARCHAR), 16, '0') AS fixed_key, length <= 1000 AS within_limit, device AS compression, inode % 65536 AS encryption FROM files""")
 def projections(t: Tables) -> DataFrame:
+    packed = C.packed_profile(F.col("device"), F.col("inode"))
+    compression, encryption = C.unpacked_profile(packed)
     return t.files.select(
-        "content_id", C.shard(F.col("content_id")).alias("shard"), C.packed_profile(F.col("device"), F.col("inode")).alias("profiles"), C.parent_path(F.col("path")).alias("parent"),
-        C.base_name(F.col("path")).alias("name"), F.lpad(F.col("file_id").cast("string"), 16, "0").alias("fixed_key"), (F.col("length") <= 1000).alias("within_limit"),
+        "content_id", C.shard(F.col("content_id")).alias("shard"), packed.alias("profiles"), C.parent_path(F.col("path")).alias("parent"),
+        C.base_name(F.col("path")).alias("name"), F.lpad(F.col("file_id").cast("string"), 16, "0").alias("fixed_key"), (F.col("length") <= 1000).alias("within_limit"), compression.alias("compression"), encryption.alias("encryption"),
     )
 
 

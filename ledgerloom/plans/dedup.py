@@ -27,13 +27,19 @@ def url_rules(t: Tables) -> DataFrame:
     return t.pages.select("url", P.matches(F.col("url"), "re:([^/]*/)*[^/]*\\.HTML", case_sensitive=False).alias("html"), P.matches(F.col("url"), "re:https?://m\\..*").alias("mobile"))
 
 
-@query("""p AS (SELECT device, inode, min(path) AS path FROM prior_files GROUP BY 1, 2),
-  m AS (SELECT c.*, coalesce(a.path, p.path) AS prior_path, CASE WHEN a.path IS NOT NULL THEN 'path' WHEN p.path IS NOT NULL THEN 'identity' ELSE 'none' END AS matched_by
-    FROM current_files c LEFT JOIN prior_files a ON a.path = c.path LEFT JOIN p ON p.device = c.device AND p.inode = c.inode)
+@query("""now AS (SELECT * REPLACE (CASE WHEN length % 19 = 3 THEN NULL ELSE modified END AS modified, CASE WHEN length % 23 = 5 THEN NULL ELSE mode END AS mode),
+    CASE WHEN length % 2 = 0 THEN replace(path, '.moved', '') END AS hint FROM current_files),
+  was AS (SELECT * REPLACE (CASE WHEN length % 19 = 3 AND length % 2 = 0 THEN NULL ELSE modified END AS modified, CASE WHEN length % 23 = 5 AND length % 3 > 0 THEN NULL ELSE mode END AS mode) FROM prior_files),
+  p AS (SELECT device, inode, min(path) AS path FROM was GROUP BY 1, 2),
+  m AS (SELECT c.*, coalesce(a.path, p.path, h.path) AS prior_path, CASE WHEN a.path IS NOT NULL THEN 'path' WHEN p.path IS NOT NULL THEN 'identity' WHEN h.path IS NOT NULL THEN 'hint' ELSE 'none' END AS matched_by
+    FROM now c LEFT JOIN was a ON a.path = c.path LEFT JOIN p ON p.device = c.device AND p.inode = c.inode LEFT JOIN was h ON h.path = c.hint)
   SELECT m.path, m.prior_path, m.matched_by, coalesce(m.modified = f.modified AND m.length = f.length AND m.device = f.device AND m.inode = f.inode, false) AS content_unchanged,
-    coalesce(m.mode = f.mode AND m.modified = f.modified, false) AS metadata_unchanged FROM m LEFT JOIN prior_files f ON f.path = m.prior_path""")
+    f.path IS NOT NULL AND m.mode IS NOT DISTINCT FROM f.mode AND m.modified IS NOT DISTINCT FROM f.modified AS metadata_unchanged FROM m LEFT JOIN was f ON f.path = m.prior_path""")
 def change_detection(t: Tables) -> DataFrame:
-    return D.changes(t.current_files, t.prior_files)
+    """Times and modes are null here and there, on both sides and on one; a hint names where half of the moved files were."""
+    some = lambda df, more_time, more_mode: df.withColumn("modified", F.when(F.expr(f"length % 19 = 3 {more_time}"), None).otherwise(F.col("modified"))).withColumn("mode", F.when(F.expr(f"length % 23 = 5 {more_mode}"), None).otherwise(F.col("mode")))
+    now = some(t.current_files, "", "").withColumn("hint", F.when(F.col("length") % 2 == 0, F.replace("path", F.lit(".moved"), F.lit(""))))
+    return D.changes(now, some(t.prior_files, "AND length % 2 = 0", "AND length % 3 > 0"))
 
 
 @query("SELECT file_id, length // 2 * 1000 <= length * 950 AS half, (length - length // 25) * 1000 <= length * 950 AS little FROM files")
@@ -55,11 +61,25 @@ def fixed_segments(t: Tables) -> DataFrame:
     return _segments(t)
 
 
-@query(SEGMENTS + """, f AS (SELECT *, row_number() OVER (PARTITION BY content_id ORDER BY file_id, index) = 1 AS stored FROM segments)
-  SELECT source, CAST(sum(length) AS BIGINT) AS logical, CAST(sum(CASE WHEN stored THEN length ELSE 0 END) AS BIGINT) AS kept FROM f GROUP BY source""")
+@query(SEGMENTS + """, f AS (SELECT *, file_id % 11 AS version, row_number() OVER (PARTITION BY content_id ORDER BY file_id % 11, file_id, index) = 1 AS stored FROM segments),
+  g AS (SELECT *, version > min(version) OVER (PARTITION BY source) AS later FROM f)
+  SELECT source, CAST(sum(length) AS BIGINT) AS logical, CAST(sum(CASE WHEN stored THEN length ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN later THEN length ELSE 0 END) AS BIGINT) AS later_logical,
+    CAST(sum(CASE WHEN later AND stored THEN length ELSE 0 END) AS BIGINT) AS later_kept FROM g GROUP BY source""")
 def dedup_ratio(t: Tables) -> DataFrame:
-    sources = t.documents.select(F.col("doc_id").alias("file_id"), F.coalesce("source", F.lit("none")).alias("source"))
-    return D.dedup_ratio(_segments(t).join(sources, "file_id"), "source", ["file_id", "index"])
+    sources = t.documents.select(F.col("doc_id").alias("file_id"), F.coalesce("source", F.lit("none")).alias("source"), (F.col("doc_id") % 11).alias("version"))
+    return D.dedup_ratio(_segments(t).join(sources, "file_id"), "source", ["version", "file_id", "index"], "version")
+
+
+@query("""raw AS (SELECT doc_id AS file_id, encode(coalesce(text, '')) AS data, octet_length(encode(coalesce(text, ''))) // 2 AS half FROM documents)
+  SELECT file_id, CAST(octet_length(data) + file_id % 7 * 1000 AS BIGINT) AS length, sha256(data[1 : half] || unhex(repeat('00', CAST(file_id % 7 * 1000 AS INTEGER))) || data[half + 1 : octet_length(data)]) AS content_id
+  FROM raw WHERE octet_length(data) + file_id % 7 > 0""")
+def file_digests(t: Tables) -> DataFrame:
+    """Each text in two segments with a hole of up to 6,000 zeros between them."""
+    raw = t.documents.select(F.col("doc_id").alias("file_id"), F.coalesce("text", F.lit("")).cast("binary").alias("data")).withColumn("half", F.floor(F.octet_length("data") / 2)).withColumn("hole", F.col("file_id") % 7 * 1000)
+    piece = lambda at, n, data: F.struct(at.cast("long").alias("offset"), n.cast("long").alias("length"), data.alias("data"))
+    rest = F.octet_length("data") - F.col("half")
+    parts = F.array(piece(F.col("half") + F.col("hole"), rest, F.expr("substring(data, cast(half as int) + 1)")), piece(F.col("half"), F.col("hole"), F.lit(None).cast("binary")), piece(F.lit(0), F.col("half"), F.expr("substring(data, 1, cast(half as int))")))
+    return D.file_digests(raw.select("file_id", F.inline(parts)))
 
 
 @query(SEGMENTS + """ SELECT c.file_id, c.index, c.length, c.content_id, p.content_id IS NOT NULL AS reused FROM segments c
@@ -88,9 +108,10 @@ def hard_links(t: Tables) -> DataFrame:
     return D.hard_links(t.files)
 
 
-@query("SELECT file_id, content_id, substr(sha256(path || chr(10) || CAST(modified AS VARCHAR)), 1, 32) AS metadata_digest FROM files")
+@query("SELECT file_id, content_id, substr(sha256('=' || path || chr(10) || CASE WHEN file_id % 9 = 0 THEN '-' ELSE '=' || CAST(modified AS VARCHAR) END), 1, 32) AS metadata_digest FROM files")
 def content_ids(t: Tables) -> DataFrame:
-    return t.files.select("file_id", "content_id", D.metadata_digest("path", "modified").alias("metadata_digest"))
+    files = t.files.withColumn("modified", F.when(F.col("file_id") % 9 != 0, F.col("modified")))
+    return files.select("file_id", "content_id", D.metadata_digest("path", "modified").alias("metadata_digest"))
 
 
 @query()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import graph as G
 from ledgerloom.operators import retention as R
+from ledgerloom.operators import status as S
 from ledgerloom.plans.registry import query
 from ledgerloom.sources.tables import Tables
 
@@ -61,11 +62,44 @@ def live_intents(t: Tables) -> DataFrame:
     return _live(t)
 
 
+SURVEY = """ SELECT DISTINCT ref * 10 + at_ms % 10 AS blob_id FROM journal j WHERE kind IN ('intent', 'extension') AND record_id % 6 <> 0 AND EXISTS (SELECT 1 FROM survey s WHERE s.writer_id = j.writer_id AND s.ref = j.ref)"""
+
+
+def _survey(t: Tables, audits_unreadable: bool) -> DataFrame:
+    """Each record names a blob, one in six none; audits stand in for records that can't be read."""
+    kind = F.when(F.col("kind") == "audit", "unparseable").otherwise(F.col("kind")) if audits_unreadable else F.col("kind")
+    journal = t.journal.withColumn("kind", kind).withColumn("blob_id", F.when(F.col("record_id") % 6 != 0, F.col("ref") * 10 + F.col("at_ms") % 10))
+    return R.intent_survey(journal, t.blobs, 1_706_659_200_000)
+
+
+@query(INTENTS + SURVEY)
+def intent_survey(t: Tables) -> DataFrame:
+    return _survey(t, False)
+
+
+@query(INTENTS + SURVEY + " UNION SELECT blob_id FROM blobs WHERE EXISTS (SELECT 1 FROM journal WHERE kind = 'audit')")
+def intent_survey_unreadable(t: Tables) -> DataFrame:
+    return _survey(t, True)
+
+
 PLAN = INTENTS + """, plan AS (SELECT blob_id, n_records, n_reachable, CASE WHEN n_reachable = n_records THEN 'live' WHEN n_reachable > 0 THEN 'partly live'
     WHEN blob_id IN (SELECT ref FROM survey) THEN 'covered' ELSE 'deletable' END AS verdict
   FROM (SELECT blob_id, count(*) AS n_records, count(*) FILTER (object_id % 5 < 2) AS n_reachable FROM locations GROUP BY blob_id))"""
 
 
+@query(KEPT + PLAN.replace(INTENTS, ", " + INTENTS) + """, expired AS (SELECT * FROM snapshots s WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.snapshot_id = s.snapshot_id)),
+  lag AS (SELECT s.snapshot_id, d.destination, 996710400000 - greatest(d.last_success_ms, s.captured_ms) > 2592000000 AS over FROM expired s JOIN destinations d ON d.set_id = s.set_id
+    WHERE NOT coalesce(d.synced_sequence >= s.publication_sequence, false)),
+  held AS (SELECT snapshot_id, string_agg(CAST(destination AS VARCHAR), ',' ORDER BY destination) AS laggards, coalesce(bool_or(over), false) AS exceeded FROM lag GROUP BY 1)
+  SELECT 0 AS section, 'protected: ' || count(*) || ' snapshots' AS line FROM kept UNION ALL SELECT 1, '  keep ' || snapshot_id || ': ' || reasons FROM kept
+  UNION ALL SELECT 2, '  held ' || snapshot_id || ': awaiting ' || laggards || CASE WHEN exceeded THEN ' (deferral bound exceeded)' ELSE '' END FROM held
+  UNION ALL SELECT 3, 'would delete: ' || count(*) FILTER (verdict = 'deletable') || ' blobs' FROM plan UNION ALL SELECT 4, 'kept whole for a live part: ' || count(*) FILTER (verdict = 'partly live') || ' blobs' FROM plan
+  UNION ALL SELECT DISTINCT 5, 'NO DELETION: unreadable set ' || set_id FROM snapshots WHERE set_id % 20 = 7""")
+def collection_report(t: Tables) -> DataFrame:
+    vetoes = t.snapshots.where("set_id % 20 = 7").select(F.concat(F.lit("unreadable set "), F.col("set_id").cast("string")).alias("reason")).distinct()
+    return S.report_lines(_plan(t), _kept(t), replication_gate(t).where("held"), vetoes)
+
+
 def _plan(t: Tables) -> DataFrame:
     return R.collection_plan(t.locations, t.locations.where("object_id % 5 < 2"), _live(t).select(F.col("ref").alias("blob_id")))
 
@@ -116,10 +150,32 @@ def reachability(t: Tables) -> DataFrame:
     return G.reachable(roots, t.edges)
 
 
-@query("""s AS (SELECT min(source) AS p FROM documents) SELECT path, file_id, length FROM files, s WHERE path = p OR starts_with(path, p || '/')""")
+@query("""asked AS (SELECT DISTINCT source AS prefix FROM documents WHERE source IS NOT NULL UNION SELECT DISTINCT parent || '/none' FROM files UNION SELECT path FROM files WHERE file_id % 50 = 0)
+  SELECT a.prefix, f.path, f.file_id, f.length, CASE WHEN f.path IS NULL THEN 'missing-prefix' END AS conflict FROM asked a LEFT JOIN files f ON f.path = a.prefix OR starts_with(f.path, a.prefix || '/')""")
 def restore_subtree(t: Tables) -> DataFrame:
-    first = t.documents.agg(F.min("source")).first()[0]
-    return G.subtree(t.files, first or "").select("path", "file_id", "length")
+    asked = t.documents.where("source IS NOT NULL").select(F.col("source").alias("prefix")).union(t.files.select(F.concat("parent", F.lit("/none")))).union(t.files.where("file_id % 50 = 0").select("path"))
+    return G.restore_plan(t.files.select("path", "file_id", "length"), asked)
+
+
+@query("""r AS (SELECT DISTINCT 'c:' || CAST(c_custkey AS VARCHAR) AS node, 0 AS depth FROM customer WHERE c_custkey % 100 = 0
+  UNION SELECT e.child, r.depth + 1 FROM r JOIN edges e ON e.parent = r.node), m AS (SELECT node, min(depth) AS depth FROM r GROUP BY node)
+  SELECT node, depth FROM m WHERE node NOT IN (SELECT 'c:' || CAST(c_custkey AS VARCHAR) FROM customer UNION ALL SELECT 'o:' || CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 8 <> 3 UNION ALL SELECT 'p:' || CAST(p_partkey AS VARCHAR) FROM part)""")
+def unreadable_nodes(t: Tables) -> DataFrame:
+    named = lambda df, letter, key: df.select(F.concat(F.lit(letter), F.col(key).cast("string")).alias("node"))
+    readable = named(t.customer, "c:", "c_custkey").union(named(t.orders.where("o_orderkey % 8 <> 3"), "o:", "o_orderkey")).union(named(t.part, "p:", "p_partkey"))
+    return G.unreadable_nodes(reachability(t), readable)
+
+
+@query("""entries AS (SELECT DISTINCT * FROM (SELECT 'c:' || CAST(o_custkey AS VARCHAR) AS parent, 'order ' || CAST(o_orderkey AS VARCHAR) AS name, 'o:' || CAST(o_orderkey AS VARCHAR) AS child, 'tree' AS kind FROM orders
+    UNION ALL SELECT 'o:' || CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR), 'p:' || CAST(l_partkey AS VARCHAR), 'file' FROM lineitem)),
+  walk AS (SELECT c_custkey AS snapshot_id, 'c:' || CAST(c_custkey AS VARCHAR) AS node, '' AS path, 'tree' AS kind, 0 AS depth FROM customer WHERE c_custkey % 10 = 0
+    UNION ALL SELECT w.snapshot_id, e.child, CASE WHEN w.path = '' THEN e.name ELSE w.path || '/' || e.name END, e.kind, w.depth + 1 FROM walk w JOIN entries e ON e.parent = w.node WHERE w.kind = 'tree')
+  SELECT snapshot_id, path, node, kind, depth FROM walk WHERE depth > 0""")
+def projected_paths(t: Tables) -> DataFrame:
+    text = lambda letter, key: F.concat(F.lit(letter), F.col(key).cast("string"))
+    trees = t.orders.select(text("c:", "o_custkey").alias("parent"), text("order ", "o_orderkey").alias("name"), text("o:", "o_orderkey").alias("child"), F.lit("tree").alias("kind"))
+    files = t.lineitem.select(text("o:", "l_orderkey").alias("parent"), F.concat_ws("-", F.col("l_linenumber").cast("string"), F.col("l_suppkey").cast("string")).alias("name"), text("p:", "l_partkey").alias("child"), F.lit("file").alias("kind"))
+    return G.projected_paths(t.customer.where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("snapshot_id"), text("c:", "c_custkey").alias("root")), trees.union(files))
 
 
 @query("""r AS (SELECT version_id, version_id AS root, 0 AS depth FROM lineage WHERE parent_version IS NULL

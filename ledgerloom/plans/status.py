@@ -11,49 +11,62 @@ from ledgerloom.plans.registry import query
 from ledgerloom.sources.tables import Tables
 
 NOW = 996_710_400_000
-KEYS = """keys AS (SELECT CASE o_orderkey % 5 WHEN 0 THEN 'snapshots/' WHEN 1 THEN 'blobs/' WHEN 2 THEN 'tombstones/' WHEN 3 THEN 'index/' ELSE 'other/' END || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS key,
-    o_orderkey AS n, CASE o_orderkey % 5 WHEN 0 THEN 7 WHEN 1 THEN 2 WHEN 3 THEN 4 ELSE 3 END AS phase FROM orders)"""
+KINDS = ("snapshots/", "blobs/", "tombstones/", "index/delta/", "other/", "journal/", "keys/", "index/checkpoint/", "leases/", "trees/")
+KEYS = """named AS (SELECT CASE WHEN o_orderkey = 1 THEN 'repository-format' ELSE CASE o_orderkey % 10 WHEN 0 THEN 'snapshots/' WHEN 1 THEN 'blobs/' WHEN 2 THEN 'tombstones/' WHEN 3 THEN 'index/delta/' WHEN 4 THEN 'other/'
+      WHEN 5 THEN 'journal/' WHEN 6 THEN 'keys/' WHEN 7 THEN 'index/checkpoint/' WHEN 8 THEN 'leases/' ELSE 'trees/' END || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') END AS key, o_orderkey AS n FROM orders),
+  keys AS (SELECT key, n, CASE WHEN starts_with(key, 'repository-format') THEN 0 WHEN starts_with(key, 'keys/') THEN 1 WHEN starts_with(key, 'blobs/') THEN 2 WHEN starts_with(key, 'journal/') THEN 3
+      WHEN starts_with(key, 'index/delta/') THEN 4 WHEN starts_with(key, 'index/checkpoint/') THEN 5 WHEN starts_with(key, 'snapshots/') THEN 7 ELSE 6 END AS phase FROM named)"""
 
 
 def _keys(t: Tables) -> DataFrame:
-    kinds = F.array(*map(F.lit, ("snapshots/", "blobs/", "tombstones/", "index/", "other/")))
-    return t.orders.select(F.concat(F.element_at(kinds, (F.col("o_orderkey") % 5).cast("int") + 1), F.lpad(F.col("o_orderkey").cast("string"), 10, "0")).alias("key"), F.col("o_orderkey").alias("n"))
+    n = F.col("o_orderkey")
+    name = F.concat(F.element_at(F.array(*map(F.lit, KINDS)), (n % 10).cast("int") + 1), F.lpad(n.cast("string"), 10, "0"))
+    return t.orders.select(F.when(n == 1, "repository-format").otherwise(name).alias("key"), n.alias("n"))
 
 
-@query(KEYS + " SELECT key, phase FROM keys WHERE n % 3 <> 0 AND NOT starts_with(key, 'tombstones/')")
+@query(KEYS + " SELECT key, phase FROM keys WHERE n % 3 <> 0 AND NOT starts_with(key, 'tombstones/') AND NOT starts_with(key, 'leases/')")
 def inventory_diff(t: Tables) -> DataFrame:
     keys = _keys(t)
     return Y.missing_keys(keys.select("key"), keys.where("n % 3 = 0").select("key"))
 
 
-@query(KEYS + " SELECT key, phase FROM keys WHERE n % 3 = 0 AND n % 4 <> 0 AND key <> 'blobs/0000000006'")
+@query(KEYS + " SELECT key, phase FROM keys WHERE (n % 3 = 0 OR n < 20) AND n % 4 <> 0 AND key <> 'repository-format' AND NOT starts_with(key, 'keys/')")
 def convergence_difference(t: Tables) -> DataFrame:
     keys = _keys(t)
-    return Y.droppable_keys(keys, keys.where("n % 3 = 0"), keys.where("n % 4 = 0"), ["blobs/0000000006"])
+    return Y.droppable_keys(keys, keys.where("n % 3 = 0 OR n < 20"), keys.where("n % 4 = 0"))
 
 
-@query(KEYS + " SELECT key FROM keys WHERE CASE n % 5 WHEN 1 THEN n % 3 = 0 OR n % 7 = 0 WHEN 0 THEN n % 2 = 0 ELSE true END")
+@query(KEYS + " SELECT key FROM keys WHERE CASE WHEN n = 1 THEN true WHEN n % 10 = 1 THEN n % 3 = 0 OR n % 7 = 0 WHEN n % 10 = 0 THEN n % 4 = 0 ELSE true END")
 def convergence_keep(t: Tables) -> DataFrame:
     keys = _keys(t)
     ids = lambda where, name: keys.where(where).select(F.lpad(F.col("n").cast("string"), 10, "0").alias(name))
-    return Y.kept_keys(keys, ids("n % 3 = 0", "blob_id"), ids("n % 7 = 0", "blob_id"), ids("n % 2 = 0", "snapshot_id"))
+    return Y.kept_keys(keys, ids("n % 3 = 0", "blob_id"), ids("n % 7 = 0", "blob_id"), ids("n % 4 = 0", "snapshot_id"))
 
 
-@query(KEYS + " SELECT key, false AS wrapped FROM (SELECT key FROM keys WHERE key > 'index/0000000500' ORDER BY key LIMIT 16)")
+@query(KEYS + ", r AS (SELECT key FROM keys WHERE key > 'index/delta/0000000500' ORDER BY key LIMIT 16) SELECT key, false AS wrapped, max(key) OVER () AS next_cursor FROM r")
 def rotation_after_cursor(t: Tables) -> DataFrame:
-    return Y.rotation(_keys(t), "index/0000000500", 16)
+    return Y.rotation(_keys(t), "index/delta/0000000500", 16)
 
 
-@query(KEYS + " SELECT key, true AS wrapped FROM (SELECT key FROM keys ORDER BY key LIMIT 16)")
+@query(KEYS + ", r AS (SELECT key FROM keys ORDER BY key LIMIT 16) SELECT key, true AS wrapped, max(key) OVER () AS next_cursor FROM r")
 def rotation_wrapped(t: Tables) -> DataFrame:
     return Y.rotation(_keys(t), "zzz", 16)
 
 
+@query(KEYS + " SELECT key, false AS wrapped, CAST(NULL AS VARCHAR) AS next_cursor FROM keys WHERE key > 'trees/'")
+def rotation_closing(t: Tables) -> DataFrame:
+    """More slots than keys are left: the circuit closes, so there is no next cursor."""
+    keys = _keys(t)
+    return Y.rotation(keys, "trees/", keys.count() + 1)
+
+
 @query()
 def verification_sample(t: Tables) -> DataFrame:
     keys = _keys(t)
     newest = keys.where("key LIKE 'snapshots/%'").agg(F.max("key").alias("key"))
-    out = Y.reservoir(keys, 12, 7, forced=newest, drop=Y.rotation(keys, None, 16))
+    turns, drawn = Y.sample_slots(16, peer=True, forced=True)
+    round_ = Y.rotation(keys.join(newest, "key", "left_anti"), None, turns).select("key")
+    out = Y.reservoir(keys, drawn, 7, forced=newest, drop=round_).unionByName(round_.withColumn("forced", F.lit(False)))
     offset, length = Y.challenged_range(F.lit(100_000), F.col("key"), 7, 65_536)
     return out.withColumn("offset", offset).withColumn("length", length)
 
@@ -68,12 +81,17 @@ def job_queue(t: Tables) -> DataFrame:
     return t.jobs.where("state = 'queued'").select("job_event", "set_id", "user_initiated", "at_ms").orderBy("set_id", F.desc("user_initiated"), "at_ms", "job_event")
 
 
-@query("""d AS (SELECT doc_id, encode(text) AS mine, encode(CASE WHEN doc_id % 9 = 0 THEN upper(text) ELSE text END) AS theirs FROM documents WHERE doc_id % 3 = 0)
-  SELECT CAST(doc_id AS VARCHAR) AS key, 20 AS "offset", 40 AS length, CASE WHEN octet_length(mine) < 60 THEN 'skipped' WHEN doc_id % 6 = 0 THEN 'failed' WHEN coalesce(octet_length(theirs) >= 60 AND mine[21:60] = theirs[21:60], false) THEN 'verified' ELSE 'failed' END AS verdict FROM d""")
+@query("""d AS (SELECT doc_id, encode(text) AS mine, encode(CASE WHEN doc_id % 9 = 0 THEN upper(text) ELSE text END) AS theirs FROM documents),
+  r AS (SELECT doc_id, unnest(range(0, greatest(octet_length(mine), 1), 4096)) AS pos, mine, theirs FROM d WHERE mine IS NOT NULL UNION ALL SELECT doc_id, 0, mine, theirs FROM d WHERE mine IS NULL),
+  c AS (SELECT doc_id, pos, CASE WHEN mine IS NULL THEN 4096 ELSE least(4096, octet_length(mine) - pos) END AS n, mine, theirs FROM r)
+  SELECT CAST(doc_id AS VARCHAR) AS key, CAST(pos AS BIGINT) AS "offset", CAST(n AS BIGINT) AS length, CASE WHEN mine IS NULL THEN 'skipped' WHEN doc_id % 6 = 0 THEN 'failed' WHEN octet_length(theirs) >= pos + n AND mine[pos + 1 : pos + n] = theirs[pos + 1 : pos + n] THEN 'verified' ELSE 'failed' END AS verdict FROM c""")
 def replica_verification(t: Tables) -> DataFrame:
-    docs = t.documents.where("doc_id % 3 = 0").select(F.col("doc_id").cast("string").alias("key"), "doc_id", "text")
+    """Every range of 4 KiB of every document, in both stores."""
+    docs = t.documents.select(F.col("doc_id").cast("string").alias("key"), "doc_id", "text", F.octet_length("text").cast("long").alias("n"))
     theirs = docs.where("doc_id % 6 <> 0").select("key", F.when(F.col("doc_id") % 9 == 0, F.upper("text")).otherwise(F.col("text")).cast("binary").alias("data"))
-    return Y.replica_verdicts(docs.select("key", F.lit(20).alias("offset"), F.lit(40).alias("length")), docs.select("key", F.col("text").cast("binary").alias("data")), theirs)
+    at = F.when(F.col("n") > 0, F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(4096).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    ranges = docs.select("key", "n", F.explode(at).alias("offset")).select("key", "offset", F.coalesce(F.least(F.lit(4096), F.col("n") - F.col("offset")), F.lit(4096)).alias("length"))
+    return Y.replica_verdicts(ranges, docs.select("key", F.col("text").cast("binary").alias("data")), theirs)
 
 
 @query("""SELECT doc_id AS blob_id, CASE WHEN doc_id % 5 = 0 THEN 'footer' WHEN doc_id % 7 = 0 THEN 'digest' WHEN doc_id % 11 = 0 THEN 'record' ELSE 'sound' END AS verdict FROM documents""")
@@ -115,15 +133,18 @@ def quota_usage(t: Tables) -> DataFrame:
     return Y.within_quota(t.orders.select((F.col("o_custkey") % 20).alias("owner"), F.col("o_orderkey").alias("seq"), F.floor("o_totalprice").alias("size")), 50_000_000)
 
 
-LEDGER = """l AS (SELECT writer_id AS destination, record_id AS seq, ref AS sequence, at_ms, CASE kind WHEN 'intent' THEN 'success' WHEN 'extension' THEN 'verification' ELSE 'failure' END AS kind FROM journal),
-  m AS (SELECT destination, max(CASE WHEN kind = 'success' THEN seq END) AS ok, max(CASE WHEN kind = 'success' THEN sequence END) AS synced_sequence, max(CASE WHEN kind = 'verification' THEN sequence END) AS verified_sequence,
-    arg_max(at_ms, seq) AS last_attempt_ms, max(CASE WHEN kind = 'success' THEN at_ms END) AS last_success_ms, arg_max(kind, seq) AS last_kind FROM l GROUP BY 1),
-  ledger AS (SELECT m.* EXCLUDE (ok), (SELECT count(*) FROM l WHERE l.destination = m.destination AND kind = 'failure' AND (m.ok IS NULL OR seq > m.ok)) AS failures FROM m)"""
+LEDGER = """l AS (SELECT writer_id AS destination, record_id AS seq, ref AS sequence, at_ms, amount AS objects, record_id % 7 = 0 AS circuit,
+    CASE kind WHEN 'intent' THEN 'success' WHEN 'extension' THEN 'verification' WHEN 'retirement' THEN 'sweep' ELSE 'failure' END AS kind FROM journal),
+  m AS (SELECT destination, max(seq) FILTER (kind = 'success') AS ok, max(seq) FILTER (kind = 'sweep' AND circuit) AS closed, max(sequence) FILTER (kind = 'success') AS synced_sequence, max(sequence) FILTER (kind = 'verification') AS verified_sequence,
+    arg_max(at_ms, seq) FILTER (kind = 'verification') AS verified_ms, arg_max(objects, seq) FILTER (kind = 'verification') AS verified_objects, arg_max(at_ms, seq) FILTER (kind IN ('success', 'failure')) AS last_attempt_ms,
+    arg_max(at_ms, seq) FILTER (kind = 'success') AS last_success_ms, arg_max(kind, seq) FILTER (kind IN ('success', 'failure')) AS last_kind, arg_max(at_ms, seq) FILTER (kind = 'sweep') AS swept_ms, arg_max(at_ms, seq) FILTER (kind = 'sweep' AND circuit) AS sweep_completed_ms FROM l GROUP BY 1),
+  ledger AS (SELECT m.* EXCLUDE (ok, closed), (SELECT count(*) FROM l WHERE l.destination = m.destination AND kind = 'failure' AND (m.ok IS NULL OR seq > m.ok)) AS failures,
+    CAST(coalesce((SELECT sum(objects) FROM l WHERE l.destination = m.destination AND kind = 'sweep' AND (m.closed IS NULL OR seq > m.closed)), 0) AS BIGINT) AS swept FROM m)"""
 
 
 def _ledger(t: Tables) -> DataFrame:
-    kind = F.when(F.col("kind") == "intent", "success").when(F.col("kind") == "extension", "verification").otherwise("failure")
-    return Y.sync_states(t.journal.select(F.col("writer_id").alias("destination"), F.col("record_id").alias("seq"), F.col("ref").alias("sequence"), "at_ms", kind.alias("kind")))
+    kind = F.when(F.col("kind") == "intent", "success").when(F.col("kind") == "extension", "verification").when(F.col("kind") == "retirement", "sweep").otherwise("failure")
+    return Y.sync_states(t.journal.select(F.col("writer_id").alias("destination"), F.col("record_id").alias("seq"), F.col("ref").alias("sequence"), "at_ms", F.col("amount").alias("objects"), (F.col("record_id") % 7 == 0).alias("circuit"), kind.alias("kind")))
 
 
 @query(LEDGER + " SELECT * FROM ledger")
@@ -131,23 +152,46 @@ def sync_ledger(t: Tables) -> DataFrame:
     return _ledger(t)
 
 
-@query(LEDGER + """ SELECT destination, failures, CASE WHEN last_kind = 'success' THEN coalesce(synced_sequence < 95, true)
+@query(LEDGER + """ SELECT destination, failures, CASE WHEN last_kind IS NULL THEN true WHEN last_kind = 'success' THEN coalesce(synced_sequence < 95, true)
     ELSE coalesce(1706659200000 >= last_attempt_ms + least(60 * (1 << least(failures, 6)), 3600) * 1000, true) END AS due FROM ledger""")
 def sync_backoff(t: Tables) -> DataFrame:
-    state = F.when(F.col("last_kind") == "success", "in-sync").otherwise("failing")
+    state = F.when(F.col("last_kind") == "success", "in-sync").when(F.col("last_kind") == "failure", "failing")
     rows = _ledger(t).withColumn("state", state).withColumn("latest_sequence", F.lit(95)).withColumn("attempted_sequence", F.lit(None).cast("long"))
     return Y.should_sync(rows, 1_706_659_200_000).select("destination", "failures", "due")
 
 
+@query(LEDGER + """ SELECT destination, destination % 3 <> 0 AND last_success_ms IS NOT NULL AND (swept_ms IS NULL OR 1706659200000 >= swept_ms + CASE WHEN destination % 5 = 0 THEN 14 ELSE 7 END * 86400000) AS due FROM ledger""")
+def sweep_due(t: Tables) -> DataFrame:
+    interval = F.when(F.col("destination") % 5 == 0, 14)
+    return _ledger(t).select("destination", S.should_sweep(F.col("destination") % 3 != 0, F.col("last_success_ms"), F.col("swept_ms"), 1_706_659_200_000, interval).alias("due"))
+
+
+@query("""SELECT destination, set_id, objects * 1000000 AS quota, free_bytes, CASE WHEN destination % 7 > 0 THEN free_bytes * 20000 END AS volume_free,
+    objects > 0 AND free_bytes * 20000 <= objects * 1000000 // 10 AS headroom_warning, coalesce(destination % 7 > 0 AND free_bytes * 20000 < 67108864, false) AS below_floor FROM destinations WHERE objects IS NOT NULL""")
+def destination_headroom(t: Tables) -> DataFrame:
+    rows = t.destinations.where("objects IS NOT NULL").select("destination", "set_id", (F.col("objects") * 1_000_000).alias("quota"), F.col("free_bytes").alias("own"), (F.col("free_bytes") * 20_000).alias("free_bytes"), F.when(F.col("destination") % 7 > 0, F.col("free_bytes") * 20_000).alias("volume_free"))
+    return Y.headroom(rows).drop("free_bytes").withColumnRenamed("own", "free_bytes")
+
+
+@query("""p AS (SELECT set_id, destination, destination % 4 > 0 AS prior, CASE WHEN destination % 3 = 0 THEN 0 WHEN destination % 5 > 0 THEN objects END AS held, destination % 6 = 1 AS missing, coalesce(objects, 0) % 11 AS copied FROM destinations)
+  SELECT set_id, destination, CASE WHEN missing THEN 'root-missing' ELSE 'held-nothing' END AS cause, copied FROM p WHERE prior AND (coalesce(held, 0) <= 0 OR missing) AND copied > 0""")
+def destination_shortfalls(t: Tables) -> DataFrame:
+    d = F.col("destination")
+    held = F.when(d % 3 == 0, 0).when(d % 5 > 0, F.col("objects"))
+    return S.shortfalls(t.destinations.select("set_id", "destination", (d % 4 > 0).alias("prior_success"), held.alias("held_at_start"), (d % 6 == 1).alias("root_missing"), (F.coalesce("objects", F.lit(0)) % 11).alias("copied")))
+
+
 # Status
 
 
-@query("""s AS (SELECT set_id, job_event AS seq, CASE state WHEN 'queued' THEN 'pending' WHEN 'running' THEN 'replicating' WHEN 'complete' THEN 'protected' WHEN 'completed-with-failures' THEN 'odd' ELSE 'degraded' END AS state FROM jobs WHERE job_event % 40 = 0),
-  v AS (SELECT *, CASE state WHEN 'protected' THEN 10 WHEN 'replicating' THEN 30 WHEN 'pending' THEN 40 WHEN 'degraded' THEN 70 ELSE 50 END AS severity FROM s)
+@query("""s AS (SELECT set_id, job_event AS seq, CASE WHEN set_id % 6 = 0 AND state = 'queued' THEN 'unrecoverable' WHEN set_id % 4 = 0 AND state = 'queued' THEN 'never-backed-up' WHEN state = 'queued' THEN 'captured' WHEN set_id % 3 > 0 AND state = 'failed-recoverable' THEN 'degraded'
+      WHEN state = 'running' THEN 'replicated' WHEN state = 'complete' THEN 'protected' WHEN set_id % 5 = 0 AND state = 'completed-with-failures' THEN 'odd' WHEN set_id % 5 = 1 THEN 'verified' ELSE 'policy-compliant' END AS state FROM jobs),
+  v AS (SELECT *, CASE state WHEN 'unrecoverable' THEN 100 WHEN 'never-backed-up' THEN 90 WHEN 'degraded' THEN 80 WHEN 'captured' THEN 40 WHEN 'protected' THEN 30 WHEN 'replicated' THEN 20 WHEN 'verified' THEN 10 WHEN 'policy-compliant' THEN 0 ELSE 50 END AS severity FROM s)
   SELECT set_id, state, severity FROM (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY severity DESC, seq) AS r FROM v) WHERE r = 1""")
 def status_rollup(t: Tables) -> DataFrame:
-    state = F.expr("CASE state WHEN 'queued' THEN 'pending' WHEN 'running' THEN 'replicating' WHEN 'complete' THEN 'protected' WHEN 'completed-with-failures' THEN 'odd' ELSE 'degraded' END")
-    return S.rollup(t.jobs.where("job_event % 40 = 0").select("set_id", F.col("job_event").alias("seq"), state.alias("state")), "set_id")
+    state = F.expr("""CASE WHEN set_id % 6 = 0 AND state = 'queued' THEN 'unrecoverable' WHEN set_id % 4 = 0 AND state = 'queued' THEN 'never-backed-up' WHEN state = 'queued' THEN 'captured' WHEN set_id % 3 > 0 AND state = 'failed-recoverable' THEN 'degraded'
+      WHEN state = 'running' THEN 'replicated' WHEN state = 'complete' THEN 'protected' WHEN set_id % 5 = 0 AND state = 'completed-with-failures' THEN 'odd' WHEN set_id % 5 = 1 THEN 'verified' ELSE 'policy-compliant' END""")
+    return S.rollup(t.jobs.select("set_id", F.col("job_event").alias("seq"), state.alias("state")), "set_id")
 
 
 @query("""SELECT destination, CASE WHEN region = 4 THEN 'degraded' WHEN verified_sequence >= 14900 THEN 'verified' WHEN synced_sequence >= 14900 AND synced_sequence > 0 THEN 'durable' WHEN destination % 2 = 0 THEN 'replicating'
@@ -164,14 +208,43 @@ def destination_status(t: Tables) -> DataFrame:
     )
 
 
-@query("""f AS (SELECT set_id, count(*) AS n, count(*) FILTER (synced_sequence >= 14000) AS cur, count(*) FILTER (verified_sequence >= 14000) AS ver, count(*) FILTER (region > 2) AS ind, count(*) FILTER (synced_sequence < 14000) AS lag, max(CASE WHEN region = 3 THEN 1 ELSE 0 END) AS damage FROM destinations GROUP BY 1)
-  SELECT set_id, CASE WHEN set_id % 10 = 0 THEN 'never' WHEN set_id % 10 = 1 THEN 'unrecoverable' WHEN damage > 0 THEN 'degraded' WHEN ver > 0 AND ind > 0 THEN 'verified' WHEN cur > 0 THEN 'protected' WHEN lag > 0 THEN 'degraded' ELSE 'captured' END AS state,
-    concat_ws(',', CASE WHEN ind = 0 THEN 'no independent copy' END, CASE WHEN lag > 0 THEN 'destinations lag' END, CASE WHEN ver = 0 THEN 'never verified' END) AS warnings FROM f""")
-def protection_status(t: Tables) -> DataFrame:
-    facts = t.destinations.groupBy("set_id").agg(
-        F.count_if(F.col("synced_sequence") >= 14000).alias("n_current"), F.count_if(F.col("verified_sequence") >= 14000).alias("n_verified"), F.count_if(F.col("region") > 2).alias("n_independent"), F.count_if(F.col("synced_sequence") < 14000).alias("n_lagging"), F.count_if(F.col("region") == 3).alias("damage"),
+# Facts of destinations, six to a set: how they sync, where they are, and what was proven of them.
+PROTECTION = """d AS (SELECT c_custkey AS destination, c_custkey // 6 AS set_id, CASE WHEN c_custkey % 11 < 4 THEN 'in-sync' WHEN c_custkey % 11 < 9 AND c_custkey // 6 % 4 > 0 THEN 'unsupported' WHEN c_custkey % 13 > 0 AND c_custkey // 6 % 3 > 0 THEN NULL WHEN c_custkey // 6 % 5 = 0 THEN 'unsupported' ELSE 'failed' END AS sync,
+      CASE c_nationkey % 5 WHEN 0 THEN 'same-volume' WHEN 1 THEN 'same-machine' WHEN 2 THEN 'same-site' WHEN 3 THEN 'independent' END AS domain, c_custkey % 3 = 0 AS proven, CASE WHEN c_custkey % 7 > 0 THEN c_custkey % 7 > 1 END AS provable,
+      c_custkey % 9 = 0 AS overdue, CASE WHEN c_custkey % 4 > 0 THEN c_custkey * 1000 END AS verified_ms, CASE WHEN c_custkey % 8 < 6 THEN c_custkey % 3 END AS verified_objects FROM customer),
+  s AS (SELECT set_id, CASE WHEN set_id % 9 > 0 THEN set_id END AS latest_ms, set_id % 10 = 1 AS missing, CASE set_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 END AS capture_status, CASE WHEN set_id % 8 = 3 THEN set_id END AS damage FROM (SELECT DISTINCT c_custkey // 6 AS set_id FROM customer UNION SELECT -4 UNION SELECT -1))"""
+
+
+def _protection(t: Tables) -> tuple[DataFrame, DataFrame]:
+    n, set_id = F.col("c_custkey"), F.floor(F.col("c_custkey") / 6)
+    sync = F.when(n % 11 < 4, "in-sync").when((n % 11 < 9) & (set_id % 4 > 0), "unsupported").when((n % 13 > 0) & (set_id % 3 > 0), None).when(set_id % 5 == 0, "unsupported").otherwise("failed")
+    domain = F.element_at(F.array(*[F.lit(x) for x in ("same-volume", "same-machine", "same-site", "independent", None)]), F.col("c_nationkey").cast("int") % 5 + 1)
+    rows = t.customer.select(
+        n.alias("destination"), set_id.alias("set_id"), sync.alias("sync"), domain.alias("domain"), (n % 3 == 0).alias("proven"), F.when(n % 7 > 0, n % 7 > 1).alias("provable"), (n % 9 == 0).alias("overdue"),
+        F.when(n % 4 > 0, n * 1000).alias("verified_ms"), F.when(n % 8 < 6, n % 3).alias("verified_objects"),
     )
-    return S.protection_state(facts.withColumn("n_snapshots", F.col("set_id") % 10).withColumn("recoverable", F.col("set_id") % 10 != 1))
+    sets = rows.select("set_id").distinct().union(t.spark.createDataFrame([(-4,), (-1,)], "set_id long"))
+    k = F.col("set_id")
+    return sets.select("set_id", F.when(k % 9 != 0, k).alias("latest_ms"), (k % 10 == 1).alias("missing"), F.when(k % 3 == 0, 1).when(k % 3 == 1, 2).alias("capture_status"), F.when(k % 8 == 3, k).alias("damage")), rows
+
+
+@query(PROTECTION.replace("set_id % 9 > 0", "set_id % 9 <> 0") + """, w AS (SELECT *, coalesce(sync = 'in-sync', false) AS ok, coalesce(domain IN ('same-site', 'independent'), false) AS off_machine, coalesce(sync = 'unsupported', false) AS unsup FROM d),
+  codes AS (SELECT set_id, 'overdue:' || destination AS code FROM w WHERE overdue UNION ALL SELECT set_id, CASE WHEN NOT ok THEN CASE WHEN unsup THEN 'unsupported' ELSE 'not-in-sync' END WHEN NOT off_machine THEN 'same-domain' WHEN coalesce(provable, true) THEN 'unproven' ELSE 'unprovable' END || ':' || destination FROM w
+    WHERE NOT (ok AND off_machine AND proven)),
+  p AS (SELECT set_id, bool_or(ok AND off_machine) AS protects, bool_or(ok AND coalesce(domain = 'independent', false)) AS independent, bool_or(ok AND NOT off_machine) AS captures, bool_or(NOT ok AND NOT unsup) AS lags,
+    max(CASE WHEN ok AND off_machine AND proven THEN coalesce(verified_ms, 0) END) AS verified, max(CASE WHEN verified_objects > 0 THEN verified_ms END) AS claim, (SELECT string_agg(code, ',' ORDER BY code) FROM codes c WHERE c.set_id = w.set_id) AS codes FROM w GROUP BY set_id)
+  SELECT s.set_id, CASE WHEN latest_ms IS NULL THEN 'never-backed-up' WHEN missing THEN 'unrecoverable' WHEN damage > 0 THEN 'degraded' WHEN protects AND verified IS NOT NULL THEN 'verified' WHEN protects THEN 'protected' WHEN lags THEN 'degraded' ELSE 'captured' END AS state,
+    CASE WHEN latest_ms IS NULL THEN NULL WHEN NOT missing AND coalesce(damage <= 0, true) AND protects THEN verified ELSE claim END AS claim_ms,
+    CASE WHEN latest_ms IS NULL THEN 'no-snapshot' WHEN missing THEN 'objects-missing' ELSE concat_ws(',', CASE WHEN capture_status = 2 THEN 'partial-capture' END, CASE WHEN damage > 0 THEN 'damage' ELSE
+      nullif(concat_ws(',', codes, CASE WHEN protects THEN CASE WHEN NOT independent THEN 'same-site-only' END WHEN NOT coalesce(lags, false) AND NOT coalesce(captures, false) THEN 'no-copy' END), '') END) END AS warnings
+  FROM s LEFT JOIN p ON p.set_id = s.set_id""")
+def protection_status(t: Tables) -> DataFrame:
+    return S.protection_state(*_protection(t))
+
+
+@query(PROTECTION + " SELECT set_id, arg_min(destination, struct_pack(m := -verified_ms, d := destination)) AS destination, max(verified_ms) AS verified_ms FROM d WHERE verified_ms IS NOT NULL AND verified_objects > 0 GROUP BY set_id")
+def latest_claims(t: Tables) -> DataFrame:
+    return S.latest_claims(_protection(t)[1])
 
 
 @query("""i AS (SELECT l_orderkey AS plan_id, CASE WHEN l_partkey % 40 = 0 THEN 'failed' WHEN l_partkey % 9 = 0 THEN 'skipped' WHEN l_partkey % 11 = 0 THEN 'degraded' ELSE 'restored' END AS result, CAST(round(l_quantity) AS BIGINT) AS size FROM lineitem),
@@ -185,9 +258,9 @@ def restore_outcomes(t: Tables) -> DataFrame:
     return S.restore_outcomes(items, t.orders.select(F.col("o_orderkey").alias("plan_id"), (F.col("o_orderkey") % 8).alias("planned")))
 
 
-@query("SELECT path, CAST(strlen(path) AS INTEGER) AS n_bytes FROM (SELECT substr(text, 1, 30) AS path FROM documents) WHERE strlen(path) > 32")
+@query("SELECT path, CAST(strlen(path) AS INTEGER) AS n_bytes FROM files WHERE strlen(path) > 13")
 def path_limit_conflicts(t: Tables) -> DataFrame:
-    return S.path_conflicts(t.documents.select(F.substring("text", 1, 30).alias("path")), 32)
+    return S.path_conflicts(t.files.select("path"), 13)
 
 
 @query("""SELECT parent AS set_id, concat_ws(',', CASE WHEN bool_or(file_id % 5 = 0) THEN 'posix' END, CASE WHEN bool_or(file_id % 7 = 0) THEN 'symlink' END, CASE WHEN bool_or(file_id % 11 = 0) THEN 'special' END, CASE WHEN bool_or(file_id % 23 = 0) THEN 'alternate-streams' END) AS losses FROM files GROUP BY parent""")
@@ -237,7 +310,7 @@ def read_outcomes(t: Tables) -> DataFrame:
     n = F.col("file_id")
     rows = t.files.select("file_id", "length", n.alias("identity_before"), F.when(n % 13 == 0, -n - 1).otherwise(n).alias("identity_after"), F.col("length").alias("length_before"), F.when(n % 7 == 0, F.col("length") + 1).otherwise(F.col("length")).alias("length_after"), F.col("modified").alias("modified_before"), F.when(n % 5 == 0, None).otherwise(F.col("modified")).alias("modified_after"), F.lit(3).alias("tries"))
     error = F.when(n % 4 == 0, "EACCES").when(n % 4 == 1, "ENOENT").when(n % 4 == 2, "EIO")
-    return S.read_stability(rows).select("file_id", "verdict", S.failure_kind(error).alias("failure"), (F.col("length") > 1000).alias("too_large"))
+    return S.read_stability(rows).select("file_id", "verdict", S.failure_kind(error).alias("failure"), S.too_large(F.col("length"), 1000).alias("too_large"))
 
 
 @query("""SELECT object_id, sequence, CASE WHEN blob_id % 9 = 0 THEN 'no' WHEN writer_id % 5 = 0 THEN 'reuse' WHEN object_id % 4 = 0 THEN 'no' WHEN object_id % 4 = 1 THEN 'reuse' WHEN object_id % 4 = 2 THEN CASE WHEN generation > 1998 THEN 'reuse' ELSE 'verify' END ELSE 'no' END AS verdict FROM locations""")
@@ -258,6 +331,26 @@ def forensic_missing(t: Tables) -> DataFrame:
     return S.forensic_index(footers, t.locations)[1]
 
 
+@query("""f AS (SELECT object_id, blob_id, physical_offset, blob_id % 4 = 0 AS metadata FROM locations WHERE blob_id % 3 <> 0),
+  r AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY NOT metadata, blob_id, physical_offset) AS r FROM f),
+  last AS (SELECT max(blob_id) AS last FROM r WHERE r = 1 AND NOT metadata AND object_id % 50 = 0)
+  SELECT DISTINCT blob_id, metadata AS is_metadata FROM f WHERE metadata OR blob_id <= (SELECT last FROM last)""")
+def forensic_reads(t: Tables) -> DataFrame:
+    footers = t.locations.select("object_id", "blob_id", F.col("physical_offset").alias("offset"), (F.col("blob_id") % 3 != 0).alias("sound"), (F.col("blob_id") % 4 == 0).alias("is_metadata"))
+    return S.forensic_reads(footers, t.locations.where("object_id % 50 = 0"))
+
+
+@query("""e AS (SELECT job_id, job_event AS sequence, row_number() OVER (PARTITION BY job_id ORDER BY job_event DESC) AS r FROM jobs)
+  SELECT job_id, sequence, coalesce(sequence <> lag(sequence) OVER (PARTITION BY job_id ORDER BY sequence) + 1, sequence > 1) AS gap FROM e WHERE r <= 4""")
+def progress_buffer(t: Tables) -> DataFrame:
+    return S.progress_buffer(t.jobs.select("job_id", F.col("job_event").alias("sequence")), 4)
+
+
+@query("""SELECT job_event, '{"job_id":' || job_id || ',"at_ms":' || at_ms || ',"state":"' || state || '"' || CASE WHEN job_event % 5 > 0 THEN ',"user_initiated":' || user_initiated ELSE '' END || '}' AS receipt FROM jobs""")
+def job_receipts(t: Tables) -> DataFrame:
+    return S.receipts(t.jobs.select("job_event", "job_id", "at_ms", "state", F.when(F.col("job_event") % 5 > 0, F.col("user_initiated")).alias("user_initiated")), "job_event")
+
+
 @query("SELECT job_id, arg_max(state, job_event) AS state, max(at_ms) AS at_ms FROM jobs GROUP BY job_id")
 def job_states(t: Tables) -> DataFrame:
     return S.job_states(t.jobs)
