@@ -96,15 +96,22 @@ def _rarest(s: np.ndarray, num: int, den: int, rarity: np.ndarray) -> np.ndarray
 
 
 def _cells(n: int, num: int, den: int, rarity: np.ndarray):
-    """Adds each text's histogram of shingles over ``CELLS`` cells, and the cells of its prefix in order."""
+    """Each set's histogram over ``CELLS`` cells, in bytes or, where one is too full, in 32-bit numbers; and the cells of its prefix in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
-            cells, prefix = [], []
-            for s in _sets(batch.column(2), n):
-                cells.append(np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype("<u4").tobytes())
+            digests, cells, prefix = [], [], []
+            for s in _sets(batch.column(0), n):
+                if not len(s) or (digest := _digest(s)) in seen:
+                    continue
+                if len(seen) < 200_000:
+                    seen.add(digest)
+                counts = np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+                digests.append(digest)
+                cells.append(counts.astype(np.uint8 if counts.max() < 256 else "<u4").tobytes())
                 prefix.append((_rarest(s, num, den, rarity) & np.uint64(CELLS - 1)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.binary()), pa.array(prefix, pa.binary())], ["cls", "node", "text", "cells", "prefix"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (digests, cells, prefix)], ["cls", "cells", "prefix"])
 
     return run
 
@@ -112,7 +119,7 @@ def _cells(n: int, num: int, den: int, rarity: np.ndarray):
 def _suffix_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each prefix entry, the histogram of its text's suffix: the shingles that come after the entry's in the order. Counts stop at 255, which only makes histograms more alike."""
     for batch in batches:
-        whole = np.frombuffer(b"".join(batch["cells"].to_pylist()), "<u4").reshape(-1, CELLS).astype(np.int64)
+        whole = np.array([np.frombuffer(x, np.uint8 if len(x) == CELLS else "<u4") for x in batch["cells"].to_pylist()], np.int64).reshape(-1, CELLS)
         pos, prefix = batch["pos"].to_numpy(), batch["prefix"].to_pylist()
         row = np.repeat(np.arange(len(pos)), pos + 1)
         done = np.frombuffer(b"".join(x[: k + 1] for x, k in zip(prefix, pos.tolist(), strict=True)), np.uint8)
@@ -301,23 +308,26 @@ def join_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
     node = F.struct(nameless.alias("nameless"), F.col("class_id").alias("id"), F.when(nameless, F.col("cls")).alias("cls"))
     node_type = "struct<nameless:boolean,id:bigint,cls:binary>"
     classes = classes.withColumn("node", node)
-    wanted = classes.join(entries.select("cls").distinct(), "cls", "left_semi").hint("shuffle_hash")
-    same = rows["doc_id"].eqNullSafe(wanted["class_id"]) & (rows["h"] == wanted["h"])
-    bodies = rows.join(wanted, same).dropDuplicates(["cls"]).select("cls", "node", "text")
-    bodies = scratch.write(bodies.mapInArrow(_cells(n, num, den, rarity), f"cls binary, node {node_type}, text string, cells binary, prefix binary"), "bodies")
-    with_cells = entries.join(bodies.select("cls", "node", "cells", "prefix"), "cls")
-    with_cells = with_cells.mapInArrow(_suffix_cells, f"token long, cls binary, size int, pos int, members long, node {node_type}, cells binary")
+    sets = docs.select("text").mapInArrow(_cells(n, num, den, rarity), "cls binary, cells binary, prefix binary").dropDuplicates(["cls"]).join(classes.select("cls", "node"), "cls")
+    with_cells = entries.join(sets, "cls").mapInArrow(_suffix_cells, f"token long, cls binary, size int, pos int, members long, node {node_type}, cells binary")
     filled = scratch.write(with_cells, "suffix-cells")
     scratch.drop(entries)
 
     filters = _Filters(num, den)
 
     def linked(pairs: DataFrame) -> DataFrame:
+        """Candidate pairs whose texts link; only the texts of candidates are fetched."""
         pairs = scratch.write(pairs.distinct(), "pairs")
+        if pairs.isEmpty():
+            return scratch.write(docs.sparkSession.createDataFrame([], f"a {node_type}, b {node_type}"), "verified")
+        ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+        wanted = classes.join(ends, "cls", "left_semi").hint("shuffle_hash")
+        bodies = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["class_id"]) & (rows["h"] == wanted["h"])).select("cls", "node", "text")
+        bodies = scratch.write(bodies.dropDuplicates(["cls"]), "bodies")
         side = lambda s: bodies.select(F.col("cls").alias(s), F.col("node").alias(f"{s}_id"), F.col("text").alias(f"{s}_text"))
         whole = pairs.join(side("a"), "a").join(side("b"), "b").select("a_id", "b_id", "a_text", "b_text")
         out = scratch.write(whole.mapInArrow(_verify(n, num, den), f"a {node_type}, b {node_type}"), "verified")
-        scratch.drop(pairs)
+        scratch.drop(pairs, bodies)
         return out
 
     small = filled.where(F.col("members") <= SMALL_GROUP).repartition("token").sortWithinPartitions("token").select("token", "cls", "size", "pos", "cells").mapInArrow(_small_groups(filters), _PAIR)
@@ -337,7 +347,7 @@ def join_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
     crossed = placed.join(open_tokens, "token").withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     crossed = crossed.select("token", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "cls", "size", "pos", "cells", "component")
     more = linked(crossed.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(_block_pairs(filters), _PAIR))
-    scratch.drop(bodies, filled, placed)
+    scratch.drop(filled, placed)
     if more.limit(1).count():
         found = scratch.write(components(links.unionByName(more)), "components")
     scratch.drop(links, more)
