@@ -438,6 +438,45 @@ def test_nearest(spark):
     assert hits >= 0.9 * 20 * len(got)
 
 
+def _luhn(digits):
+    return sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(map(int, reversed(digits)))) % 10 == 0
+
+
+def test_pseudonyms_are_permutations(spark):
+    """Many values of each kind: valid ones get valid pseudonyms of the same shape, equal values equal ones, different values different ones."""
+    import datetime
+
+    rng, day = random.Random(11), datetime.date(1900, 1, 1)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    cards = [next(c for c in (body + str(k) for k in range(10)) if _luhn(c)) for body in {digits(15) for _ in range(300)} | {"411111111111111", "400000000000000"}]
+    days = [day + datetime.timedelta(rng.randrange(73049)) for _ in range(300)]
+    month_first = [d for d in days if d.day > 12]
+    ibans = [f"DE{98 - int(b + '131400') % 97:02d}{b}" for b in {digits(18) for _ in range(200)}]
+    kinds = {
+        "card": [" ".join(c[i : i + 4] for i in range(0, 16, 4)) for c in cards], "bare card": cards, "iso": [d.isoformat() for d in days], "slashed": [d.strftime("%d/%m/%Y") for d in days], "dotted": [d.strftime("%d.%m.%Y") for d in days],
+        "month": [d.strftime("%m/%d/%Y") for d in month_first], "iban": ibans, "ip": [".".join(str(rng.randrange(256)) for _ in range(4)) for _ in range(300)], "national": [f"{rng.randint(2, 9)}{digits(2)}-{rng.randint(2, 9)}{digits(2)}-{digits(4)}" for _ in range(300)],
+        "bracketed": [f"(0{digits(2)}) {digits(4)} {digits(4)}" for _ in range(200)], "ssn": [f"{rng.randint(1, 665):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}" for _ in range(300)],
+        "key": ["AKIA" + "".join(rng.choice("ABCDEFGHIJ") for _ in range(16)) for _ in range(100)], "hex": ["".join(rng.choice("abcdef") for _ in range(40)) for _ in range(100)], "mail": [f"n{digits(3)}.{digits(2)}@x.org" for _ in range(200)],
+    }
+    rows = [(k, v) for k, vs in kinds.items() for v in vs]
+    out = pii.pseudonymise(spark.createDataFrame([(i, v, "x", "y", "z") for i, (_, v) in enumerate(rows)], "doc_id long, text string, found string, `new` string, `key` string"), "k")
+    assert out.columns == ["doc_id", "text", "found", "new", "key", "n_pseudonyms"] and out.first()["found"] == "x"
+    got, per = {r["doc_id"]: r for r in out.collect()}, defaultdict(dict)
+    for i, (kind, v) in enumerate(rows):
+        new = got[i]["text"]
+        assert got[i]["n_pseudonyms"] == (new != v) and [c.isdigit() for c in new] == [c.isdigit() for c in v] or kind in ("key", "mail", "hex", "ip"), (kind, v, new)
+        assert per[kind].setdefault(v, new) == new and (len(new) == len(v) or kind == "ip")
+    for kind, m in per.items():
+        assert len(set(m.values())) == len(m) and sum(a != b for a, b in m.items()) > 0.95 * len(m), kind
+    assert all(_luhn(new.replace(" ", "")) for k in ("card", "bare card") for new in per[k].values())
+    assert all(per["card"][a].replace(" ", "") == per["bare card"][b] for a, b in zip(kinds["card"], cards))
+    assert all(int(new[4:] + "1314" + new[2:4]) % 97 == 1 for new in per["iban"].values())
+    moved = {d: datetime.date.fromisoformat(per["iso"][d.isoformat()]) for d in days}
+    assert all(per["slashed"][d.strftime("%d/%m/%Y")] == e.strftime("%d/%m/%Y") and per["dotted"][d.strftime("%d.%m.%Y")] == e.strftime("%d.%m.%Y") for d, e in moved.items())
+    assert all(int(new[3:5]) > 12 and datetime.datetime.strptime(new, "%m/%d/%Y") for new in per["month"].values())
+    assert all(new[:4] == v[:4] and new[4] > "1" for v, new in per["national"].items())
+
+
 def _nearest_by_force(rows, k=20):
     """Exact neighbours of the rows whose id is divisible by 20, ties to the smaller id."""
     ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
