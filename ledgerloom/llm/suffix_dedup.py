@@ -25,7 +25,9 @@ GRAMS = SPAN - GRAM + 1
 #: Up to so many distinct segments around a gram make one text for a suffix array; more are parted first.
 SPLIT = 32
 #: Symbols that are worked on side by side.
-CELLS = 1 << 18
+CELLS = 1 << 20
+#: Rows of whole groups that are worked on together.
+ROWS = 1 << 16
 #: Windows to a part of a segment.
 PART = 3
 #: Symbols beyond bytes: the bytes that a part's texts share, and the end of a text, which sorts first.
@@ -46,93 +48,122 @@ def suffix_arrays(symbols: np.ndarray, size: np.ndarray) -> np.ndarray:
     one before each emitted suffix, and those its pointers lead to, come next in their groups.
     """
     lanes, width = symbols.shape
-    at = np.arange(lanes)
-    wide = np.int32 if width > 32000 else np.int16
+    base = np.arange(lanes) * width  # places and ranks of all texts are numbered through
     inside = np.arange(width) < size[:, None]
-    order = np.argsort(np.where(inside, symbols, 1 << 14).astype(np.int16), axis=1, kind="stable")
-    ranked = np.take_along_axis(np.where(inside, symbols, 1 << 14), order, 1)
+    filled = np.where(inside, symbols, 1 << 14).astype(np.int16)
+    order = np.argsort(filled, axis=1, kind="stable")
+    ranked = np.take_along_axis(filled, order, 1)
     fresh = np.ones((lanes, width), bool)
     fresh[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
     begin = np.maximum.accumulate(np.where(fresh, np.arange(width), 0), axis=1)
-    group = np.empty((lanes, width), wide)
-    np.put_along_axis(group, order, begin.astype(wide), 1)
-    group[~inside] = -1
-    end = np.zeros((lanes, width), np.int32)  # of a group, by its start
-    np.put_along_axis(end, begin, np.broadcast_to(np.arange(1, width + 1), begin.shape).astype(np.int32), 1)
-    end = np.minimum(end, size[:, None])
-    start = np.zeros((lanes, width), np.int32)  # of a group, by its last rank
+    group = np.full(lanes * width, -1, np.int16 if width <= 32000 else np.int32)  # the first rank of each suffix's group, within its text
+    group[(order + base[:, None]).ravel()] = begin.ravel()
+    group[~inside.ravel()] = -1
+    end = np.zeros(lanes * width, np.int64)  # of a group, by its first rank
+    end[(begin + base[:, None]).ravel()] = np.broadcast_to(np.arange(1, width + 1), begin.shape).ravel()
+    end = np.minimum(end, np.repeat(size, width))
+    start = np.zeros(lanes * width, np.int64)  # of a group, by its last rank
     last = np.roll(fresh, -1, axis=1)
     last[:, -1] = True
-    start[last] = begin[last]
-    start[at, size - 1] = begin[at, size - 1]
-    before = np.full((lanes, width), -1, np.int32)
-
-    top = size.copy()
-    while (top > 0).any():
-        now = np.where(top > 0, start[at, top - 1], -2)
-        flat = np.flatnonzero((group == now[:, None]).ravel())
-        lane, member = flat // width, flat % width
-        current = now[lane]
+    start[last.ravel()] = begin[last]
+    start[base + size - 1] = begin[np.arange(lanes), size - 1]
+    before = np.full(lanes * width, -1, np.int64)
+    order = (order + base[:, None]).ravel()  # the suffix at each rank; groups are runs of ranks
+    rank = np.empty(lanes * width, np.int64)
+    rank[order] = np.arange(lanes * width)
+    moving = np.zeros(lanes * width, bool)
+
+    top, live = size.astype(np.int64), np.arange(lanes)
+    while len(live):
+        now = start[base[live] + top[live] - 1]
+        many = top[live] - now
+        lane = np.repeat(live, many)
+        member = order[np.repeat(base[live] + now - np.cumsum(many) + many, many) + np.arange(len(lane))]
+        current = np.repeat(now, many)
         point = member - 1
-        look = np.arange(len(lane))
+        point[member == lane * width] = -1
+        look = np.flatnonzero(point >= 0)
+        look = look[group[point[look]] > current[look]]
         while len(look):  # over larger groups, whose pointers are known
-            look = look[point[look] >= 0]
-            look = look[group[lane[look], point[look]] > current[look]]
-            point[look] = before[lane[look], point[look]]
-        before[lane, member] = point
-        look = np.arange(len(lane))
-        while len(look):  # members of one run share the pointer of its first
-            look = look[point[look] >= 0]
-            look = look[group[lane[look], point[look]] == current[look]]
-            point[look] = before[lane[look], point[look]]
-        before[lane, member] = point
-        key = np.sort((lane * width + point)[point >= 0])
-        head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else key
-        key, many = key[head], np.diff(np.append(head, len(key)))
+            point[look] = to = before[point[look]]
+            look = look[to >= 0]
+            look = look[group[point[look]] > current[look]]
+        before[member] = point
+        look = np.flatnonzero(point >= 0)
+        look = look[group[point[look]] == current[look]]
+        if len(look):
+            while len(look):  # members of one run share the pointer of its first
+                point[look] = to = before[point[look]]
+                look = look[to >= 0]
+                look = look[group[point[look]] == current[look]]
+            before[member] = point
+        key = np.sort(point[point >= 0])
         if len(key):
-            lane, point = key // width, key % width
-            old = group[lane, point].astype(np.int64)
-            by = np.argsort((key - point + old) * (width + 1) + many)
-            lane, point, old, many = lane[by], point[by], old[by], many[by]
-            block = np.flatnonzero(np.concatenate(([True], (lane[1:] != lane[:-1]) | (old[1:] != old[:-1]))))
-            part = np.flatnonzero(np.concatenate(([True], (lane[1:] != lane[:-1]) | (old[1:] != old[:-1]) | (many[1:] != many[:-1]))))
-            block_end = np.append(block[1:], len(key))
-            part_end = np.append(part[1:], len(key))
-            stop = np.repeat(end[lane[block], old[block]] - block_end, block_end - block)  # rank of entry k is stop + k
-            low, high = part + stop[part], part_end + stop[part]
-            end[lane[block], old[block]] -= (block_end - block).astype(np.int32)
-            rest = block[end[lane[block], old[block]] > old[block]]
-            start[lane[rest], end[lane[rest], old[rest]] - 1] = old[rest]
-            end[lane[part], low] = high
-            start[lane[part], high - 1] = low
-            group[lane, point] = np.repeat(low, part_end - part)
-        top = np.where(now >= 0, now, 0)
-
-    out = np.full((lanes, width), -1, np.int32)
-    out[:, 0] = size - 1
-    placed = np.zeros((lanes, width), bool)
-    free = np.broadcast_to(np.arange(width, dtype=np.int32), (lanes, width)).copy()
-    placed[at, size - 1] = True
-    free[at, group[at, size - 1]] += 1
-    turn, nxt = np.zeros(lanes, np.int64), size - 2
-    live = at
-    while len(live):
-        j = nxt[live]
-        new = j >= 0
-        new[new] = ~placed[live[new], j[new]]
-        go, k = live[new], j[new]
-        g = group[go, k]
-        slot = free[go, g]
-        out[go, slot] = k
-        free[go, g] = slot + 1
-        placed[go, k] = True
-        nxt[go] = before[go, k]
-        rest = live[~new]
+            head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            many = np.diff(np.append(head, len(key)))
+            key = key[head]
+            old = group[key].astype(np.int64)
+            of = key // width * width + old  # the group's first rank, numbered through
+            by = np.argsort(of * (width + 1) + many)
+            key, of, many, old = key[by], of[by], many[by], old[by]
+            new = np.concatenate(([True], of[1:] != of[:-1]))
+            block = np.flatnonzero(new)
+            new[1:] |= many[1:] != many[:-1]
+            part = np.flatnonzero(new)
+            which, block_end, part_end = of[block], np.append(block[1:], len(key)), np.append(part[1:], len(key))
+            stop = np.repeat(end[which] - block_end, block_end - block)[part]  # rank of entry k is stop + k
+            low, high = part + stop, part_end + stop
+            end[which] -= block_end - block
+            tail = np.repeat(which // width * width + end[which], block_end - block)
+            rest = which[end[which] > old[block]]
+            home = rest // width * width
+            start[home + end[rest] - 1] = rest - home
+            home = of[part] // width * width
+            end[home + low] = high
+            start[home + high - 1] = low
+            group[key] = np.repeat(low, part_end - part)
+            # The moved ones take the last ranks of their old groups; who stood there takes the ranks that they leave.
+            left = rank[key]
+            left = left[left < tail]
+            tail += np.arange(len(key)) - np.repeat(block, block_end - block)
+            moving[key] = True
+            there = order[tail]
+            there = there[~moving[there]]
+            order[left], rank[there], order[tail], rank[key] = there, left, key, tail
+            moving[key] = False
+        top[live] = now
+        live = live[now > 0]
+
+    out = np.full(lanes * width, -1, np.int64)
+    free = np.tile(np.arange(width), lanes) + np.repeat(base, width)  # where a group's next suffix goes, by its first rank
+    placed = np.zeros(lanes * width, bool)
+    first = base + size - 1
+    out[base] = first
+    placed[first] = True
+    free[base + group[first]] += 1
+    turn, nxt, lane = base.copy(), np.where(size > 1, first - 1, -1), np.arange(lanes)
+    stop = base + size
+    while len(lane):
+        ok = nxt >= 0
+        ok[ok] = ~placed[nxt[ok]]
+        go = nxt[ok]
+        rank = base[lane[ok]] + group[go]
+        slot = free[rank]
+        out[slot] = go
+        free[rank] = slot + 1
+        placed[go] = True
+        nxt[ok] = before[go]
+        rest = np.flatnonzero(~ok)
         turn[rest] += 1
-        rest = rest[turn[rest] < size[rest]]
-        nxt[rest] = out[rest, turn[rest]] - 1
-        live = live[turn[live] < size[live]]
-    return out
+        on = np.ones(len(lane), bool)
+        on[rest] = turn[rest] < stop[rest]
+        rest = rest[on[rest]]
+        at = out[turn[rest]]
+        nxt[rest] = np.where(at > base[lane[rest]], at - 1, -1)
+        if len(rest) < len(lane) and not on.all():
+            lane, turn, nxt, stop = lane[on], turn[on], nxt[on], stop[on]
+    out = out.reshape(lanes, width)
+    return np.where(out >= 0, out - base[:, None], -1).astype(np.int32)
 
 
 #: Texts are hashed in so many bytes at a time, so that arrays stay in a core's own cache.
@@ -306,12 +337,12 @@ def _texts_of_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             )
 
 
-def earliest_windows(groups: list[tuple[list[str], np.ndarray]], span: int) -> list[np.ndarray]:
+def earliest_windows(groups: list[tuple[list[str], np.ndarray]], span: int) -> list[np.ndarray | None]:
     """For each group of distinct texts of small symbols and the first document of each: a row per text, with the first document that has
-    the window of ``span`` symbols at each place. Suffix arrays find the equal windows."""
-    out = []
+    the window of ``span`` symbols at each place; None for a text that is alone. Suffix arrays find the equal windows."""
+    out: list[np.ndarray | None] = []
     for texts, docs in groups:
-        out.append(np.repeat(docs[:, None], max(map(len, texts)) - span + 1, 1))
+        out.append(np.repeat(docs[:, None], max(map(len, texts)) - span + 1, 1) if len(texts) > 1 else None)
     several = [i for i, (texts, _) in enumerate(groups) if len(texts) > 1]
     length = {i: sum(map(len, groups[i][0])) + len(groups[i][0]) for i in several}
     several.sort(key=lambda i: length[i])
@@ -358,41 +389,58 @@ def _whole_groups(keys: list[str], found):
     """Runs ``found`` over tables of whole groups of rows, which come sorted by ``keys``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[pa.Table] = []
+
+        def groups(t: pa.Table) -> np.ndarray:
+            return np.flatnonzero(np.any([(k := t[c].to_numpy())[1:] != k[:-1] for c in keys], axis=0)) + 1
+
         for batch in batches:
-            if not batch.num_rows:
+            held.append(pa.Table.from_batches([batch]))
+            if sum(t.num_rows for t in held) < ROWS:
                 continue
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
-            new = np.flatnonzero(np.any([(k := t[c].to_numpy())[1:] != k[:-1] for c in keys], axis=0)) + 1
-            last = int(new[-1]) if len(new) else 0
-            if last:
-                yield found(t.slice(0, last), np.concatenate(([0], new[:-1])))
-            held = t.slice(last)
-        if held is not None:
-            yield found(held, np.zeros(1, np.int64))
+            t = pa.concat_tables(held).combine_chunks()
+            new = groups(t)
+            held = [t]
+            if len(new):
+                yield found(t.slice(0, int(new[-1])), np.concatenate(([0], new[:-1])))
+                held = [t.slice(int(new[-1]))]
+        t = pa.concat_tables(held).combine_chunks() if held else None
+        if t is not None and t.num_rows:
+            yield found(t, np.concatenate(([0], groups(t))))
 
     return run
 
 
-def _bits(first: list[np.ndarray], docs: np.ndarray, windows: np.ndarray) -> np.ndarray:
+def _bits(first: list[np.ndarray | None], docs: np.ndarray, windows: np.ndarray) -> np.ndarray:
     """The windows of each text that its own document is the first to have, as a bit mask."""
-    out, at = np.zeros(len(docs), np.int64), 0
+    out, at = (1 << windows) - 1, 0  # a text that is alone keeps all
     for m in first:
-        part = slice(at, at + len(m))
-        own = (m == docs[part, None]) & (np.arange(m.shape[1]) < windows[part, None])
-        out[part] = (own.astype(np.int64) << np.arange(m.shape[1])).sum(1)
-        at += len(m)
+        if m is not None:
+            part = slice(at, at + len(m))
+            own = (m == docs[part, None]) & (np.arange(m.shape[1]) < windows[part, None])
+            out[part] = (own.astype(np.int64) << np.arange(m.shape[1])).sum(1)
+        at += 1 if m is None else len(m)
     return out
 
 
+def _gram_places(column: pa.Array) -> np.ndarray:
+    """Where the gram that owns a segment's windows stands in it."""
+    data, offsets = text_bytes(column)
+    row, *_, place = owners(data, offsets, 0, len(column))
+    return place[np.searchsorted(row, np.arange(len(column)))]
+
+
 def _kept_of_segments(t: pa.Table, begin: np.ndarray) -> pa.RecordBatch:
-    """Of distinct segments, what their first documents keep. A gram's first document keeps all that it has around it, which it knows by itself unless the gram is a told one."""
-    docs, told = t["doc_id"].to_numpy(), t["told"].to_numpy()
-    texts = [x.decode("latin-1") for x in t["segment"].to_pylist()]
+    """Of distinct segments, what their first documents keep. A gram's first document keeps all that it has around it, which it knows by itself unless the gram is a told one.
+
+    The segments around a gram stand one after another in one text; as every window holds the gram, one symbol stands for it.
+    """
+    docs, told, column = t["doc_id"].to_numpy(), t["told"].to_numpy(), t["segment"].combine_chunks()
+    raw = column.to_pylist()
+    texts = [x[:k].decode("latin-1") + SHARED + x[k + GRAM :].decode("latin-1") for x, k in zip(raw, _gram_places(column).tolist(), strict=True)]
     stops = [*begin[1:].tolist(), len(texts)]
-    first = earliest_windows([(texts[a:b], docs[a:b]) for a, b in zip(begin.tolist(), stops, strict=True)], SPAN)
-    bits = _bits(first, docs, np.array([len(x) - SPAN + 1 for x in texts]))
+    first = earliest_windows([(texts[a:b], docs[a:b]) for a, b in zip(begin.tolist(), stops, strict=True)], SPAN - GRAM + 1)
+    bits = _bits(first, docs, np.array([len(x) - SPAN + 1 for x in raw]))
     least = np.repeat(np.minimum.reduceat(docs, begin), np.diff(np.append(begin, len(docs))))
     some = np.flatnonzero((bits > 0) & ((docs != least) | told))
     return pa.RecordBatch.from_arrays([pa.array(docs[some]), *(pa.array(t[c].to_numpy()[some]) for c in ("h", "g")), pa.array(bits[some].astype(np.int32))], ["doc_id", "h", "g", "kept"])
@@ -404,10 +452,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shared = SPAN - PART + 1
     for batch in batches:
         out: list[list] = [[] for _ in range(9)]
-        data, offsets = text_bytes(batch.column(3))
-        first_rows, *_, grams = owners(data, offsets, 0, batch.num_rows)
-        gram_of = grams[np.searchsorted(first_rows, np.arange(batch.num_rows))].tolist()
-        for h, g, doc, text, gram in zip(*(batch.column(k).to_pylist() for k in range(4)), gram_of, strict=True):
+        for h, g, doc, text, gram in zip(*(batch.column(k).to_pylist() for k in range(4)), _gram_places(batch.column(3)).tolist(), strict=True):
             last = len(text) - SPAN
             for c in range((gram - last) // PART, gram // PART + 1):
                 high = gram - PART * c
