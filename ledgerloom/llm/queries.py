@@ -68,7 +68,7 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), keep=["doc_id"])
     return out.select("doc_id", "size", "source_size", "target", "taken", F.size("pieces").cast("long").alias("n_pieces"), F.expr("array_join(transform(pieces, p -> p.shard), ',')").alias("shards"))
 
 

@@ -249,7 +249,7 @@ def test_mixing(docs, corpus):
     assert abs(sum(len(_words(r["text"])) for r in texts) - sum(r["taken"] for r in rows)) == 0
 
 
-def test_mixing_deals_to_shards(docs):
+def test_mixing_deals_to_shards(spark, docs):
     """Pieces and the stage's own output hold the tree's block quotas exactly, source by source and shard by shard."""
     options = {"shards": 5, "block_words": 40, "seed": 3}
     per, blocks, at = defaultdict(int), defaultdict(set), defaultdict(list)
@@ -261,7 +261,14 @@ def test_mixing_deals_to_shards(docs):
             per[r["source"], p["shard"]] += p["n_words"]
             at[r["source"], p["block"]].append((p["at"], p["n_words"]))
     sources = sorted(taken, key=lambda s: (s is None, s))
-    quotas = mixing.split_quotas([-(-taken[s] // 40) for s in sources], 5, 3)
+    words = Counter()
+    for r in rows:
+        words[r["source"]] += r["size"]
+    drawn = [len({p["block"] for r in rows if r["source"] == s for p in r["pieces"]}) for s in sources]
+    for s, n in zip(sources, drawn):  # whole readings, then as many blocks as the rest takes, one more at most for a short one
+        whole, rest = divmod(taken[s], words[s])
+        assert n - whole * -(-words[s] // 40) in (-(-rest // 40), -(-rest // 40) + 1)
+    quotas = mixing.split_quotas(drawn, 5, 3)
     assert [[len(blocks[s, k]) for k in range(5)] for s in sources] == quotas.tolist() and quotas.min() > 0
     assert all(sum(n for _, n in v) <= 40 and [a for a, _ in sorted(v)] == np.cumsum([0] + [n for _, n in sorted(v)])[:-1].tolist() for v in at.values())
     got, order = defaultdict(int), defaultdict(list)
@@ -272,14 +279,41 @@ def test_mixing_deals_to_shards(docs):
     assert got == per
     assert all(sum(a != b for a, b in zip(v, v[1:])) > 10 for v in order.values())  # shuffled, not grouped by source
     other = mixing.mix(docs, **options | {"seed": 4}).where("doc_id = 7").collect()[0]["pieces"]
-    assert {mixing.block_order(1000, 0, seed) for seed in range(5)} != {mixing.block_order(1000, 0, 0)} and other != next(r["pieces"] for r in rows if r["doc_id"] == 7)
-    for n in (0, 1, 2, 12, 97):
-        step, shift = mixing.block_order(n, 1, 17)
-        assert sorted((b * step + shift) % max(n, 1) for b in range(n)) == list(range(n))
+    assert other != next(r["pieces"] for r in rows if r["doc_id"] == 7)
+    for n in (1, 2, 3, 12, 97):
+        assert sorted(mixing.block_place(b, n, 17, 1) for b in range(n)) == list(range(n))
+    first = spark.range(97).selectExpr("id as b", "0L as t", "123L as block_key", "97L as blocks", f"{mixing.radix(97)[0]}L as wide", f"{mixing.radix(97)[1]}L as high").selectExpr("b", f"{mixing._PLACE} as o").collect()
+    assert [r["o"] for r in first] == [mixing.block_place(r["b"], 97, 123, 0) for r in first]
     parts = mixing.shard_rows(mixing.mix(docs, **options), 5, 3, parts=3).rdd.glom().collect()
     assert len(parts) == 15 and all(r["piece"]["shard"] == k // 3 for k, part in enumerate(parts) for r in part)
 
 
+def test_mixing_draws_permuted_blocks(spark):
+    """Which documents a small quota takes is up to the permutation of blocks: they come from all over the line, and change with the seed."""
+    docs = spark.createDataFrame([(i, "a" if i < 400 else "b", " ".join(["w"] * (5 + i % 7))) for i in range(800)], "doc_id long, source string, text string")
+    sizes = [sum(5 + i % 7 for i in range(400)), sum(5 + i % 7 for i in range(400, 800))]
+    got = {}
+    for seed in (1, 2):
+        rows = mixing.mix(docs, weights=(1.0, 5.0), shards=4, block_words=64, seed=seed, keep=["doc_id", "source"]).collect()
+        assert "text" not in rows[0].asDict()
+        for source, target in zip("ab", mixing.source_targets(sizes, [1.0, 5.0])):
+            assert sum(r["taken"] for r in rows if r["source"] == source) == round(target)
+        pieces = [p for r in rows if r["source"] == "a" for p in r["pieces"]]
+        got[seed] = {p["block"] for p in pieces}
+        per = Counter()
+        for p in pieces:
+            per[p["block"]] += p["n_words"]
+        assert 1 < len(per) < sizes[0] // 64 and max(per) - min(per) > 1.5 * len(per) and sum(n < 64 for n in per.values()) <= 2
+    assert got[1] != got[2]
+    for z, q, b in ((1000, 999, 64), (1000, 0, 64), (1000, 1000, 64), (1000, 2500, 64), (63, 100, 64), (130, 129, 64), (0, 0, 64)):
+        blocks, whole, drawn, rest = mixing.draws(z, q, b)
+        for short_at in range(blocks if drawn else 0):
+            k, last = mixing.last_words(rest, drawn, blocks, z, b, short_at)
+            lengths = [b] * blocks
+            lengths[short_at] = z - (blocks - 1) * b
+            assert k <= blocks and sum(lengths[: k - 1]) + last == rest and 0 < last <= lengths[k - 1] and whole * z + rest == q
+
+
 def test_mixing_keeps_bytes(spark):
     """Pieces of a text are its own bytes, line ends and blanks with them: all of them, or up to where the quota ends."""
     text = " \n" + "".join(f"w{i}é\t \n" if i % 3 else f"w{i} " for i in range(1000))
