@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.storage import written
+from ledgerloom.llm.storage import Scratch
 
 BLANKS = b" \t\n\x0b\x0c\r"
 MIN_POINTS = 20
@@ -29,11 +29,11 @@ class LineRuns:
 
     ``add`` takes a batch (key, doc_id), anti-joins it with the runs so far, and writes one more sorted run: keys that are new with
     their holder, known keys with their further number of documents. ``fanout`` runs of a level are merged into one of the next,
-    so that a key is rewritten a logarithmic number of times.
+    so that a key is rewritten a logarithmic number of times, and the merged ones are dropped.
     """
 
-    def __init__(self, fanout: int = 2) -> None:
-        self.fanout = fanout
+    def __init__(self, scratch: Scratch, fanout: int = 2) -> None:
+        self.scratch, self.fanout = scratch, fanout
         self.levels: list[list[DataFrame]] = []
 
     def runs(self) -> list[DataFrame]:
@@ -50,9 +50,12 @@ class LineRuns:
             out = out.unionByName(run)
         return out.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("holder").alias("holder"))
 
-    @staticmethod
-    def _sorted_run(df: DataFrame, name: str) -> DataFrame:
-        return written(df.repartitionByRange("key").sortWithinPartitions("key"), name)
+    def _sorted_run(self, df: DataFrame, name: str) -> DataFrame:
+        return self.scratch.write(df.repartitionByRange("key").sortWithinPartitions("key"), name)
+
+    def clear(self) -> None:
+        self.scratch.drop(*self.runs())
+        self.levels = []
 
     def add(self, batch: DataFrame) -> None:
         own = batch.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("holder"))
@@ -69,6 +72,7 @@ class LineRuns:
             if len(self.levels[level]) < self.fanout:
                 return
             run = self._sorted_run(self._merge(self.levels[level]), f"line-run-level{level + 1}")
+            self.scratch.drop(*self.levels[level])
             self.levels[level] = []
             level += 1
 
@@ -124,12 +128,20 @@ def dedup_lines(docs: DataFrame, min_points: int = MIN_POINTS, min_docs: int = M
     cuts = docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [i / batches for i in range(1, batches)], 0.02)
     where = sum((F.when(F.col("doc_id") <= c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
     lines = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_keys(min_points), "doc_id long, key binary")
-    lines = written(lines.withColumn("batch", where), "line-keys")
-    store = LineRuns(fanout)
+    scratch = Scratch(docs.sparkSession, "line-dedup")
+    lines = scratch.write(lines.withColumn("batch", where), "line-keys")
+    store = LineRuns(scratch, fanout)
     for b in range(len(set(cuts)) + 1):
         store.add(lines.where(F.col("batch") == b).select("key", "doc_id").distinct())
-    repeated = store.merged().where(F.col("n_docs") >= min_docs).select("key", "holder")
-    drops = lines.select("doc_id", "key").join(repeated, "key").where("doc_id <> holder").groupBy("doc_id").agg(F.collect_set("key").alias("_drop"))
+    # Both sides of the join are tables as written, so that the rows of a very common line can be split over tasks.
+    repeated = scratch.write(store.merged().where(F.col("n_docs") >= min_docs).select("key", "holder"), "repeated")
+    store.clear()
+    drop = "drop"
+    while drop in docs.columns:
+        drop += "_"
+    drops = lines.select("doc_id", "key").join(repeated, "key").where("doc_id <> holder").groupBy("doc_id").agg(F.collect_set("key").alias(drop))
+    drops = scratch.write(drops, "drops")
+    scratch.drop(lines, repeated)
     schema = StructType([*docs.schema.fields]).add("n_lines", LongType()).add("n_dropped", LongType())
     # One document's keys are bounded by its text, so the small side can be hashed and the long texts need no sort.
-    return docs.join(drops.hint("shuffle_hash"), "doc_id", "left").select(*docs.columns, "_drop").mapInArrow(_without(min_points, to_arrow_schema(schema)), schema)
+    return docs.join(drops.hint("shuffle_hash"), "doc_id", "left").select(*docs.columns, drop).mapInArrow(_without(min_points, to_arrow_schema(schema)), schema)

@@ -10,6 +10,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ledgerloom.llm.textkit import slices, text_bytes
 
@@ -410,3 +411,8 @@ def read_media(files: DataFrame) -> DataFrame:
     files = files.drop("payload", "clips")
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
     return files.mapInArrow(_read, f"{kept}, payload binary, clips array<struct<shot:int,first_frame:bigint,n_frames:bigint,start_s:double,end_s:double>>")
+
+
+def clip_rows(files: DataFrame) -> DataFrame:
+    """One row per clip of the AVI files in ``media``: doc_id, shot, first_frame, n_frames, start_s, end_s. Files that can't be read have none."""
+    return read_media(files).select("doc_id", F.inline("clips"))

@@ -374,6 +374,48 @@ def test_media(docs, corpus):
         assert zlib.crc32(want[-32:]) == zlib.crc32(bytes(got[i]["payload"])[-32:])
 
 
+def test_media_of_others(spark):
+    """Files without an index, with places counted from the file's start, with other chunks between, and cut short."""
+    texts = ["x" * 3000, "".join(chr(33 + k % 90) for k in range(5000))]
+    files = [bytes(r["media"]) for r in media.write_media(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    for f in files:
+        seconds, frames = media.read_avi(f)
+        at, movie = f.index(b"idx1"), f.index(b"movi")
+        assert media.read_avi(f[:at]) == (seconds, frames) and len(frames) > 1
+        index = f[at + 8 :]
+        moved = b"".join(index[i : i + 8] + (int.from_bytes(index[i + 8 : i + 12], "little") + movie).to_bytes(4, "little") + index[i + 12 : i + 16] for i in range(0, len(index), 16))
+        assert media.read_avi(f[: at + 8] + moved) == (seconds, frames)
+        junk = b"JUNK" + (5).to_bytes(4, "little") + b"abcde\0"
+        assert media.read_avi(f[:12] + junk + f[12:at])[1] == frames
+    rows = [(1, files[0]), (2, files[0][: len(files[0]) // 3]), (3, files[1].replace(b"\xff\xc0", b"\xff\xc2"))]
+    got = {r["doc_id"]: r for r in media.read_media(spark.createDataFrame([(i, bytearray(f)) for i, f in rows], "doc_id long, media binary")).collect()}
+    assert bytes(got[1]["payload"]).startswith(b"x" * 3000) and got[3]["payload"] is None
+    clips = media.clip_rows(spark.createDataFrame([(1, bytearray(files[0])), (9, None)], "doc_id long, media binary")).collect()
+    assert {r["doc_id"] for r in clips} == {1} and sum(r["n_frames"] for r in clips) == len(media.read_avi(files[0])[1]) and [r["shot"] for r in clips] == list(range(len(clips)))
+
+
+def test_shots_by_force():
+    """Cuts against the rule taken frame by frame, over several videos of noisy shots."""
+    rng = np.random.default_rng(8)
+    shares, lengths = [], [1, 40, 0, 25, 90]
+    for n in lengths:
+        level = rng.dirichlet(np.ones(media.HISTOGRAM_BINS))
+        for _ in range(n):
+            level = rng.dirichlet(np.ones(media.HISTOGRAM_BINS)) if rng.random() < 0.08 else level
+            noisy = np.maximum(level + rng.normal(0, 0.01, level.shape), 0)
+            shares.append(noisy / noisy.sum())
+    first = np.concatenate(([0], np.cumsum(lengths)))
+    got, want = media.cuts(np.array(shares), first), []
+    for a, b in zip(first, first[1:]):
+        change = [0.0] + [float(np.abs(shares[k] - shares[k - 1]).sum() / 2) for k in range(a + 1, b)]
+        for k in range(b - a):
+            past = change[max(1, k - media.WINDOW) : k]
+            mean = sum(past) / max(1, len(past))
+            spread = max(0.0, sum(c * c for c in past) / max(1, len(past)) - mean**2) ** 0.5
+            want.append(k == 0 or (change[k] > media.LEAST_CHANGE and change[k] > mean + media.SPREADS * spread))
+    assert got.tolist() == want and 4 < sum(want) < len(want) / 2
+
+
 def test_media_broken_files(spark):
     rows = [(1, b"RIFF....", 2), (2, None, 2), (3, b"", 2)]
     got = media.read_media(spark.createDataFrame(rows, "doc_id long, media binary, clips int")).collect()
