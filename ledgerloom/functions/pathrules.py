@@ -1,7 +1,8 @@
 """Path rules: globs and a subset of regular expressions, compiled on the driver to patterns that the JVM matches.
 
 A rule without a slash matches at any depth. ``*`` and ``?`` stay within a component; ``**`` stands for whole components, and at the end for
-one character or more. ``re:`` rules are patterns over the whole path without anchors, groups of the ``(?`` kind and letter or digit escapes.
+one character or more. ``re:`` rules are patterns over the whole path without anchors, groups of the ``(?`` kind, letter or digit escapes, or
+empty components. Both kinds are read by one token pattern each, and a table says what each token becomes or why it is refused.
 """
 
 from __future__ import annotations
@@ -11,72 +12,45 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_META = set("\\.[]{}()+^$|#&-~")
-
 
 class RuleError(ValueError):
     """All defects of a rule set."""
 
 
-def _component(text: str) -> str:
-    """A component's pattern; a class in brackets passes through."""
-    out, at = "", 0
-    while at < len(text):
-        c = text[at]
-        out += "[^/]*" if c == "*" else "[^/]" if c == "?" else "\\" + c if c in _META else c
-        at += 1
-    return out
+_WILD = {"*": "[^/]*", "?": "[^/]"}
+_GLOB = re.compile(r"[*?]|[^*?]+")
+_META = re.compile(r"[\\.\[\]{}()+^$|#&~-]")
+#: What a whole-component wildcard stands for, at the end of a rule and before it.
+_TAIL, _FOLDERS = ".+", "(?:[^/]+/)*"
 
 
 def glob_pattern(rule: str) -> str:
     """The pattern of a whole path for a glob; raises for empty components and for ``**`` beside other characters."""
     if not rule:
         raise RuleError("empty rule")
-    parts = rule.split("/") if "/" in rule else ["**", rule]
-    if "" in parts:
-        raise RuleError(f"{rule}: empty component")
-    if any("**" in p and p != "**" for p in parts):
-        raise RuleError(f"{rule}: ** must be a whole component")
-    out = ""
-    for i, p in enumerate(parts):
-        last = i == len(parts) - 1
-        out += (".+" if last else "(?:[^/]+/)*") if p == "**" else _component(p) + ("" if last else "/")
-    return out
+    *folders, name = (rule if "/" in rule else f"**/{rule}").split("/")
+    for part in (*folders, name):
+        if not part or ("**" in part and part != "**"):
+            raise RuleError(f"{rule}: " + ("** must be a whole component" if part else "empty component"))
+    known = lambda part: _GLOB.sub(lambda m: _WILD.get(m[0]) or _META.sub(r"\\\g<0>", m[0]), part)
+    before = (_FOLDERS if part == "**" else known(part) + "/" for part in folders)
+    return "".join(before) + (_TAIL if name == "**" else known(name))
+
+
+#: Tokens of a ``re:`` rule, tried in this order; those that are refused stand with the reason.
+_TOKENS = {
+    "escape": r"\\[^0-9A-Za-z]", "set": r"\[\^?\]?(?:\\[^0-9A-Za-z]|[^\]\\])*\]", "count": r"\{\d+(?:,\d*)?\}", "odd_escape": r"\\", "open_set": r"\[", "group": r"\(\?", "anchor": r"[\^$]", "brace": r"[{}]", "slash": "/", "rest": ".",
+}
+_REFUSED = {"odd_escape": "escapes of letters and digits aren't portable", "open_set": "unterminated or unportable class", "group": "(? isn't portable", "anchor": "anchors are implied", "brace": "stray brace"}
+_REGEX = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in _TOKENS.items()), re.S)
 
 
 def _regex_pattern(text: str) -> str:
-    if not text:
-        raise RuleError("re: empty pattern")
-    at, braces, in_class = 0, 0, False
-    while at < len(text):
-        c = text[at]
-        if c == "\\":
-            if at + 1 == len(text) or text[at + 1].isalnum():
-                raise RuleError(f"re:{text}: escapes of letters and digits aren't portable")
-            at += 2
-            continue
-        if in_class:
-            in_class = c != "]"
-        elif c == "[":
-            in_class = True
-            at += 1 + (text[at + 1 : at + 2] == "^")
-            at += text[at : at + 1] == "]"  # a bracket that comes first is an ordinary one
-            continue
-        elif c in "^$":
-            raise RuleError(f"re:{text}: anchors are implied")
-        elif c == "(" and text[at + 1 : at + 2] == "?":
-            raise RuleError(f"re:{text}: (? isn't portable")
-        elif c == "{":
-            m = re.match(r"\{\d+(,\d*)?\}", text[at:])
-            if not m:
-                raise RuleError(f"re:{text}: stray brace")
-            at += m.end()
-            continue
-        elif c == "}":
-            raise RuleError(f"re:{text}: stray brace")
-        at += 1
-    if in_class:
-        raise RuleError(f"re:{text}: unterminated class")
+    kinds = [m.lastgroup for m in _REGEX.finditer(text)]
+    slashes = [-1, *(i for i, k in enumerate(kinds) if k == "slash"), len(kinds)]
+    defects = [_REFUSED[k] for k in kinds if k in _REFUSED] + ["empty component"] * any(b - a == 1 for a, b in zip(slashes, slashes[1:]))
+    if defects:
+        raise RuleError(f"re:{text}: {defects[0]}")
     try:
         re.compile(text)
     except re.error as e:

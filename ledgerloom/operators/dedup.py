@@ -193,36 +193,48 @@ def check_cdc(target: int, least: int, most: int) -> None:
 def cdc_segments(pieces: DataFrame, target: int = 64 * KIB, least: int = 8 * KIB, most: int = 512 * KIB, strict: bool = True) -> DataFrame:
     """stream_id, index, offset, length of content-defined segments of streams given as pieces (stream_id, seq, data).
 
-    The window reaches over pieces, so each piece is fingerprinted on its own with the 63 bytes before it; only places that may be cuts,
-    one in ``target`` bytes, meet by stream, where the choice among them is sequential. Offsets are added up by runs of pieces first.
-    Empty or null pieces add nothing; an empty stream has no segments.
+    Each piece is fingerprinted where it stands, and only its first and last 63 bytes go on, with the places that may be cuts, one in
+    ``target`` bytes: windows that reach over pieces are fingerprinted from these. Offsets are added up by runs of pieces first. The
+    choice among a stream's places is sequential. Empty or null pieces add nothing; an empty stream has no segments.
     """
     if strict:
         check_cdc(target, least, most)
-    run = F.floor(F.col("seq") / 1024)
-    rows = pieces.where("octet_length(data) > 0").withColumn("run", run).withColumn("n", F.octet_length("data").cast("long"))
-    tail = F.hex(F.expr("substring(data, greatest(1, octet_length(data) - 62), 63)"))
+    mask = np.uint64(target - 1)
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places, ends = [], []
+            for data in batch.column(2):
+                raw = np.frombuffer(data.as_buffer(), np.uint8)
+                found = np.flatnonzero((rabin(raw) & mask) == 0) + 1
+                places.append(found[found >= WINDOW])
+                ends.append((raw[: WINDOW - 1].tobytes().hex(), raw[-(WINDOW - 1) :].tobytes().hex(), len(raw)))
+            offsets = np.concatenate(([0], np.cumsum([len(p) for p in places]))).astype(np.int32)
+            flat = pa.array(np.concatenate(places) if places else [], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), flat), *(pa.array([e[i] for e in ends], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64())))], ["stream_id", "seq", "places", "head", "tail", "n"])
+
+    found = pieces.where("octet_length(data) > 0").select(F.col("stream_id").cast("string").alias("stream_id"), F.col("seq").cast("long").alias("seq"), "data")
+    rows = found.mapInArrow(inner, "stream_id string, seq long, places array<long>, head string, tail string, n long").withColumn("run", F.floor(F.col("seq") / 1024))
     last = lambda c: F.expr(f"substring({c}, greatest(1, length({c}) - 125), 126)")
     inside = Window.partitionBy("stream_id", "run").orderBy("seq")
-    rows = rows.withColumn("tail", tail).withColumn("at", F.coalesce(F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.withColumn("at", F.coalesce(F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rows = rows.withColumn("before", F.array_join(F.collect_list("tail").over(inside.rowsBetween(-63, -1)), "")).withColumn("before", last("before"))
     ends = rows.groupBy("stream_id", "run").agg(F.sum("n").alias("n"), F.max_by(F.concat("before", "tail"), "seq").alias("tail"))
     order = Window.partitionBy("stream_id").orderBy("run")
-    ends = ends.select("stream_id", "run", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("head"), F.array_join(F.collect_list("tail").over(order.rowsBetween(-63, -1)), "").alias("head_tail"))
+    ends = ends.select("stream_id", "run", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"), F.array_join(F.collect_list("tail").over(order.rowsBetween(-63, -1)), "").alias("head_tail"))
     rows = rows.join(ends, ["stream_id", "run"]).withColumn("context", last("concat(head_tail, before)"))
-    rows = rows.select("stream_id", (F.col("head") + F.col("at")).alias("offset"), F.unhex("context").alias("context"), "data")
+    rows = rows.select("stream_id", (F.col("first") + F.col("at")).alias("offset"), F.unhex("context").alias("context"), F.unhex("head").alias("head"), "places", "n")
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.uint64(target - 1)
         for batch in batches:
-            ids, places, kinds = [], [], []
-            for stream, offset, context, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                h = rabin(np.frombuffer(context + data, np.uint8))[len(context) :]
-                found = np.flatnonzero((h & mask) == 0) + 1 + offset
-                ids += [stream] * (len(found) + 1)
-                places += [*found.tolist(), offset + len(data)]
-                kinds += [False] * len(found) + [True]  # the largest end is the stream's length
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(places, pa.int64()), pa.array(kinds)], ["stream_id", "place", "is_end"])
+            ids, at, kinds = [], [], []
+            for stream, offset, context, head, own, n in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                h = rabin(np.frombuffer(context + head, np.uint8))[len(context) :]
+                places = [offset + k for k in (np.flatnonzero((h & mask) == 0) + 1).tolist() + own]
+                ids += [stream] * (len(places) + 1)
+                at += [*places, offset + n]
+                kinds += [False] * len(places) + [True]  # the largest end is the stream's length
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(at, pa.int64()), pa.array(kinds)], ["stream_id", "place", "is_end"])
 
     def cut(key: tuple, t: pa.Table) -> pa.Table:
         place, is_end = t["place"].to_numpy(), t["is_end"].to_numpy(zero_copy_only=False)

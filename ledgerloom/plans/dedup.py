@@ -22,9 +22,10 @@ def path_rules(t: Tables) -> DataFrame:
     return P.evaluate(t.files.select("path"), INCLUDES, EXCLUDES)
 
 
-@query("""SELECT url, regexp_full_match(url, '(?:[^/]*/)*[^/]*\\.HTML', 'i') AS html, regexp_full_match(url, 'https?://m\\..*') AS mobile FROM pages""")
+@query("""SELECT url, regexp_full_match(p, '(?:[^/]*/)*[^/]*\\.HTML', 'i') AS html, regexp_full_match(p, 'm\\..*') AS mobile FROM (SELECT url, regexp_replace(url, '^https?://', '') AS p FROM pages)""")
 def url_rules(t: Tables) -> DataFrame:
-    return t.pages.select("url", P.matches(F.col("url"), "re:([^/]*/)*[^/]*\\.HTML", case_sensitive=False).alias("html"), P.matches(F.col("url"), "re:https?://m\\..*").alias("mobile"))
+    path = F.regexp_replace("url", "^https?://", "")
+    return t.pages.select("url", P.matches(path, "re:([^/]*/)*[^/]*\\.HTML", case_sensitive=False).alias("html"), P.matches(path, "re:m\\..*").alias("mobile"))
 
 
 @query("""now AS (SELECT * REPLACE (CASE WHEN length % 19 = 3 THEN NULL ELSE modified END AS modified, CASE WHEN length % 23 = 5 THEN NULL ELSE mode END AS mode),
@@ -114,10 +115,17 @@ def content_ids(t: Tables) -> DataFrame:
     return files.select("file_id", "content_id", D.metadata_digest("path", "modified").alias("metadata_digest"))
 
 
-@query()
+KEY = b"demonstration key"
+_PAD = [bytes(b ^ pad for b in KEY.ljust(64, b"\0")).hex() for pad in (0x36, 0x5C)]
+_HMAC = f"sha256(unhex('{_PAD[1]}') || unhex(sha256(unhex('{_PAD[0]}') || %s)))"
+_WIDE = "unhex(printf('%%016x', CAST(%s AS BIGINT)))"
+
+
+@query(f"""i AS (SELECT file_id, content_id, CAST(unhex(content_id) AS BIT)::VARCHAR || '0000' AS bits, substr({_HMAC % ("encode('file') || " + _WIDE % "device" + " || " + _WIDE % "inode")}, 1, 32) AS keyed_id,
+    {_HMAC % ("encode('nonce') || encode(path) || " + _WIDE % "0" + " || " + _WIDE % "32" + " || unhex(content_id)")} AS proof FROM files)
+  SELECT file_id, keyed_id, proof, array_to_string(list_transform(range(52), lambda k: substr('abcdefghijklmnopqrstuvwxyz234567', CAST('0b' || substr(bits, k * 5 + 1, 5) AS INTEGER) + 1, 1)), '') AS content_base32, true AS round_trip FROM i""")
 def keyed_ids(t: Tables) -> DataFrame:
-    key = b"demonstration key"
-    ids = t.files.select("file_id", H.keyed_id(key, "file", F.col("device"), F.col("inode")).alias("keyed_id"), H.range_proof(key, F.lit("nonce"), F.col("path"), F.lit(0), F.unhex("content_id")).alias("proof"), "content_id")
+    ids = t.files.select("file_id", H.keyed_id(KEY, "file", F.col("device"), F.col("inode")).alias("keyed_id"), H.range_proof(KEY, F.lit("nonce"), F.col("path"), F.lit(0), F.unhex("content_id")).alias("proof"), "content_id")
     return ids.select("file_id", "keyed_id", "proof", H.base32(F.unhex("content_id")).alias("content_base32"), (H.unbase32(H.base32(F.unhex("content_id"))) == F.col("content_id")).alias("round_trip"))
 
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import hashing, pathrules
-from ledgerloom.operators import catalog, dedup, graph, retention, status, sync
+from ledgerloom.operators import capture, catalog, dedup, graph, retention, status, sync
 from ledgerloom.plans import ORACLES, QUERIES
 from ledgerloom.sources import store
 from ledgerloom.sources.tables import TABLES
@@ -61,8 +61,8 @@ def test_path_rules(spark, rule, path, want):
 
 
 def test_bad_rules():
-    bad = ["", "a//b", "a**b", "re:", "re:^a", "re:a$", "re:(?i)a", r"re:\d", "re:a{", "re:a}", "re:[a", "re:(a"]
-    assert len(pathrules.validate(bad)) == len(bad) and pathrules.validate(["a", "re:a{2,3}[$^]", r"re:\."]) == []
+    bad = ["", "a//b", "a**b", "re:", "re:^a", "re:a$", "re:(?i)a", r"re:\d", "re:a{", "re:a}", "re:[a", "re:(a", "re:a//b", "re:/a", "re:a/", "re:a\\", r"re:[\d]", "/a", "a/"]
+    assert len(pathrules.validate(bad)) == len(bad) and pathrules.validate(["a", "re:a{2,3}[$^]", r"re:\.", "re:[/]a", "re:[]a]/b", r"re:[a\]]b"]) == []
 
 
 def test_rule_sets(spark):
@@ -121,10 +121,17 @@ def test_winners_in_any_order(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
     query = log.stream_winners(stream, str(tmp_path / "state"), str(tmp_path / "ck"))
     query.awaitTermination()
-    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "state").iterdir() if p.name.startswith("epoch="))
-    assert last > 0
-    columns = sorted(df.columns)
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / f"state/epoch={last}")).select(columns).collect())) == sorted(map(tuple, catalog.last_wins(df, ["object_id"], log.ORDER).select(columns).collect()))
+    state, columns = str(tmp_path / "state"), sorted(df.columns)
+    want = sorted(map(tuple, catalog.last_wins(df, ["object_id"], log.ORDER).select(columns).collect()))
+    got = lambda: sorted(map(tuple, log.winners(spark, state, df.schema).select(columns).collect()))
+    assert got() == want and max(max(of) for of in log._versions(spark, state).values()) > 0
+    assert all(len(of) <= 2 for of in log._versions(spark, state).values())
+    fold = log.fold_winners(state)
+    fold(df.where("object_id < 3"), 900)  # a batch again, at a later epoch and twice
+    fold(df.where("object_id < 3"), 900)
+    assert got() == want
+    log.fold_winners(str(tmp_path / "new"))(df, 7)  # a state that begins late
+    assert log.winners(spark, str(tmp_path / "new"), df.schema).count() == 7
 
 
 def test_retention_rules(spark):
@@ -155,11 +162,19 @@ def test_tiling_and_bins(spark):
 
 def test_sync(spark):
     keys = spark.createDataFrame([(k,) for k in "abcde"], "key string")
-    assert [tuple(r) for r in sync.rotation(keys, "e", 2).orderBy("key").collect()] == [("a", True), ("b", True)]
-    assert [tuple(r) for r in sync.rotation(keys, None, 2).orderBy("key").collect()] == [("a", False), ("b", False)]
+    assert [tuple(r) for r in sync.rotation(keys, "e", 2).orderBy("key").collect()] == [("a", True, "b"), ("b", True, "b")]
+    assert [tuple(r) for r in sync.rotation(keys, None, 2).orderBy("key").collect()] == [("a", False, "b"), ("b", False, "b")]
+    assert [tuple(r) for r in sync.rotation(keys, "c", 2).orderBy("key").collect()] == [("d", False, None), ("e", False, None)]
+    assert [sync.sample_slots(16, peer, forced) for peer, forced in ((True, True), (False, True), (True, False))] == [(11, 4), (15, 0), (12, 4)] and sync.sample_slots(3, True, True) == (0, 2)
+    drawn = [r["key"] for r in sync.reservoir(keys, 2, 5, forced=keys.where("key = 'a'"), drop=keys.where("key = 'b'")).where("NOT forced").collect()]
+    assert len(drawn) <= 2 and not {"a", "b"} & set(drawn)
+    at, n = sync.challenged_range(F.col("length"), F.col("key"), 3, 100)
+    spans = keys.withColumn("length", F.lit(1000)).select(at.alias("at"), n.alias("n")).union(keys.withColumn("length", F.lit(7)).select(at, n)).collect()
+    assert all(0 <= r["at"] and r["at"] + r["n"] <= 1000 and r["n"] in (100, 7) for r in spans)
+    assert sync.PHASES[-1] == "snapshots/" and [r["phase"] for r in spark.createDataFrame([(k,) for k in ("repository-format", "index/delta/x", "index/y", "snapshots/1")], "key string").select(sync.phase(F.col("key")).alias("phase")).collect()] == [0, 4, 6, 7]
     quota = sync.within_quota(spark.createDataFrame([(1, i, 10) for i in range(2500)], "owner long, seq long, size long"), 12_005)
     assert quota.where("accepted").count() == 1200 and quota.agg(F.max("used")).first()[0] == 25_000
-    assert status.SEVERITY["verified"] == 0
+    assert sorted(status.SEVERITY, key=status.SEVERITY.get) == ["policy-compliant", "verified", "replicated", "protected", "captured", "degraded", "never-backed-up", "unrecoverable"]
 
 
 def test_store(spark, tmp_path):
@@ -177,3 +192,61 @@ def test_store(spark, tmp_path):
     path.write_text(json.dumps({"a": 1}) + "\n{broken\n")
     rows, bad = store.read_ledger(spark, str(path), spark.createDataFrame([], "a long").schema)
     assert [r["a"] for r in rows.collect()] == [1] and [r["line"] for r in bad.collect()] == ["{broken"]
+
+
+def test_repeated_keys(spark):
+    table = spark.createDataFrame([(1, "a"), (9, "z")], "k long, v string")
+    batch = spark.createDataFrame([(1, "b", 1), (1, "c", 2), (2, "d", 2), (2, "e", 1)], "k long, v string, at long")
+    assert sorted(map(tuple, catalog.upsert(table, batch, ["k"], "at").collect())) == [(1, "c"), (2, "d"), (9, "z")]
+    assert sorted(map(tuple, catalog.insert_or_ignore(table, batch, ["k"], "at").collect())) == [(1, "a"), (2, "e"), (9, "z")]
+
+
+def test_metadata_of_nulls(spark):
+    columns = "path string, device long, inode long, length long, modified long, mode string, content_id string"
+    now = spark.createDataFrame([("new", 1, 1, 1, None, None, "x"), ("a", 1, 2, 1, None, "5", "x"), ("b", 1, 3, 1, None, None, "x")], columns)
+    was = spark.createDataFrame([("a", 1, 2, 1, 5, None, "x"), ("b", 1, 3, 1, None, None, "x")], columns)
+    got = {r["path"]: (r["matched_by"], r["content_unchanged"], r["metadata_unchanged"]) for r in dedup.changes(now, was).collect()}
+    assert got == {"new": ("none", False, False), "a": ("path", False, False), "b": ("path", False, True)}
+
+
+def test_composed_names(spark):
+    paths = spark.createDataFrame([("Cafe\u0301",), ("caf\u00e9",), ("other",), (None,)], "path string")
+    assert {r["path"]: r["peers"] for r in catalog.case_collisions(paths.where("path IS NOT NULL")).collect()} == {"Cafe\u0301": 1, "caf\u00e9": 1}
+    assert [r[0] for r in paths.select(catalog.casefold(F.col("path"))).collect()] == ["caf\u00e9", "caf\u00e9", "other", None]
+
+
+def test_gap_verdicts(spark):
+    seen = spark.createDataFrame([(1, 3), (1, 9), (2, 1)], "writer_id long, sequence long")
+    voids = spark.createDataFrame([(1, 5), (1, 20), (2, 7)], "writer_id long, sequence long")
+    marks = spark.createDataFrame([(1, 1)], "writer_id long, watermark long")
+    for run in (2, 1 << 16):
+        got = sorted(map(tuple, catalog.sequence_gaps(seen, marks, voids, spark.createDataFrame([(1, 4)], "writer_id long, age long"), run=run).collect()))
+        assert got == [(1, 2, 2, "damage"), (1, 4, 4, "damage"), (1, 6, 8, "damage")]
+    assert [tuple(r) for r in catalog.sequence_gaps(seen, marks).where("low > 3").collect()] == [(1, 4, 8, "unresolved")]
+
+
+def test_projection_of_circles(spark):
+    entries = spark.createDataFrame([("r", "a", "t", "tree"), ("r", "f", "x", "file"), ("t", "g", "y", "file"), ("t", None, "z", "file")], "parent string, name string, child string, kind string")
+    got = graph.projected_paths(spark.createDataFrame([(1, "r"), (2, "t")], "snapshot_id long, root string"), entries).collect()
+    assert {(r["snapshot_id"], r["path"], r["node"]) for r in got} == {(1, "a", "t"), (1, "f", "x"), (1, "a/g", "y"), (2, "g", "y")}
+    plan = graph.restore_plan(spark.createDataFrame([("a/b",), ("a/bc",), ("d",)], "path string"), spark.createDataFrame([("a",), ("a/b",), ("x",), ("",)], "prefix string"))
+    assert {(r["prefix"], r["path"], r["conflict"]) for r in plan.collect()} == {("a", "a/b", None), ("a", "a/bc", None), ("a/b", "a/b", None), ("x", None, "missing-prefix"), ("", "a/b", None), ("", "a/bc", None), ("", "d", None)}
+
+
+def test_file_digests(spark):
+    parts = [(1, 5, 3, None), (1, 0, 5, bytearray(b"hello")), (1, 8, 2, bytearray(b"xy")), (2, 0, 3_000_000, None), (3, 0, 0, None)]
+    got = {r["file_id"]: (r["length"], r["content_id"]) for r in dedup.file_digests(spark.createDataFrame(parts, "file_id long, offset long, length long, data binary")).collect()}
+    assert got == {1: (10, hashlib.sha256(b"hello\0\0\0xy").hexdigest()), 2: (3_000_000, hashlib.sha256(bytes(3_000_000)).hexdigest())}
+
+
+def test_scan_order(spark):
+    nodes = [(b"a", "directory", 1, None), (b"a/b", "file", 1, None), (b"a.txt", "file", 1, None), (b"a/c", "directory", 2, None), (b"a/c/d", "file", 2, None), (b"e\xff", "directory", 1, None), (b"e\xff/x", "file", 1, None), (b"f", "directory", 1, "EACCES")]
+    df = spark.createDataFrame([(bytearray(p), k, d, e) for p, k, d, e in nodes], "path binary, kind string, device long, error string")
+    scan = lambda **k: [(bytes(r["path"]), r["event"]) for r in capture.scan_events(df, **k).orderBy("position").collect()]
+    want = [(b"a", "enter"), (b"a/b", "leaf"), (b"a/c", "enter"), (b"a/c", "leave"), (b"a", "leave"), (b"a.txt", "leaf"), (b"e\xff", "failure"), (b"f", "failure")]
+    assert scan() == want and scan(cross_mounts=True) == want[:3] + [(b"a/c/d", "leaf")] + want[3:]
+
+
+def test_tree_shards(spark):
+    df = spark.createDataFrame([("d", i, "n" * 10) for i in range(7)], "directory string, seq long, name string")
+    assert [r["bin"] for r in dedup.tree_shards(df, budget=30, overhead=0).orderBy("seq").collect()] == [0, 0, 0, 1, 1, 1, 2]
