@@ -196,7 +196,8 @@ def mixed_texts(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), s
     """The columns of ``docs``, a row for each piece of ``mix``, dealt and shuffled by ``shard_rows``.
 
     A piece that isn't its whole text holds the text's own bytes from its first word to the next piece's, so the pieces of a turn make up
-    the text; where a source's quota ends within a text, the text's first words stay as they stand.
+    the text; where a source's quota ends within a text, the text's first words stay as they stand. Rows without words, null texts among
+    them, are taken by no shard; null sources and ids, and repeated rows, are as in ``mix``. An empty table gives an empty one.
     """
     m, words = _mix(docs, weights, shards, block_words, seed)
     out = shard_rows(m, shards, seed, max(1, ceil(words / shards / PART_WORDS)))

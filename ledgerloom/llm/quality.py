@@ -174,7 +174,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The rows of ``docs`` that the classifier doesn't reject; they are scored as they stream by, without a join."""
+    """The rows of ``docs`` that the classifier doesn't reject; they are scored as they stream by, without a join.
+
+    Each row is judged by its text alone, so repeated rows and null ids fare alike; null texts are scored as empty ones. Without labels, or
+    with one class only, all rows have one score, 0.5 or more where no label is 0.
+    """
     features = docs.select("doc_id", "text").join(labels.where(~held_out()).select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_featurise, "doc_id long, features array<float>")
     forest = train(features, labels, fit_rows)
 

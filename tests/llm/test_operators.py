@@ -632,14 +632,60 @@ def test_quality(spark):
     assert {r["doc_id"] for r in quality.keep_good(docs, labels).collect() if r["doc_id"] < 400} == {i for i in range(400) if i % 2}
 
 
-def test_empty_tables(spark):
+def test_quality_of_held_out_rows(spark):
+    """On the test tables, labelled documents that were never fitted are told apart."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "labels"))
+    scores = quality.score_documents(docs, labels).where("held_out").join(labels.where("quality IN (0, 1)").dropDuplicates(["doc_id"]), "doc_id").select("score", "quality").collect()
+    good, bad = ([r["score"] for r in scores if r["quality"] == k] for k in (1, 0))
+    assert min(len(good), len(bad)) > 10
+    assert sum((g > b) + 0.5 * (g == b) for g in good for b in bad) > 0.95 * len(good) * len(bad)
+
+
+def test_trees_by_force():
+    """Flattened trees give what walking them node by node gives."""
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((300, 4))
+    forest = quality.fit(x, (x[:, 0] * x[:, 1] > 0).astype(float), trees=6, depth=3)
+    for row, got in zip(x, forest.margin(x), strict=True):
+        total = forest.base
+        for feature, cut, leaf in zip(forest.feature, forest.cut, forest.leaf, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > cut[node] else 1)
+            total += leaf[node - len(feature)]
+        assert abs(total - got) < 1e-9
+
+
+def test_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    vecs = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     runs = [
-        quality.score_documents(docs, labels), line_dedup.dedup_lines(docs), media.read_media(media.write_media(docs)), mixing.mix(docs), packing.pack(docs, tokenizer_path()), ngram_join.join_components(docs),
-        licences.scan_licences(docs), pii.pseudonymise(docs, "k"), suffix_dedup.remove_repeats(docs), vectors.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")),
+        quality.score_documents(docs, labels), quality.keep_good(docs, labels), line_dedup.dedup_lines(docs), media.read_media(media.write_media(docs)), mixing.mix(docs), mixing.shard_rows(mixing.mix(docs)), mixing.mixed_texts(docs),
+        packing.pack(docs, tokenizer_path()), ngram_join.join_components(docs), ngram_join.one_of_each(docs), licences.scan_licences(docs), pii.pseudonymise(docs, "k"), suffix_dedup.remove_repeats(docs), vectors.nearest(vecs),
     ]
-    assert [df.count() for df in runs] == [0] * 10
+    assert [df.count() for df in runs] == [0] * len(runs)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_with_nulls(spark):
+    """Stages of the pipeline over rows with nulls everywhere, repeats and a very long text: nothing crashes, and rows without a text or an id stay where nothing speaks against them."""
+    import corpus_pipeline
+
+    word = " ".join(f"word{k % 977} and then" for k in range(40000))
+    rows = [(None, None, None, None, None), (1, None, None, None, None), (None, "a text", "en", "s", 6), (2, word, "en", "s", len(word)), (2, word, "en", "s", len(word)), (3, "", None, "t", 0), (4, word[:-9], "en", "t", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = ngram_join.one_of_each(docs).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == ["1", "2", "2", "3", "None", "None"]
+    assert {r["doc_id"] for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()} == {None, 1, 2, 3, 4}
+    mixed = corpus_pipeline.mix_sources(spark, docs, "").collect()
+    assert {r["source"] for r in mixed} <= {None, "s", "t"} and all(r["text"] for r in mixed)
+    pieces = corpus_pipeline.pack_sequences(spark, docs, "").collect()
+    assert sum(r["start"] == 0 for r in pieces) == len(rows)
 
 
 def test_pipeline(spark):
