@@ -20,6 +20,13 @@ def index_winner(t: Tables) -> DataFrame:
     return C.index_winners(t.locations, t.blobs)
 
 
+@query("""SELECT object_id, blob_id, generation, writer_id, sequence, arrival FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY generation DESC, writer_id DESC, sequence DESC, arrival DESC, blob_id DESC) AS r FROM locations) WHERE r = 1""")
+def winners_of_repeated_deltas(t: Tables) -> DataFrame:
+    """Deltas that come late, in any order and several times give the winners of all."""
+    rows = t.locations.select("object_id", "blob_id", "generation", "writer_id", "sequence", "arrival")
+    return C.last_wins(rows.where("sequence % 2 = 0").unionByName(rows).unionByName(rows.where("sequence % 3 = 0")), ["object_id"], ["generation", "writer_id", "sequence", "arrival", "blob_id"])
+
+
 @query("""SELECT object_id, blob_id, physical_offset, stored_length FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY blob_id, physical_offset, stored_length) AS r
   FROM locations) WHERE r = 1""")
 def footer_winner(t: Tables) -> DataFrame:

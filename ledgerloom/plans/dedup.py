@@ -28,6 +28,16 @@ def url_rules(t: Tables) -> DataFrame:
     return t.pages.select("url", P.matches(path, "re:([^/]*/)*[^/]*\\.HTML", case_sensitive=False).alias("html"), P.matches(path, "re:m\\..*").alias("mobile"))
 
 
+RULES = ["src?/**", "a//b", "/a", "a/", "", "a**b", "**", "re:[a-z]+/x", "re:^a", "re:a$", "re:(?i)a", r"re:\d", r"re:\.", "re:a{", "re:a}", "re:a{2,3}", "re:[a", "re:[/]", "re:a//b", "re:/a", "re:a/", "re:"]
+
+
+@query("""r AS (SELECT unnest(['src?/**', 'a//b', '/a', 'a/', '', 'a**b', '**', 're:[a-z]+/x', 're:^a', 're:a$', 're:(?i)a', 're:\\d', 're:\\.', 're:a{', 're:a}', 're:a{2,3}', 're:[a', 're:[/]', 're:a//b', 're:/a', 're:a/', 're:']) AS rule)
+  SELECT rule, rule IN ('src?/**', '**', 're:[a-z]+/x', 're:\\.', 're:a{2,3}', 're:[/]') AS valid FROM r""")
+def rule_validation(t: Tables) -> DataFrame:
+    """All rules are judged, so a set's defects come out together."""
+    return t.spark.createDataFrame([(r, not P.validate([r])) for r in RULES], "rule string, valid boolean")
+
+
 @query("""now AS (SELECT * REPLACE (CASE WHEN length % 19 = 3 THEN NULL ELSE modified END AS modified, CASE WHEN length % 23 = 5 THEN NULL ELSE mode END AS mode),
     CASE WHEN length % 2 = 0 THEN replace(path, '.moved', '') END AS hint FROM current_files),
   was AS (SELECT * REPLACE (CASE WHEN length % 19 = 3 AND length % 2 = 0 THEN NULL ELSE modified END AS modified, CASE WHEN length % 23 = 5 AND length % 3 > 0 THEN NULL ELSE mode END AS mode) FROM prior_files),
