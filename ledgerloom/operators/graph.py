@@ -54,7 +54,7 @@ def projected_paths(snapshots: DataFrame, entries: DataFrame) -> DataFrame:
     (a circle), ends there.
     """
     scratch = Scratch(snapshots.sparkSession, "paths")
-    entries = entries.where("name IS NOT NULL AND child IS NOT NULL").distinct()
+    entries = scratch.write(entries.where("name IS NOT NULL AND child IS NOT NULL").distinct(), "entries")
     level = scratch.write(snapshots.select("snapshot_id", F.col("root").alias("node"), F.lit("").alias("path"), F.lit("tree").alias("kind"), F.lit(0).alias("depth")).distinct(), "level")
     rounds: list[DataFrame] = []
     for depth in range(1, 1025):
@@ -64,6 +64,7 @@ def projected_paths(snapshots: DataFrame, entries: DataFrame) -> DataFrame:
         if level.isEmpty():
             break
         rounds.append(level)
+    scratch.drop(entries)
     out = _all(rounds or [level])
     return out.select("snapshot_id", "path", "node", "kind", "depth")
 
