@@ -155,21 +155,33 @@ def stream_pieces(docs: DataFrame, rows_per_piece: int = 64) -> DataFrame:
 # Content-defined segments: a cut stands where the Rabin fingerprint of the last 64 bytes has zeros in its low bits.
 
 
-def rabin(data: np.ndarray) -> np.ndarray:
+def _times(h: np.ndarray, squarings: int) -> np.ndarray:
+    """Products with x^(64 * 2^squarings): x^64 is x^4 + x^3 + x + 1, and squaring doubles its exponents."""
+    places = [np.uint64(e << squarings) for e in (1, 3, 4)]
+    out, over = h ^ (h << places[0]), h >> (np.uint64(64) - places[0])
+    for e in places[1:]:
+        out ^= h << e
+        over ^= h >> (np.uint64(64) - e)
+    out ^= over
+    for e in (1, 3, 4):
+        out ^= over << np.uint64(e)
+    return out
+
+
+def rabin(data: np.ndarray, block: int = 8192) -> np.ndarray:
     """Fingerprints of the 64 bytes ending at each place, modulo x^64 + x^4 + x^3 + x + 1; bytes before the start count as zero.
 
-    Eight-byte words are reduced by Horner's rule: a word times x^64 is the word times x^4 + x^3 + x + 1, folded once more for its top bits.
+    Eight bytes are a word as they stand; two neighbours of 8, 16 and 32 bytes make one of twice the length. Blocks stay in a core's cache.
     """
     n = len(data)
-    padded = np.concatenate((np.zeros(WINDOW, np.uint8), data, np.zeros(8, np.uint8)))
-    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)).view(">u8").ravel().astype(np.uint64)
-    word = lambda back: words[WINDOW - 7 - back : WINDOW - 7 - back + n]
-    low = lambda a: a ^ (a << np.uint64(1)) ^ (a << np.uint64(3)) ^ (a << np.uint64(4))
-    h = np.zeros(n, np.uint64)
-    for back in range(WINDOW - 8, -1, -8):
-        over = (h >> np.uint64(63)) ^ (h >> np.uint64(61)) ^ (h >> np.uint64(60))
-        h = low(h) ^ low(over) ^ word(back)
-    return h
+    padded, out = np.concatenate((np.zeros(WINDOW, np.uint8), data)), np.empty(n, np.uint64)
+    for low in range(0, n, block):
+        raw = padded[low + 1 : min(low + block, n) + WINDOW]
+        f = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, 8)).view(">u8").ravel().astype(np.uint64)
+        for k, length in enumerate((8, 16, 32)):
+            f = _times(f[:-length], k) ^ f[length:]
+        out[low : low + block] = f
+    return out
 
 
 def greedy_cuts(candidates: np.ndarray, length: int, least: int, most: int) -> list[int]:
