@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import line_dedup, mixing, ngram_join, packing, quality
 from ledgerloom.llm.queries import table, tokenizer_path
-from ledgerloom.llm.storage import written
+from ledgerloom.llm.storage import Scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -52,8 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each but the last is written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each but the last is written as Parquet and read again, and goes once the next one is written."""
+    scratch, docs, before = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = scratch.write(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        scratch.drop(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
