@@ -152,6 +152,13 @@ def test_graphs(spark):
     assert {r["version_id"]: (r["root"], r["depth"]) for r in graph.lineage(versions).collect()} == {i: (0, i) for i in range(30)} | {200: (200, 0)}
 
 
+def test_unreadable_nodes(spark):
+    marked = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "node string, depth int")
+    found = graph.unreadable_nodes(marked, spark.createDataFrame([("b",), ("b",), (None,), ("z",)], "node string"))
+    assert sorted(map(tuple, found.collect())) == [("a", 0), ("c", 2)]
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))  # not merged, however small names are in a shuffle
+
+
 def test_tiling_and_bins(spark):
     parts = spark.createDataFrame([(1, 0, 5), (1, 5, 5), (2, 1, 4), (3, 0, 4), (3, 3, 4)], "file_id long, offset long, length long")
     assert {(r["file_id"], r["offset"], r["want"]) for r in dedup.tiling_defects(parts).collect()} == {(2, 1, 0), (3, 3, 4)}
