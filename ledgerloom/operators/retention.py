@@ -13,6 +13,7 @@ COMPLETE = 1
 CLOCK_SKEW_MS = 300_000
 DAY_MS = 86_400_000
 GATE_BOUND_MS = 30 * DAY_MS
+SNAPSHOT_BLOCK = 1 << 16
 RULES = ("daily", "weekly", "monthly")
 
 
@@ -70,15 +71,28 @@ def replication_gate(expired: DataFrame, destinations: DataFrame, now_ms: int, b
     """What holds each expired snapshot: destinations of its set that haven't synced it (null: never).
 
     held: some lag; exceeded: the longest a laggard has been silent (since its last success, at least since the capture) is over the
-    bound. A set's destinations are a configured list, so the join adds a few rows per snapshot. A set without destinations holds nothing.
+    bound. A set without destinations holds nothing. A set's destinations are a configured list, one row that is broadcast. Who lags
+    depends only on the least synced sequence of the set that is not below the snapshot's, so lists of laggards are made once for all
+    snapshots between two such sequences (in blocks of ids, so that no group grows without bound), not once for each.
     """
-    seen = destinations.groupBy("set_id").agg(F.collect_list(F.struct("destination", "synced_sequence", "last_success_ms")).alias("all"))
-    rows = expired.join(seen, "set_id", "left")
-    lag = F.filter(F.coalesce("all", F.array()), lambda d: ~F.coalesce(d["synced_sequence"] >= F.col("publication_sequence"), F.lit(False)))
-    rows = rows.withColumn("lag", lag)
-    silent = F.exists("lag", lambda d: F.lit(now_ms) - F.greatest(d["last_success_ms"], F.col("captured_ms")) > bound_ms)
-    names = F.array_join(F.array_sort(F.transform("lag", lambda d: d["destination"])), ",")
-    return rows.select("set_id", "snapshot_id", (F.size("lag") > 0).alias("held"), names.alias("laggards"), silent.alias("exceeded"))
+    columns = F.struct("destination", F.col("destination").cast("string").alias("name"), "synced_sequence", "last_success_ms")
+    seen = destinations.groupBy("set_id").agg(F.array_sort(F.collect_list(columns)).alias("all"))
+    marks = F.array_sort(F.array_distinct(F.filter(F.transform("all", lambda d: d["synced_sequence"]), lambda x: x.isNotNull())))
+    steps = lambda c: F.filter(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), lambda p: p <= F.size(c))
+    marked = seen.select("set_id", marks.alias("marks")).withColumn("steps", steps("marks"))
+    below = F.aggregate("steps", F.lit(0), lambda n, p: F.when(F.get("marks", n + p - 1) < F.col("publication_sequence"), n + p).otherwise(n))  # by halves
+    upto = F.when(F.col("publication_sequence").isNotNull(), F.get("marks", below))
+    rows = expired.join(F.broadcast(marked), "set_id", "left").select("set_id", "snapshot_id", "captured_ms", upto.alias("upto"), F.floor(F.col("snapshot_id") / SNAPSHOT_BLOCK).alias("block"))
+    groups = rows.groupBy("set_id", "upto", "block").agg(F.collect_list(F.struct("snapshot_id", "captured_ms")).alias("snapshots"))
+
+    lag = F.filter(F.coalesce("all", F.array()), lambda d: ~F.coalesce(d["synced_sequence"] >= F.col("upto"), F.lit(False)))
+    last = F.transform("lag", lambda d: d["last_success_ms"])
+    groups = groups.join(F.broadcast(seen), "set_id", "left").select("set_id", "snapshots", lag.alias("lag"))
+    groups = groups.select("set_id", "snapshots", (F.size("lag") > 0).alias("held"), F.array_join(F.transform("lag", lambda d: d["name"]), ",").alias("laggards"), F.array_min(last).alias("oldest"), F.exists(last, lambda x: x.isNull()).alias("never"))
+    out = groups.select("set_id", "held", "laggards", "oldest", "never", F.explode("snapshots").alias("s"))
+    since = F.when(F.col("never") & F.col("s.captured_ms").isNotNull(), F.col("s.captured_ms")).otherwise(F.greatest("oldest", "s.captured_ms"))
+    silent = F.col("held") & F.coalesce(F.lit(now_ms) - since > bound_ms, F.lit(False))
+    return out.select("set_id", "s.snapshot_id", "held", "laggards", silent.alias("exceeded"))
 
 
 def intents(journal: DataFrame) -> DataFrame:

@@ -145,6 +145,21 @@ def test_retention_rules(spark):
     assert spark.range(1).select(retention.iso_week(at("2027-01-01 00:00:00"))).first()[0] == "2026-W53"
 
 
+def test_replication_gate(spark):
+    stops = [(10, 1, 5, 900), (9, 1, 5, None), (8, 1, None, 100), (7, 1, 2, 50), (6, 1, 70_000, 10), (5, 3, 4, None)]
+    ids = [(i, i % 3 + 1, c, p) for i, c, p in [(0, 100, 1), (3, 100, 2), (6, 100, 3), (9, 100, 5), (12, None, 6), (150_000, 100, 70_000), (150_003, 990, 70_001), (150_006, 100, None), (1, 1, 1), (2, None, 9), (5, 7, 4)]]
+    expired = spark.createDataFrame(ids, "snapshot_id long, set_id long, captured_ms long, publication_sequence long")
+    gate = retention.replication_gate(expired, spark.createDataFrame(stops, "destination long, set_id long, synced_sequence long, last_success_ms long"), 1000, 500)
+    want = set()
+    for i, of, captured, at in ids:
+        lag = sorted((d, last) for d, s, synced, last in stops if s == of and not (synced is not None and at is not None and synced >= at))
+        known = [[x for x in (last, captured) if x is not None] for _, last in lag]
+        want.add((of, i, bool(lag), ",".join(str(d) for d, _ in lag), any(x and 1000 - max(x) > 500 for x in known)))
+    rows = gate.collect()
+    assert len(rows) == len(ids) and {tuple(r) for r in rows} == want
+    assert {r["exceeded"] for r in rows} == {True, False}  # never null, also where no time is known
+
+
 def test_graphs(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(20, 0), (5, None)], "parent long, child long")
     assert {r["node"]: r["depth"] for r in graph.reachable(spark.createDataFrame([(3,)], "node long"), edges).collect()} == {(3 + d) % 21: d for d in range(21)}
