@@ -255,6 +255,15 @@ def test_projection_of_circles(spark):
     assert {(r["prefix"], r["path"], r["conflict"]) for r in plan.collect()} == {("a", "a/b", None), ("a", "a/bc", None), ("a/b", "a/b", None), ("x", None, "missing-prefix"), ("", "a/b", None), ("", "a/bc", None), ("", "d", None)}
 
 
+def test_projection_stores_what_is_reached(spark, monkeypatch):
+    tables, write = [], graph.Scratch.write
+    monkeypatch.setattr(graph.Scratch, "write", lambda self, df, name: tables.append(write(self, df, name)) or tables[-1])
+    rows = [("r", "a", "t", "tree"), ("r", "a", "t", "tree"), ("t", "f", "x", "file"), ("t", "f", "x", "file"), (None, "f", "x", "file")] + [(f"u{i}", "f", "x", "file") for i in range(50)]
+    got = graph.projected_paths(spark.createDataFrame([(1, "r"), (2, "none")], "snapshot_id long, root string"), spark.createDataFrame(rows, "parent string, name string, child string, kind string"))
+    assert sorted(map(tuple, got.collect())) == [(1, "a", "t", "tree", 1), (1, "a/f", "x", "file", 2)]
+    assert [t.count() for t in tables] == [2, 1, 1]  # neither trees that no snapshot reaches nor a level below the last
+
+
 def test_file_digests(spark):
     parts = [(1, 5, 3, None), (1, 0, 5, bytearray(b"hello")), (1, 8, 2, bytearray(b"xy")), (2, 0, 3_000_000, None), (3, 0, 0, None)]
     got = {r["file_id"]: (r["length"], r["content_id"]) for r in dedup.file_digests(spark.createDataFrame(parts, "file_id long, offset long, length long, data binary")).collect()}
