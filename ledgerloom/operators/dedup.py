@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from ledgerloom.sources.shared import Scratch
+
 KIB = 1024
 WINDOW = 64
+PIECES = 64
 DEFAULT_THRESHOLD = 50
 
 
@@ -207,7 +210,8 @@ def cdc_segments(pieces: DataFrame, target: int = 64 * KIB, least: int = 8 * KIB
 
     Each piece is fingerprinted where it stands, and only its first and last 63 bytes go on, with the places that may be cuts, one in
     ``target`` bytes: windows that reach over pieces are fingerprinted from these. Offsets are added up by runs of pieces first. The
-    choice among a stream's places is sequential. Empty or null pieces add nothing; an empty stream has no segments.
+    choice among a stream's places is sequential. Python gets ``PIECES`` pieces at a time, however many a task has, and what it finds is
+    written to the shared folder. Empty or null pieces add nothing; an empty stream has no segments.
     """
     if strict:
         check_cdc(target, least, most)
@@ -226,7 +230,8 @@ def cdc_segments(pieces: DataFrame, target: int = 64 * KIB, least: int = 8 * KIB
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), flat), *(pa.array([e[i] for e in ends], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64())))], ["stream_id", "seq", "places", "head", "tail", "n"])
 
     found = pieces.where("octet_length(data) > 0").select(F.col("stream_id").cast("string").alias("stream_id"), F.col("seq").cast("long").alias("seq"), "data")
-    rows = found.mapInArrow(inner, "stream_id string, seq long, places array<long>, head string, tail string, n long").withColumn("run", F.floor(F.col("seq") / 1024))
+    rows = found.mapInArrow(inner, "stream_id string, seq long, places array<long>, head string, tail string, n long")
+    rows = Scratch(pieces.sparkSession, "pieces").write(rows, "pieces", PIECES).withColumn("run", F.floor(F.col("seq") / 1024))
     last = lambda c: F.expr(f"substring({c}, greatest(1, length({c}) - 125), 126)")
     inside = Window.partitionBy("stream_id", "run").orderBy("seq")
     rows = rows.withColumn("at", F.coalesce(F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

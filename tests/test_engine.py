@@ -97,6 +97,17 @@ def test_cdc_does_not_depend_on_pieces(spark):
         assert [r["length"] for r in got] == want and [r["offset"] for r in got] == [sum(want[:i]) for i in range(len(want))]
 
 
+def test_cdc_pieces_come_in_small_batches(spark, monkeypatch):
+    pieces = spark.range(1000).coalesce(1).select(F.lit("s").alias("stream_id"), F.col("id").alias("seq"), F.lit(b"x" * 100).alias("data"))
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sizes = []
+    write = dedup.Scratch.write
+    count = lambda batches: (b.from_pylist([{"rows": b.num_rows}]) for b in batches)
+    monkeypatch.setattr(dedup.Scratch, "write", lambda self, df, name, rows=None: sizes.extend(r["rows"] for r in write(self, pieces.mapInArrow(count, "rows long"), "n", rows).collect()) or write(self, df, name, rows))
+    assert sum(r["length"] for r in dedup.cdc_segments(pieces).collect()) == 100_000
+    assert sum(sizes) == 1000 and max(sizes) <= dedup.PIECES and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == batch
+
+
 def test_hashing(spark):
     for data in (b"", b"a", b"hello", bytes(range(33))):
         want = base64.b32encode(data).decode().rstrip("=").lower()
