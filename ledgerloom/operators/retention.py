@@ -21,16 +21,22 @@ def iso_week(at: Column) -> Column:
     return F.format_string("%d-W%02d", F.extract(F.lit("YEAROFWEEK"), at), F.weekofyear(at))
 
 
-def buckets(at: Column, now: Column, daily_days: int | None, weekly_weeks: int | None, monthly_months: int | None) -> Column:
-    """Array of (ord, rule, bucket) that a capture time falls in; months go back by the calendar and keep the time of day."""
-    rules = []
+def starts(now: Column, daily_days: int | None, weekly_weeks: int | None, monthly_months: int | None) -> dict[int, Column]:
+    """Where the window of each given rule begins, by its place in RULES; months go back by the calendar and keep the time of day."""
+    out = {}
     if daily_days is not None:
-        rules.append((0, at >= now - F.make_dt_interval(F.lit(daily_days)), F.date_format(at, "yyyy-MM-dd")))
+        out[0] = now - F.make_dt_interval(F.lit(daily_days))
     if weekly_weeks is not None:
-        rules.append((1, at >= now - F.make_dt_interval(F.lit(7 * weekly_weeks)), iso_week(at)))
+        out[1] = now - F.make_dt_interval(F.lit(7 * weekly_weeks))
     if monthly_months is not None:
-        rules.append((2, at >= now - F.make_ym_interval(F.lit(0), F.lit(monthly_months)), F.date_format(at, "yyyy-MM")))
-    return F.array_compact(F.array(*[F.when(inside, F.struct(F.lit(i).alias("ord"), name.alias("bucket"))) for i, inside, name in rules]))
+        out[2] = now - F.make_ym_interval(F.lit(0), F.lit(monthly_months))
+    return out
+
+
+def buckets(at: Column, begin: dict[int, Column]) -> Column:
+    """Array of (ord, rule, bucket) that a capture time falls in, by the windows' ``starts``."""
+    names = (F.date_format(at, "yyyy-MM-dd"), iso_week(at), F.date_format(at, "yyyy-MM"))
+    return F.array_compact(F.array(*[F.when(at >= start, F.struct(F.lit(i).alias("ord"), names[i].alias("bucket"))) for i, start in begin.items()]))
 
 
 def kept_snapshots(snapshots: DataFrame, now: Column, daily_days: int | None = None, weekly_weeks: int | None = None, monthly_months: int | None = None, min_generations: int | None = None) -> DataFrame:
@@ -38,27 +44,43 @@ def kept_snapshots(snapshots: DataFrame, now: Column, daily_days: int | None = N
 
     The newest snapshot of each calendar bucket inside a rule's window stays (ties: the smaller id), and the bucket's newest complete one
     too if that isn't it. The floor keeps everything down to a set's Nth complete snapshot; down to the last complete one if there are fewer;
-    the newest N if none is complete. Without rules all stay. Buckets are aggregated before the shuffle and the floor takes N rows a set,
-    so a set with most of the snapshots is no hot task.
+    the newest N if none is complete. Without rules all stay.
+
+    Snapshots are counted by set and day first, those inside a window by their time; these sums and least ids need no sort. Buckets are
+    made of them, and only snapshots from the day on in which a set's floor lies are put in order, N rows a set, so a set with most of the
+    snapshots is no hot task.
     """
     if daily_days is weekly_weeks is monthly_months is min_generations is None:
         return snapshots.select("set_id", "snapshot_id", F.lit("no rule configured").alias("reasons"))
-    newest = F.struct("captured_at", (-F.col("snapshot_id")).alias("minus_id"))
     complete = F.coalesce(F.col("capture_status") == COMPLETE, F.lit(False))
+    day = F.coalesce(F.unix_date(F.to_date("captured_at")), F.lit(-(1 << 31)))  # unknown times are the oldest
+    begin = starts(now, daily_days, weekly_weeks, monthly_months)
+    recent = [F.when(F.col("captured_at") >= F.array_min(F.array(*begin.values())), F.col("captured_at")).alias("captured_at")] if begin else []
+    counts = F.count("*").alias("n"), F.count_if(complete).alias("n_whole")
+    days = snapshots.groupBy("set_id", day.alias("day"), *recent).agg(F.min("snapshot_id").alias("id"), F.min(F.when(complete, F.col("snapshot_id"))).alias("whole_id"), *counts)
     parts = []
-    if not daily_days is weekly_weeks is monthly_months is None:
-        rows = snapshots.withColumn("b", F.explode(buckets(F.col("captured_at"), now, daily_days, weekly_weeks, monthly_months)))
-        tops = rows.groupBy("set_id", "b").agg(F.max(newest).alias("any"), F.max(F.when(complete, newest)).alias("whole"))
+    if begin:
+        top = lambda key: F.struct("captured_at", (-F.col(key)).alias("minus_id"))
+        rows = days.withColumn("b", F.explode(buckets(F.col("captured_at"), begin)))
+        tops = rows.groupBy("set_id", "b").agg(F.max(top("id")).alias("any"), F.max(F.when(F.col("n_whole") > 0, top("whole_id"))).alias("whole"))
         name = F.element_at(F.array(*map(F.lit, RULES)), F.col("b.ord") + 1)
         pick = F.array(F.struct(F.col("any.minus_id").alias("m"), name.alias("reason")), F.when(F.col("whole.minus_id") != F.col("any.minus_id"), F.struct(F.col("whole.minus_id").alias("m"), F.concat(name, F.lit(" (complete)")).alias("reason"))))
         parts.append(tops.select("set_id", F.col("b.ord").alias("ord"), F.explode(F.array_compact(pick)).alias("p")).select("set_id", (-F.col("p.m")).alias("snapshot_id"), "ord", "p.reason"))
     if min_generations is not None:
+        newer = Window.partitionBy("set_id").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, 0)
+        sums = days.groupBy("set_id", "day").agg(F.sum("n").alias("n"), F.sum("n_whole").alias("n_whole"))
+        sums = sums.select("set_id", "day", "n_whole", F.sum("n").over(newer).alias("all"), F.sum("n_whole").over(newer).alias("whole"))
+        reached = lambda total: F.max(F.when(F.col(total) >= min_generations, F.col("day")))
+        since = F.coalesce(reached("whole"), F.min(F.when(F.col("n_whole") > 0, F.col("day"))), reached("all"), F.min("day"))
+        near = snapshots.join(F.broadcast(sums.groupBy("set_id").agg(since.alias("since"))), "set_id").where(day >= F.col("since"))
+
+        newest = F.struct("captured_at", (-F.col("snapshot_id")).alias("minus_id"))
         by = Window.partitionBy("set_id", "whole").orderBy(F.desc("captured_at"), "snapshot_id")
-        top = snapshots.withColumn("whole", complete).withColumn("r", F.row_number().over(by)).where(F.col("r") <= min_generations)
+        top = near.withColumn("whole", complete).withColumn("r", F.row_number().over(by)).where(F.col("r") <= min_generations)
         last = top.groupBy("set_id").agg(F.min(F.when(F.col("whole"), newest)).alias("whole"))
-        plain = snapshots.withColumn("r", F.row_number().over(Window.partitionBy("set_id").orderBy(F.desc("captured_at"), "snapshot_id"))).where(F.col("r") <= min_generations)
+        plain = near.withColumn("r", F.row_number().over(Window.partitionBy("set_id").orderBy(F.desc("captured_at"), "snapshot_id"))).where(F.col("r") <= min_generations)
         last = last.join(plain.groupBy("set_id").agg(F.min(newest).alias("plain")), "set_id").select("set_id", F.coalesce("whole", "plain").alias("last"))
-        floor = snapshots.join(last, "set_id").where(newest >= F.col("last"))
+        floor = near.join(last, "set_id").where(newest >= F.col("last"))
         parts.append(floor.select("set_id", "snapshot_id", F.lit(3).alias("ord"), F.lit("min-generations").alias("reason")))
     rows = parts[0]
     for p in parts[1:]:
@@ -78,11 +100,12 @@ def replication_gate(expired: DataFrame, destinations: DataFrame, now_ms: int, b
     columns = F.struct("destination", F.col("destination").cast("string").alias("name"), "synced_sequence", "last_success_ms")
     seen = destinations.groupBy("set_id").agg(F.array_sort(F.collect_list(columns)).alias("all"))
     marks = F.array_sort(F.array_distinct(F.filter(F.transform("all", lambda d: d["synced_sequence"]), lambda x: x.isNotNull())))
-    steps = lambda c: F.filter(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), lambda p: p <= F.size(c))
-    marked = seen.select("set_id", marks.alias("marks")).withColumn("steps", steps("marks"))
-    below = F.aggregate("steps", F.lit(0), lambda n, p: F.when(F.get("marks", n + p - 1) < F.col("publication_sequence"), n + p).otherwise(n))  # by halves
-    upto = F.when(F.col("publication_sequence").isNotNull(), F.get("marks", below))
-    rows = expired.join(F.broadcast(marked), "set_id", "left").select("set_id", "snapshot_id", "captured_ms", upto.alias("upto"), F.floor(F.col("snapshot_id") / SNAPSHOT_BLOCK).alias("block"))
+    rows = expired.join(F.broadcast(seen.select("set_id", marks.alias("marks"))), "set_id", "left").withColumn("below", F.lit(0))
+    for k in range(30, -1, -1):  # marks below the sequence, by halves; plain steps, as a lambda over them would have each row carry all marks
+        n = F.col("below") + (1 << k)
+        rows = rows.withColumn("below", F.when(F.get("marks", n - 1) < F.col("publication_sequence"), n).otherwise(F.col("below")))
+    upto = F.when(F.col("publication_sequence").isNotNull(), F.get("marks", F.col("below")))
+    rows = rows.select("set_id", "snapshot_id", "captured_ms", upto.alias("upto"), F.floor(F.col("snapshot_id") / SNAPSHOT_BLOCK).alias("block"))
     groups = rows.groupBy("set_id", "upto", "block").agg(F.collect_list(F.struct("snapshot_id", "captured_ms")).alias("snapshots"))
 
     lag = F.filter(F.coalesce("all", F.array()), lambda d: ~F.coalesce(d["synced_sequence"] >= F.col("upto"), F.lit(False)))

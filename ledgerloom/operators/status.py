@@ -109,8 +109,7 @@ def report_lines(plan: DataFrame, kept: DataFrame, held: DataFrame, vetoes: Data
         n(kept).select(F.lit(0).alias("section"), F.format_string("protected: %d snapshots", "n").alias("line")),
         kept.select(F.lit(1), F.concat(F.lit("  keep "), F.col("snapshot_id").cast("string"), F.lit(": "), "reasons")),
         held.select(F.lit(2), F.concat(F.lit("  held "), F.col("snapshot_id").cast("string"), F.lit(": awaiting "), "laggards", late)),
-        totals.select(F.lit(3), F.format_string("would delete: %d blobs", "gone")),
-        totals.select(F.lit(4), F.format_string("kept whole for a live part: %d blobs", "partial")),
+        totals.select(F.inline(F.array(*[F.struct(F.lit(i), F.format_string(text, n)) for i, text, n in ((3, "would delete: %d blobs", "gone"), (4, "kept whole for a live part: %d blobs", "partial"))]))),
         vetoes.select(F.lit(5), F.concat(F.lit("NO DELETION: "), "reason")),
     ]
     out = parts[0]

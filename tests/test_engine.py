@@ -156,6 +156,77 @@ def test_retention_rules(spark):
     assert spark.range(1).select(retention.iso_week(at("2027-01-01 00:00:00"))).first()[0] == "2026-W53"
 
 
+def test_retention_floor_days(spark):
+    rng = np.random.default_rng(5)
+    rows, hours = [], 0
+    for i in range(600):  # sets: often complete, never complete, rarely complete, all on one day, times unknown, with ties
+        of = int(rng.integers(0, 6))
+        hours = int(rng.integers(0, 4000)) if of != 3 else int(rng.integers(0, 20))
+        rows.append((i, of if of < 5 else None, None if of == 4 and i % 5 else hours // 3 * 3, 2 if of == 1 or of == 2 and i % 50 else 1 + i % 2))
+    df = spark.createDataFrame(rows, "snapshot_id long, set_id long, h int, capture_status int")
+    df = df.selectExpr("*", "TIMESTAMP_NTZ'2027-01-01 00:00:00' - make_dt_interval(0, h) AS captured_at")
+    for most in (1, 3, 40):
+        want = set()
+        for of in range(5):
+            order = sorted((r for r in rows if r[1] == of), key=lambda r: (r[2] is None, r[2] or 0, r[0]))
+            whole = [n for n, r in enumerate(order) if r[3] == 1]
+            end = whole[min(most, len(whole)) - 1] + 1 if whole else most
+            want |= {(of, r[0]) for r in order[:end]}
+        kept = retention.kept_snapshots(df, F.expr("TIMESTAMP_NTZ'2027-01-01 00:00:00'"), min_generations=most)
+        assert {(r["set_id"], r["snapshot_id"]) for r in kept.collect()} == want
+    daily = {(r["set_id"], r["snapshot_id"]): r["reasons"] for r in retention.kept_snapshots(df, F.expr("TIMESTAMP_NTZ'2027-01-01 00:00:00'"), daily_days=30).collect()}
+    want = {}
+    for of in (0, 1, 2, 3, 4, None):
+        for day in range(32):
+            order = sorted((r[2], r[0], r[3]) for r in rows if r[1] == of and r[2] is not None and r[2] <= 720 and -(-r[2] // 24) == day)
+            whole = [r for r in order if r[2] == 1]
+            want |= {(of, r[1]): "daily (complete)" for r in whole[:1]} | {(of, r[1]): "daily" for r in order[:1]}
+    assert daily == want
+
+
+def test_retention_orders_few(spark, tmp_path):
+    """Only snapshots from the floor's day on are put in order, by the metrics of what ran."""
+    path = str(tmp_path / "snapshots")
+    spark.range(50_000).selectExpr("id AS snapshot_id", "id % 5 AS set_id", "TIMESTAMP_NTZ'2027-01-01 00:00:00' - make_dt_interval(0, CAST(id AS INT)) AS captured_at", "1 AS capture_status").write.parquet(path)
+    below = lambda node: [node.children().apply(i) for i in range(node.children().size())]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # the plan that ran is then a plain tree
+    try:
+        kept = retention.kept_snapshots(spark.read.parquet(path), F.expr("TIMESTAMP_NTZ'2027-01-01 00:00:00'"), 90, 26, 12, 3)
+        plan = kept._jdf.queryExecution().executedPlan()
+        assert len(kept.collect()) > 5 * 90
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    seen, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        todo += below(node)
+        if node.nodeName() == "WindowGroupLimit":
+            first = below(node)
+            while first and not first[0].metrics().contains("numOutputRows"):
+                first = below(first[0])
+            seen += [first[0].metrics().apply("numOutputRows").value()] if first else []
+    assert seen and 0 < max(seen) < 1_000
+
+
+def test_report_reads_plan_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def verdict(i):
+        reads.add(1)
+        return ("deletable", "partly live", "live")[i % 3]
+
+    plan = spark.range(10).select(F.udf(verdict, "string")("id").alias("verdict"))
+    rows = lambda schema, *of: spark.createDataFrame(list(of), schema)
+    held = rows("snapshot_id long, laggards string, exceeded boolean", (7, "1,2", True), (8, "3", None))
+    lines = status.report_lines(plan, rows("snapshot_id long, reasons string", (5, "daily")), held, rows("reason string", ("unreadable set 7",)))
+    assert lines.columns == ["section", "line"]
+    assert sorted(map(tuple, lines.collect())) == [
+        (0, "protected: 1 snapshots"), (1, "  keep 5: daily"), (2, "  held 7: awaiting 1,2 (deferral bound exceeded)"), (2, "  held 8: awaiting 3"),
+        (3, "would delete: 4 blobs"), (4, "kept whole for a live part: 3 blobs"), (5, "NO DELETION: unreadable set 7"),
+    ]
+    assert reads.value == 10
+
+
 def test_replication_gate(spark):
     stops = [(10, 1, 5, 900), (9, 1, 5, None), (8, 1, None, 100), (7, 1, 2, 50), (6, 1, 70_000, 10), (5, 3, 4, None)]
     ids = [(i, i % 3 + 1, c, p) for i, c, p in [(0, 100, 1), (3, 100, 2), (6, 100, 3), (9, 100, 5), (12, None, 6), (150_000, 100, 70_000), (150_003, 990, 70_001), (150_006, 100, None), (1, 1, 1), (2, None, 9), (5, 7, 4)]]
