@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.letters import capitals
 from ledgerloom.operators import status as S
 from ledgerloom.operators import sync as Y
 from ledgerloom.plans.registry import query
@@ -87,11 +88,13 @@ def job_queue(t: Tables) -> DataFrame:
   SELECT CAST(doc_id AS VARCHAR) AS key, CAST(pos AS BIGINT) AS "offset", CAST(n AS BIGINT) AS length, CASE WHEN mine IS NULL THEN 'skipped' WHEN doc_id % 6 = 0 THEN 'failed' WHEN octet_length(theirs) >= pos + n AND mine[pos + 1 : pos + n] = theirs[pos + 1 : pos + n] THEN 'verified' ELSE 'failed' END AS verdict FROM c""")
 def replica_verification(t: Tables) -> DataFrame:
     """Every range of 4 KiB of every document, in both stores."""
-    docs = t.documents.select(F.col("doc_id").cast("string").alias("key"), "doc_id", "text", F.octet_length("text").cast("long").alias("n"))
-    theirs = docs.where("doc_id % 6 <> 0").select("key", F.when(F.col("doc_id") % 9 == 0, F.upper("text")).otherwise(F.col("text")).cast("binary").alias("data"))
+    # Each row is an object of its own, whether its doc_id is null or another's too.
+    row = F.struct(F.col("doc_id").cast("string").alias("id"), "_metadata.file_path", "_metadata.row_index")
+    docs = t.documents.select(row.alias("key"), "doc_id", "text", F.octet_length("text").cast("long").alias("n"))
+    theirs = docs.where("doc_id IS NULL OR doc_id % 6 <> 0").select("key", F.when(F.col("doc_id") % 9 == 0, capitals(F.col("text"))).otherwise(F.col("text")).cast("binary").alias("data"))
     at = F.when(F.col("n") > 0, F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(4096).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
     ranges = docs.select("key", "n", F.explode(at).alias("offset")).select("key", "offset", F.coalesce(F.least(F.lit(4096), F.col("n") - F.col("offset")), F.lit(4096)).alias("length"))
-    return Y.replica_verdicts(ranges, docs.select("key", F.col("text").cast("binary").alias("data")), theirs)
+    return Y.replica_verdicts(ranges, docs.select("key", F.col("text").cast("binary").alias("data")), theirs).withColumn("key", F.col("key.id"))
 
 
 @query("""SELECT doc_id AS blob_id, CASE WHEN doc_id % 5 = 0 THEN 'footer' WHEN doc_id % 7 = 0 THEN 'digest' WHEN doc_id % 11 = 0 THEN 'record' ELSE 'sound' END AS verdict FROM documents""")
