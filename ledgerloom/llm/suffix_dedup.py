@@ -8,6 +8,7 @@ one after another, are built by linear grouping construction; neighbours in them
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ SHARED, END = "\u0100", "\uffff"
 OFTEN = 32
 #: What a document knows of a gram: an earlier document has it; none has; it is shared, by which documents is yet to be seen.
 LATER, FIRST, TOLD = 0, 1, 2
+#: Bytes that a segment of a document takes while it is shuffled.
+SEGMENT_BYTES = 26
 
 
 def suffix_arrays(symbols: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -222,10 +225,30 @@ def owners(data: np.ndarray, offsets: np.ndarray, low: int, high: int) -> tuple[
     return row + low, h, first - bounds[row], many, own - first
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's length in four bytes and its bytes compressed, as it is shuffled; nothing for a null or empty one."""
+    codec = pa.Codec("zstd", compression_level=1)
+    for batch in batches:
+        texts = batch.column(1).cast(pa.binary()).to_pylist()
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t).to_bytes(4, "little") + codec.compress(t, asbytes=True) if t else b"" for t in texts], pa.binary())], ["doc_id", "text"])
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of packed texts and the row offsets into them."""
+    codec, packed = pa.Codec("zstd"), column.to_pylist()
+    offsets = np.zeros(len(packed) + 1, np.int64)
+    offsets[1:] = np.cumsum([int.from_bytes(x[:4], "little") for x in packed])
+    data = np.empty(offsets[-1], np.uint8)
+    for x, a, b in zip(packed, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        if x:
+            data[a:b] = np.frombuffer(codec.decompress(memoryview(x)[4:], b - a), np.uint8)
+    return data, offsets
+
+
 def _grams(often_from: int):
-    """Rows (key, gram, kind, doc_id) of kind 0 for each gram of a document, under its hash. Grams found ``often_from`` times in a slice, in
-    two documents at least, are known to be shared: two rows of kind 1 under their hash tell the least and the largest document, and their
-    documents' rows are of kind 2, under odd keys that spread them."""
+    """Rows (key, gram, doc_id) with a null gram for each gram of a document, under its hash. Grams found ``often_from`` times in a slice, in
+    two documents at least, are known to be shared: two rows whose gram is their key tell the least and the largest document, and their
+    documents' rows are under odd keys that spread them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,8 +260,8 @@ def _grams(often_from: int):
                 row, h = row[order], h[order]
                 new = np.concatenate(([True], (h[1:] != h[:-1]) | (row[1:] != row[:-1]))) if len(h) else np.zeros(0, bool)
                 row, h = row[new], h[new]
-                gram, kind, doc = h.view(np.int64), np.zeros(len(h), np.int8), ids[row]
-                key = gram
+                gram, doc = h.view(np.int64), ids[row]
+                key, where = gram, np.zeros(len(h), bool)
                 begin = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
                 many = np.diff(np.append(begin, len(h)))
                 often = np.flatnonzero(many >= often_from)
@@ -252,10 +275,9 @@ def _grams(often_from: int):
                     where = np.repeat(hit, many)
                     key = gram.copy()
                     key[where] = (mixed(mixed(doc[where].astype(np.uint64)) ^ h[where]) | np.uint64(1)).view(np.int64)
-                    kind[where] = 2
-                    key, gram, kind = np.concatenate((key, told, told)), np.concatenate((gram, told, told)), np.concatenate((kind, np.ones(2 * len(often), np.int8)))
+                    key, gram, where = np.concatenate((key, told, told)), np.concatenate((gram, told, told)), np.concatenate((where, np.ones(2 * len(often), bool)))
                     doc = np.concatenate((doc, least, most))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(gram), pa.array(kind), pa.array(doc)], ["key", "gram", "kind", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(gram, mask=~where), pa.array(doc)], ["key", "gram", "doc_id"])
 
     return run
 
@@ -268,12 +290,19 @@ def _flat(lists: pa.Array, low: int, high: int, *fields: str) -> tuple[np.ndarra
     return np.repeat(np.arange(low, high), many), *(values.field(f).to_numpy(zero_copy_only=False) for f in fields)
 
 
+def _listed(lists: pa.Array, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row number and value of every entry of the rows [low, high) of a column of lists."""
+    part = lists.slice(low, high - low)
+    many = pa.compute.list_value_length(part).fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(low, high), many), part.flatten().to_numpy(zero_copy_only=False)
+
+
 def _matched(rows: int, row: np.ndarray, value: np.ndarray, known_row: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """For each (row, value) its place among the known pairs, which are distinct; -1 where there is none."""
+    """For each (row, value) its place among the known pairs, the first of equal ones; -1 where there is none."""
     if not len(known) or not len(row):
         return np.full(len(row), -1, np.int64)
     distinct, code = np.unique(known, return_inverse=True)
-    order = np.argsort(key := code * rows + known_row)
+    order = np.argsort(key := code * rows + known_row, kind="stable")
     at = np.minimum(np.searchsorted(distinct, value), len(distinct) - 1)
     want = at * rows + row
     place = np.minimum(np.searchsorted(key[order], want), len(order) - 1)
@@ -283,10 +312,12 @@ def _matched(rows: int, row: np.ndarray, value: np.ndarray, known_row: np.ndarra
 class _Shared:
     """The segments of rows [low, high) whose grams other documents share, with what is known of them."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, low: int, high: int, shared: pa.Array, wanted: tuple[int, ...]) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, low: int, high: int, shared: pa.Array, told: pa.Array, wanted: tuple[int, ...]) -> None:
         row, h, first, many, _ = owners(data, offsets, low, high)
         h = h.view(np.int64)
-        known_row, known, state = _flat(shared, low, high, "gram", "state")
+        (told_row, told), (known_row, known) = _listed(told, low, high), _listed(shared, low, high)
+        # A row that repeats a told gram's document may know it otherwise too.
+        known_row, known, state = np.concatenate((told_row, known_row)), np.concatenate((told, known & ~1)), np.concatenate((np.full(len(told), TOLD), known & 1))
         at = _matched(high + 1, row, h, known_row, known)
         state = state[at] if len(known) else np.zeros(len(at), np.int8)
         keep = np.flatnonzero((at >= 0) & np.isin(state, wanted))
@@ -300,11 +331,11 @@ class _Shared:
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The segments of shared grams, each distinct one of a batch once: their least document, and where they stand in it."""
     for batch in batches:
-        data, offsets = text_bytes(batch.column(1))
+        data, offsets = _unpacked(batch.column(1))
         ids = batch.column(0).to_numpy()
         parts = []
         for low, high in slices(offsets):
-            s = _Shared(data, offsets, low, high, batch.column(2), (LATER, FIRST, TOLD))
+            s = _Shared(data, offsets, low, high, batch.column(2), batch.column(3), (LATER, FIRST, TOLD))
             parts.append((s.h, s.g, ids[s.row], s.first * (GRAMS + 1) + s.many, s.state == TOLD))
         if not parts:
             continue
@@ -320,7 +351,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _texts_of_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of a document's wanted segments, from where they stand; of rows that repeat an id, from the one that has them there."""
     for batch in batches:
-        data, offsets = text_bytes(batch.column(1))
+        data, offsets = _unpacked(batch.column(1))
         for low, high in slices(offsets):
             row, h, g, place, told, n = _flat(batch.column(2), low, high, "h", "g", "place", "told", "n")
             begin = offsets[row] + place // (GRAMS + 1)
@@ -483,8 +514,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_bytes(batch.column(1))
         for low, high in slices(offsets):
-            s = _Shared(data, offsets, low, high, batch.column(2), (LATER, TOLD))
-            known_row, known_h, known_g, bits = _flat(batch.column(3), low, high, "h", "g", "kept")
+            s = _Shared(data, offsets, low, high, batch.column(2), batch.column(3), (LATER, TOLD))
+            known_row, known_h, known_g, bits = _flat(batch.column(4), low, high, "h", "g", "kept")
             h_codes = np.unique(known_h)
             of = lambda h: np.minimum(np.searchsorted(h_codes, h), len(h_codes) - 1) if len(h_codes) else np.zeros(len(h), np.int64)  # noqa: B023, E731
             code = of(s.h)
@@ -530,17 +561,25 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "suffix-dedup")
     # Grams that own windows in two documents at least: a row of a few numbers for every dozen bytes is all that is shuffled here.
     by = Window.partitionBy("key")
-    grams = known.mapInArrow(_grams(OFTEN), "key long, gram long, kind byte, doc_id long").repartition("key")
-    grams = grams.select("gram", "kind", "doc_id", F.min("doc_id").over(by).alias("least"), F.max("doc_id").over(by).alias("most")).where("kind = 2 OR (kind = 0 AND least < most)")
-    state = F.when(F.col("kind") == 2, TOLD).when(F.col("doc_id") == F.col("least"), FIRST).otherwise(LATER).cast("byte")
-    # A document's grams are bounded by its own text.
-    shared = scratch.write(grams.groupBy("doc_id").agg(F.collect_set(F.struct("gram", state.alias("state"))).alias("shared")), "shared-grams")
+    grams = known.mapInArrow(_grams(OFTEN), "key long, gram long, doc_id long").repartition("key")
+    grams = grams.select("key", "gram", "doc_id", F.min("doc_id").over(by).alias("least"), F.max("doc_id").over(by).alias("most")).where("key <> gram OR (gram IS NULL AND least < most)")
+    # A document's grams are bounded by its own text. The lowest bit of a gram is free: it is set where the document is the first.
+    code = F.when(F.col("gram").isNull(), F.col("key").bitwiseOR(F.when(F.col("doc_id") == F.col("least"), FIRST).otherwise(LATER).cast("long")))
+    shared = scratch.write(grams.groupBy("doc_id").agg(F.collect_list(code).alias("shared"), F.collect_list("gram").alias("told")), "shared-grams")
 
     def with_text(lists: DataFrame) -> DataFrame:
-        return known.join(lists.hint("shuffle_hash"), "doc_id").select("doc_id", "text", lists.columns[1])
-
-    segments = with_text(shared).mapInArrow(_segments, "h long, g long, doc_id long, place long, told boolean")
-    segments = scratch.write(segments.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.min_by("place", "doc_id").alias("place"), F.max("told").alias("told")), "segments")
+        return known.mapInArrow(_packed, "doc_id long, text binary").join(lists.hint("shuffle_hash"), "doc_id").select("doc_id", "text", *lists.columns[1:])
+
+    # Where so many grams are shared that segments would take more than the texts, they are shuffled some grams at a time.
+    n_shared, n_bytes = shared.agg(F.sum(F.size("shared") + F.size("told"))).first()[0] or 0, known.agg(F.sum(F.octet_length("text"))).first()[0] or 1
+    batches, found = max(1, -(-n_shared * SEGMENT_BYTES // n_bytes)), []
+    for batch in range(batches):
+        some = lambda c: F.filter(c, lambda x: F.pmod(F.shiftright(x, 1), F.lit(batches)) == batch).alias(c)  # noqa: B023, E731
+        lists = shared if batches == 1 else shared.select("doc_id", some("shared"), some("told")).where("size(shared) + size(told) > 0")
+        # They are distinct already where they come from, so they are put together after the shuffle alone.
+        segments = with_text(lists).mapInArrow(_segments, "h long, g long, doc_id long, place long, told boolean").repartition("h", "g")
+        found.append(scratch.write(segments.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.min_by("place", "doc_id").alias("place"), F.max("told").alias("told")), "segments"))
+    segments = reduce(DataFrame.unionByName, found)
     counts = scratch.write(segments.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "counts")
     # A segment that is the only one around its gram needs no bytes: its first document keeps it, and all others lose it.
     alone = segments.where("told").join(counts, "h", "left_anti").select(F.col("first").alias("doc_id"), "h", "g", F.expr(f"cast(shiftleft(1L, cast(place % {GRAMS + 1} as int)) - 1 as int)").alias("kept"))
@@ -548,18 +587,21 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     several = with_text(wanted).mapInArrow(_texts_of_segments, "h long, g long, doc_id long, segment binary, told boolean, n long")
     several = scratch.write(several, "segment-texts")
     few = several.where(F.col("n") <= SPLIT).repartition("h").sortWithinPartitions("h").select("h", "g", "doc_id", "segment", "told")
-    kept = few.mapInArrow(_whole_groups(["h"], _kept_of_segments), "doc_id long, h long, g long, kept int")
+    few = few.mapInArrow(_whole_groups(["h"], _kept_of_segments), "doc_id long, h long, g long, kept int")
+    kept = scratch.write(alone.unionByName(few), "kept-of-segments")
+    scratch.drop(*found, counts)
     # Around a gram with many distinct segments, parts of these meet by more of their bytes.
     parts = several.where(F.col("n") > SPLIT).select("h", "g", "doc_id", "segment").mapInArrow(_parts, "h long, c int, s long, p long, g long, doc_id long, low int, before int, part binary")
     parts = scratch.write(parts, "parts")
+    scratch.drop(several)
     place = ["h", "c", "s"]
     least = parts.groupBy(*place, "p").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("part", "before")).alias("x")).select(*place, "p", "doc_id", "x.*")
     least = least.repartition(*place).sortWithinPartitions(*place).mapInArrow(_whole_groups(place, _kept_of_parts), "h long, c int, s long, p long, doc_id long, bits int")
+    least = scratch.write(least, "kept-of-parts")
     of_parts = parts.select(*place, "p", "g", "doc_id", "low").join(least, [*place, "p", "doc_id"]).groupBy("doc_id", "h", "g").agg(F.bit_or(F.expr("shiftleft(bits, low)")).alias("kept"))
-    kept = alone.unionByName(kept).unionByName(of_parts)
-    known_rows = scratch.write(kept.groupBy("doc_id").agg(F.collect_set(F.struct("h", "g", "kept")).alias("kept")), "kept")
-    scratch.drop(segments, counts, several, parts)
+    known_rows = scratch.write(kept.unionByName(of_parts).groupBy("doc_id").agg(F.collect_list(F.struct("h", "g", "kept")).alias("kept")), "kept")
+    scratch.drop(kept, parts, least)
 
     # Both lists of a document come before its text does, so that texts are shuffled once.
     both = shared.join(known_rows, "doc_id", "left")
-    return rows.join(both.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "shared", "kept").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<low:bigint,high:bigint>>, kept binary")
+    return rows.join(both.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "shared", "told", "kept").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<low:bigint,high:bigint>>, kept binary")

@@ -5,6 +5,7 @@ import os
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -175,6 +176,28 @@ def test_suffix_dedup(docs, corpus, split, often, monkeypatch):
         assert (got[i]["n_bytes"], got[i]["n_removed"], len(got[i]["spans"]), bytes(got[i]["kept"])) == (len(b), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum()), kept)
 
 
+def test_suffix_dedup_shuffles_little(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList
+    shuffled = lambda: sum(x.totalShuffleWrite() for x in (lambda e: [e.apply(i) for i in range(e.size())])(executors(True)))
+    before = shuffled()
+    suffix_dedup.remove_repeats(df).write.format("noop").mode("overwrite").save()
+    time.sleep(1)  # the last tasks are told of a little later
+    ratio = (shuffled() - before) / df.selectExpr("sum(octet_length(text))").first()[0]
+    assert ratio < 4.4
+
+
+def test_suffix_dedup_some_grams_at_a_time(spark, docs, monkeypatch):
+    tables, write = [], suffix_dedup.Scratch.write
+    monkeypatch.setattr(suffix_dedup.Scratch, "write", lambda self, df, name, *a: tables.append(name) or write(self, df, name, *a))
+    found = []
+    for size in (26, 1000):
+        tables.clear()
+        monkeypatch.setattr(suffix_dedup, "SEGMENT_BYTES", size)
+        found.append((sorted(map(repr, suffix_dedup.remove_repeats(docs).collect())), tables.count("segments")))
+    assert found[0][0] == found[1][0] and found[1][1] > max(3, found[0][1])
+
+
 def test_suffix_dedup_of_hot_phrases(spark):
     """A phrase of 40 bytes in many contexts is parted; rows that repeat an id are cut by what their own texts repeat."""
     rng = random.Random(9)
